@@ -167,8 +167,9 @@ def pack_examples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
         for b in batches:
             losses = b["n_loss"] if loss_col else [None] * len(b)
-            for d, t, n_loss in zip(b["doc_id"], b["text"], losses, strict=True):
-                ids = enc.encode(t) + end
+            encoded = (x for lo in range(0, len(b), 500) for x in enc.encode_all(b["text"].iloc[lo : lo + 500].tolist()))
+            for d, ids, n_loss in zip(b["doc_id"], encoded, losses, strict=True):
+                ids += end
                 n = len(ids) // 4
                 packer.add(Example(None if pd.isna(d) else int(d), ids, n if n_loss is None or pd.isna(n_loss) else max(0, min(n, int(n_loss)))))
                 if len(packer.out) > 20_000:

@@ -37,24 +37,45 @@ from voltide.llm.common import c
 from voltide.session import Scratch, scratch_path
 
 MAGIC = b"VTOK1\0\0\0"
-ENCODED = "doc_id long, n_tokens long, ids binary"
+ENCODED = "doc_id long, n_tokens long, frame binary"
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, shard long"
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, slot long"
 
 
-def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocab_path: str, end_id: int) -> DataFrame:
-    """(doc_id, n_tokens, ids): each whole text's ids and the end id."""
+def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocab_path: str, end_id: int, dictionary: bytes, width: int, level: int = 3) -> DataFrame:
+    """(doc_id, n_tokens, frame): each whole text's ids and the end id, as one
+    zstandard frame of ``width``-byte integers."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = tokens.encoder(vocab_path)
+        enc, z = tokens.encoder(vocab_path), _compressor(dictionary, level)
         for b in batches:
-            ids = [enc.encode(t) + end for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                ids = [x + end for x in enc.encode_all(part["text"].tolist())]
+                frames = [z.compress(x if width == 4 else tokens.as_array(x).astype("<u2").tobytes()) for x in ids]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_tokens": [len(x) // 4 for x in ids], "frame": frames})
 
     return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")).mapInPandas(run, ENCODED)
 
 
+def sample_dictionary(docs: DataFrame, text_col: str, vocab_path: str, width: int, size: int, documents: int, ids: int) -> bytes:
+    """A dictionary fitted on a bounded sample: about ``documents`` documents,
+    the first ``ids`` ids of each. It only sets how small the files get."""
+    n = docs.count()
+    if not n:
+        return b""
+    texts = docs.select(c(text_col).cast("string").alias("text")).sample(fraction=min(1.0, documents / n), seed=7)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = tokens.encoder(vocab_path)
+        for b in batches:
+            yield pd.DataFrame({"ids": [tokens.as_array(x)[:ids].astype("<u2" if width == 2 else "<u4").tobytes() for x in enc.encode_all(b["text"].tolist())]})
+
+    samples = [bytes(r.ids) for r in texts.mapInPandas(run, "ids binary").limit(2 * documents).toLocalIterator()]
+    return train_dictionary([x for x in samples if x], size)
+
+
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; too few samples give their own bytes as one."""
     try:
@@ -67,18 +88,15 @@ def _filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def pack_shard(rows: Iterator[tuple], out, dictionary: bytes, width: int, level: int = 3) -> tuple[int, int, int | None]:
-    """Write one shard; rows are (doc_id or None, ids as uint32 bytes).
+def pack_shard(rows: Iterator[tuple], out, sha: str, width: int) -> tuple[int, int, int | None]:
+    """Write one shard; rows are (doc_id or None, number of ids, frame).
     Returns (documents, ids, first doc_id)."""
-    zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    z = zstandard.ZstdCompressor(level=level, dict_data=zdict, write_content_size=True, write_dict_id=False)
-    out.write(MAGIC + hashlib.sha256(dictionary).digest())
+    out.write(MAGIC + bytes.fromhex(sha))
     at, index, first = len(MAGIC) + 32, [], None
-    for doc_id, ids in rows:
+    for doc_id, n, frame in rows:
         first = doc_id if not index else first
-        frame = z.compress(ids if width == 4 else tokens.as_array(ids).astype("<u2").tobytes())
         out.write(frame)
-        index.append((doc_id or 0, doc_id is None, at, len(frame), len(ids) // 4))
+        index.append((doc_id or 0, doc_id is None, at, len(frame), n))
         at += len(frame)
     cols = list(zip(*index, strict=True)) if index else [()] * 5
     out.write(struct.pack("<q", len(index)) + b"".join(np.array(x, k).tobytes() for x, k in zip(cols, ("<i8", "u1", "<i8", "<i8", "<i8"), strict=True)))
@@ -103,6 +121,14 @@ def read_index(f, size: int) -> tuple[dict[str, np.ndarray], int, str]:
     return out, width, head[len(MAGIC) :].hex()
 
 
+@functools.lru_cache(maxsize=4)
+def _compressor(dictionary: bytes, level: int):
+    zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if zdict:
+        zdict.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=zdict, write_content_size=True, write_dict_id=False)
+
+
 @functools.lru_cache(maxsize=4)
 def _decompressor(folder: str, sha: str):
     fs, path = _filesystem(f"{folder}/dict-{sha}.zdict")
@@ -131,19 +157,13 @@ def read_document(shard: str, doc_id: int) -> np.ndarray:
     return tokens.as_array(_ids(frame, width, _decompressor(shard.rpartition("/")[0], sha)))
 
 
-def write_tokens(encoded: DataFrame, folder: str, *, vocab_size: int, shard_bytes: int = 64 << 20, dictionary_bytes: int = 64 << 10, sample_documents: int = 2000, sample_ids: int = 4096) -> DataFrame:
+def write_tokens(encoded: DataFrame, folder: str, dictionary: bytes, *, width: int, shard_bytes: int = 64 << 20) -> DataFrame:
     """Write ``encode_documents`` rows as shards in ascending doc_id order.
 
-    The dictionary only sets how small the files get. It is fitted on a bounded
-    sample: ``sample_documents`` documents in hash order, the first
-    ``sample_ids`` ids of each. Returns the manifest, one row per shard.
-    ``encoded`` should be a written table: it is read three times.
+    Returns the manifest, one row per shard. ``encoded`` should be a written
+    table: it is read three times.
     """
     spark: SparkSession = encoded.sparkSession
-    width = 2 if vocab_size <= 1 << 16 else 4
-    sample = encoded.orderBy(F.xxhash64("doc_id", "n_tokens")).limit(sample_documents).select(F.expr(f"substring(ids, 1, {4 * sample_ids})").alias("ids"))
-    samples = [bytes(r.ids) if width == 4 else tokens.as_array(bytes(r.ids)).astype("<u2").tobytes() for r in sample.toLocalIterator()]
-    dictionary = train_dictionary(samples, dictionary_bytes) if samples else b""
     sha = hashlib.sha256(dictionary).hexdigest()
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
@@ -159,20 +179,20 @@ def write_tokens(encoded: DataFrame, folder: str, *, vocab_size: int, shard_byte
 
         def rows():
             for b in batches:
-                for d, ids in zip(b["doc_id"], b["ids"], strict=True):
-                    yield None if pd.isna(d) else int(d), bytes(ids)
+                for d, n, frame in zip(b["doc_id"], b["n_tokens"], b["frame"], strict=True):
+                    yield None if pd.isna(d) else int(d), int(n), bytes(frame)
 
         # A retried task writes a file of its own; the manifest names the one that counts.
         name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}.vtok"
         with fs.open_output_stream(f"{at}/{name}") as out:
-            n, ids, first = pack_shard(rows(), out, dictionary, width)
+            n, ids, first = pack_shard(rows(), out, sha, width)
         if n:
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "first_id": pd.array([first], "Int64"), "n_docs": [n], "n_tokens": [ids], "shard": [shard]})
         else:
             fs.delete_file(f"{at}/{name}")
 
-    ordered = encoded.repartitionByRange(shards, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "ids")
-    return ordered.select("doc_id", "ids").mapInPandas(run, MANIFEST)
+    ordered = encoded.repartitionByRange(shards, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "frame")
+    return ordered.mapInPandas(run, MANIFEST)
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -211,14 +231,18 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return table.mapInPandas(run, DECODED)
 
 
-def token_output(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:
-    """Encode, write and read back; see the module's text for edge cases."""
+def token_output(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, end_id: int = 1, folder: str | None = None, dictionary_bytes: int = 64 << 10, sample_documents: int = 1000, sample_ids: int = 4096) -> DataFrame:
+    """Encode, write and read back; see the module's text for edge cases.
+
+    ``sample_documents`` and ``sample_ids`` bound what the dictionary is fitted
+    on; every document is encoded, written and read in full.
+    """
     spark = docs.sparkSession
     vocab_path = vocab_path or tokens.default_vocab()
+    width = 2 if max(tokens.encoder(vocab_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    dictionary = sample_dictionary(docs, text_col, vocab_path, width, dictionary_bytes, sample_documents, sample_ids)
     scratch = Scratch(spark)
-    encoded = scratch.table(encode_documents(docs, id_col, text_col, vocab_path, end_id), "encoded")
-    folder = folder or scratch_path(spark, "shards")
-    size = tokens.encoder(vocab_path).tokenizer.get_vocab_size()
-    manifest = scratch.table(write_tokens(encoded, folder, vocab_size=max(size, end_id + 1)), "manifest")
+    encoded = scratch.table(encode_documents(docs, id_col, text_col, vocab_path, end_id, dictionary, width), "encoded")
+    manifest = scratch.table(write_tokens(encoded, folder or scratch_path(spark, "shards"), dictionary, width=width), "manifest")
     scratch.free(encoded)
     return read_tokens(spark, manifest)
