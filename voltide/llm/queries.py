@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltide.llm import decontaminate, near_dedup, packing, quality, secrets, token_store, warc
+from voltide.llm import decontaminate, fingerprints, near_dedup, packing, quality, secrets, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_examples(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.round_trip(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op8_near_dedup": op8_near_dedup,
