@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltide.llm import decontaminate, fingerprints, near_dedup, packing, quality, secrets, token_store, warc
+from voltide.llm import decontaminate, fingerprints, html_text, near_dedup, packing, quality, secrets, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op8_near_dedup": op8_near_dedup,
+    "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
 }
 
