@@ -218,6 +218,10 @@ def label_blocks(blocks: list[Block]) -> list[Block]:
                 b.label = "good" if b.inside or (b.heading and first[hi] == "good") else "bad"
             else:
                 b.label = min(near)[1] if len(near) == 1 or near[0][0] != near[1][0] else near[0][1]
+    if not any(b.label == "good" for b in blocks):  # a page of one odd text: what is no menu or advert is it
+        for b in blocks:
+            if not b.aside and b.linked <= 0.5 * len(b.text):
+                b.label = "good"
     return blocks
 
 
