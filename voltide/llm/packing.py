@@ -81,47 +81,36 @@ class Packer:
 
     def _fill(self, down_to: int) -> None:
         """Fill bins until the pool has ``down_to`` examples or fewer."""
-        limits = np.array([self.capacity, self.max_segments, self.max_loss], float)
-        pool = self.pool
-        need = np.array([(e.length, 1, e.loss()) for e in pool], float).reshape(-1, 3)
-        alive = np.ones(len(pool), bool)
-        left = len(pool)
+        pool, left = self.pool, len(self.pool)
+        tokens_ = np.array([e.length for e in pool], float)
+        losses = np.array([e.loss() for e in pool], float)
+        gone = np.zeros(len(pool), bool)
         while left > down_to:
-            room, placed = limits.copy(), []
-            while left and (room > 0).all():
-                score = np.where(alive, (need / limits) @ (room / limits), -1.0)
-                whole = (need <= room).all(axis=1)
-                best = -1
-                if room[1] > 1 and (whole & alive).any():
-                    best = int(np.argmax(np.where(whole, score, -1.0)))
-                if best < 0:  # last segment, or none fits whole: fill the rest with a cut
-                    best = int(np.argmax(np.where(alive, np.minimum(need[:, 0], room[0]) + score * 1e-3, -1.0))) if room[1] == 1 else int(np.argmax(score))
+            room, segments, loss_room, bin_ = self.capacity, self.max_segments, self.max_loss, []
+            while left and room > 0 and segments > 0 and loss_room > 0:
+                # Each example takes one segment, so that term of the dot product is the same for all.
+                score = tokens_ * (room / self.capacity**2) + losses * (loss_room / self.max_loss**2)
+                whole = (tokens_ <= room) & (losses <= loss_room)
+                best = int(np.where(whole, score, -1.0).argmax()) if segments > 1 else -1
+                if best < 0 or not whole[best]:  # the last segment, or none fits whole: a cut fills the bin
+                    score = np.where(gone, -1.0, score if segments > 1 else np.minimum(tokens_, room))
+                    best = int(score.argmax())
                 e = pool[best]
-                n = e.most(int(room[0]), int(room[2]))
+                n = e.most(room, loss_room)
                 if not n:
                     break
-                placed.append((e, n))
-                loss = e.loss(n)
-                room -= (n, 1, loss)
-                if n == e.length:
-                    alive[best], left = False, left - 1
-                    self._place(placed.pop(), limits, room)
+                room, segments, loss_room = room - n, segments - 1, loss_room - e.loss(n)
+                bin_.append((e, e.start, n))
+                e.start, e.length = e.start + n, e.length - n
+                if e.length:
+                    tokens_[best], losses[best] = e.length, e.loss()
                 else:
-                    self._place(placed.pop(), limits, room)
-                    need[best] = (e.length, 1, e.loss())
-            last = left == 0 and room[0] > 0
-            self._close(last)
-        self.pool = [e for e, a in zip(pool, alive, strict=True) if a]
-
-    def _place(self, item, limits, room) -> None:
-        e, n = item
-        self._bin = getattr(self, "_bin", [])
-        self._bin.append((e, e.start, n))
-        e.start, e.length = e.start + n, e.length - n
-
-    def _close(self, last: bool) -> None:
+                    tokens_[best], losses[best], gone[best], left = np.inf, 0, True, left - 1
+            self._close(bin_, left == 0 and room > 0)
+        self.pool = [e for e, out in zip(pool, gone.tolist(), strict=True) if not out]
+
+    def _close(self, bin_: list[tuple[Example, int, int]], last: bool) -> None:
         """Write the bin; an unfilled last bin as powers of two."""
-        bin_, self._bin = getattr(self, "_bin", []), []
         total = sum(n for _, _, n in bin_)
         sizes = [1 << k for k in range(total.bit_length() - 1, -1, -1) if total >> k & 1] if last else [total]
         at = 0

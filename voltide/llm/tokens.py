@@ -10,8 +10,6 @@ The results are the library's own, several times faster.
 from __future__ import annotations
 
 import functools
-import itertools
-import operator
 import os
 import re
 import struct
@@ -22,7 +20,7 @@ import numpy as np
 #: composition rules are one to one (not U+0130), without special tokens.
 _OTHER = re.compile("[^\t-\r -~À-įı-ſ]|<\\|")
 #: The vocabulary's own pre-tokenizer rule, for lower-cased text of that range.
-_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
+_WORD = re.compile("[a-zß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
 
 
 def default_vocab() -> str:
@@ -32,6 +30,17 @@ def default_vocab() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordCache(dict):
+    """Word to ids; words that it lacks read as nothing and are noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        self.new.append(word)
+        return b""
+
+
 class WordEncoder:
     """Encode texts through a bounded word cache.
 
@@ -44,7 +53,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab_path)
-        self.max_entries, self.cache = max_entries, {}
+        self.max_entries, self.cache = max_entries, WordCache()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -75,25 +84,25 @@ class WordEncoder:
         """Ids of each text; new words of ``group`` texts are learned at once."""
         out = []
         for at in range(0, len(texts), group):
-            cut = [None if t and _OTHER.search(t) else _WORD.findall(t.lower()) if t else [] for t in texts[at : at + group]]
+            part = texts[at : at + group]
+            cut = [None if t and _OTHER.search(t) else _WORD.findall(t.lower()) if t else [] for t in part]
+            new = self.cache.new
+            found, late = [], []
+            for words in cut:
+                before = len(new)
+                found.append(None if words is None else list(map(self.cache.__getitem__, words)))
+                late.append(len(new) > before)
+            if new:
+                if len(self.cache) + len(new) > self.max_entries:
+                    self.cache = WordCache()
+                self._learn(list(set(new)))
+                new.clear()
             get = self.cache.get
-            parts = [None if words is None else list(map(get, words)) for words in cut]
-            missing = set()
-            for words, found in zip(cut, parts, strict=True):
-                if words and None in found:
-                    missing.update(itertools.compress(words, map(operator.not_, found)))
-            if missing:
-                if len(self.cache) + len(missing) > self.max_entries:
-                    self.cache = {}
-                self._learn(list(missing))
-                late = self.cache
-            for n, (words, found) in enumerate(zip(cut, parts, strict=True)):
+            for t, words, ids, some in zip(part, cut, found, late, strict=True):
                 if words is None:
-                    out.append(self._pack(texts[at + n]))
-                elif missing and None in found:
-                    out.append(b"".join([late[w] if f is None else f for w, f in zip(words, found, strict=True)]))
+                    out.append(self._pack(t))
                 else:
-                    out.append(b"".join(found))
+                    out.append(b"".join([i or get(w) for w, i in zip(words, ids, strict=True)] if some else ids))
         return out
 
 
