@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,22 +193,20 @@ def _logit(x):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) -> DataFrame:
     """``keep`` columns and one score per target; one row per row."""
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model)  # bounded by most_words
-    schema = docs.select(*map(c, keep)).schema
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_words
+    kept = docs.select(*map(c, keep))
+    schema = kept.schema
     for t in TARGETS:
         schema = schema.add(f"score_{t}", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for b in batches:
-            got = np.array([model.scores(t) for t in b["__text"]]).reshape(-1, len(TARGETS))
-            out = b[list(keep)].copy()
-            for k, t in enumerate(TARGETS):
-                out[f"score_{t}"] = got[:, k]
-            yield out
+            got = np.array([model.scores(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(TARGETS))
+            columns = [*b.columns[:-1], *(pa.array(got[:, k]) for k in range(len(TARGETS)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f"score_{t}" for t in TARGETS)])
 
-    return docs.select(*map(c, keep), c(text_col).cast("string").alias("__text")).mapInPandas(run, schema)
+    return docs.select(*map(c, keep), c(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def _shrink(rates: DataFrame, group: str, prior: str, t: str) -> float:

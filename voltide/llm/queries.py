@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltide.llm import decontaminate, fingerprints, html_text, near_dedup, packing, quality, secrets, token_store, warc
+from voltide.llm import chat, decontaminate, fingerprints, html_text, near_dedup, packing, quality, secrets, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op7_chat": op7_chat,
     "op8_near_dedup": op8_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
