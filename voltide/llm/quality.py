@@ -10,9 +10,10 @@ its classifier odds times the odds of its path over the global odds, so that a
 sparse site says nothing and a large one speaks for its own documents.
 
 The classifier is fitted on a bounded sample: the ``train_rows`` labelled
-documents of smallest id hash. Rates cover all documents. Documents are scored
-twice, once for the rates and once for the result, which needs no shuffle and
-no copy of any text; only sums per path move.
+documents of smallest id hash. Rates cover all documents. Each document is
+scored once; the scored rows, with the columns that are kept, are written to
+the shared folder and read for the rates and for the result. Only sums per path
+move.
 
 Defined results: a null or empty text is scored by its form alone; a null host
 or path part is a site named by the empty string; rows are scored one by one,
@@ -25,7 +26,7 @@ rate; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
-import re
+import operator
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,29 +42,29 @@ from voltide.session import Scratch
 
 TARGETS = ("quality", "toxic")
 BINS = 24
-_SYMBOLS = re.compile(rb"[^\w\s.,;:!?'\"()\x80-\xff-]")
-_FORM = ("symbols", "word_length", "distinct", "lines", "digits", "pipes", "upper", "log_words", "ends", "run", "bigrams", "longest")
+#: Bytes to delete to leave all but symbols, digits and capitals; \x80 up are letters.
+_SYMBOLS = bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b).isspace() or chr(b) in "_.,;:!?'\"()-"))
+_DIGITS, _CAPITALS, _ENDS = b"0123456789", bytes(range(65, 91)), b".!?"
+_FORM = ("symbols", "word_length", "distinct", "lines", "digits", "pipes", "capitals", "log_words", "ends", "run", "bigrams", "longest")
 
 
 def form(text: str | None, w: list[bytes]) -> list[float]:
     """Measures of form of a whole text and its words."""
     raw, n = utf8(text), max(1, len(w))
-    size = max(1, len(raw))
+    size, count = max(1, len(raw)), lambda bytes_: len(raw) - len(raw.translate(None, bytes_))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    upper = sum(x.isupper() for x in raw.split())
-    repeats = sum(a == b for a, b in zip(w, w[1:], strict=False))
     return [
-        len(_SYMBOLS.findall(raw)) / size,
+        count(_SYMBOLS) / size,
         sum(map(len, w)) / n,
         len(set(w)) / n,
         len(set(lines)) / max(1, len(lines)),
-        sum(raw.count(b"%d" % d) for d in range(10)) / size,
+        count(_DIGITS) / size,
         raw.count(b"|") / size,
-        upper / n,
+        count(_CAPITALS) / n,
         np.log1p(len(w)),
-        (raw.count(b".") + raw.count(b"!") + raw.count(b"?")) / n,
-        repeats / n,
-        len(set(zip(w, w[1:], strict=False))) / n,
+        count(_ENDS) / n,
+        sum(map(operator.eq, w, itertools.islice(w, 1, None))) / n,
+        len(set(zip(w, itertools.islice(w, 1, None)))) / n,
         max(map(len, w), default=0),
     ]
 
@@ -82,12 +83,14 @@ class _Ids(dict):
     """Word to the ids of its parts that are features; kept up to a bound."""
 
     def __init__(self, vocab: dict[bytes, int]):
-        self.vocab = vocab
+        self.vocab, self.heads = vocab, {x[: _STEMS[0]] for x in vocab}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
-        self[word] = out = tuple(self.vocab[x] for x in parts(word) if x in self.vocab)
+        # No part of a word is a feature if none begins as it does.
+        out = tuple(self.vocab[x] for x in parts(word) if x in self.vocab) if word[: _STEMS[0]] in self.heads else ()
+        self[word] = out
         return out
 
 
@@ -107,7 +110,7 @@ class Model:
         if not hasattr(self, "_ids"):
             self._ids = _Ids(self.vocab)
         w = words(text)
-        hits = Counter(itertools.chain.from_iterable(filter(None, map(self._ids.__getitem__, w))))
+        hits = Counter(itertools.chain.from_iterable(map(self._ids.__getitem__, w)))
         found = [len(LEVELS) * i + k for i, n in hits.items() for k, least in enumerate(LEVELS) if n >= least]
         base = len(LEVELS) * len(self.vocab)
         bins = [base + k * (BINS + 1) + int(np.searchsorted(e, x)) for k, (x, e) in enumerate(zip(form(text, w), self.edges, strict=True))]
@@ -250,10 +253,9 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
     host, path = fresh(docs, "host"), fresh(docs, "path")
     empty = F.lit("")
     sited = docs.withColumn(host, F.coalesce(c(host_col).cast("string"), empty)).withColumn(path, F.to_json(F.array(*(F.coalesce(c(x).cast("string"), empty) for x in path_cols))))
-    first = score(sited, model, text_col, host, path).withColumnsRenamed({host: "host", path: "path"})
-    sites, rate = site_posteriors(first)
+    scored = Scratch(docs.sparkSession).table(score(sited, model, text_col, *keep, host, path), "scored")
+    sites, rate = site_posteriors(scored.select(c(host).alias("host"), c(path).alias("path"), *(f"score_{t}" for t in TARGETS)))
     sites = sites.withColumnsRenamed({"host": "__host", "path": "__path"})
-    scored = score(sited, model, text_col, *keep, host, path)
     out = scored.join(broadcast_if_small(sites), (c(host) == F.col("__host")) & (c(path) == F.col("__path")), "left")
     for t in TARGETS:
         shift = F.coalesce(_logit(F.col(f"post_{t}")), _logit(F.lit(rate[t]))) - _logit(F.lit(rate[t]))
