@@ -53,7 +53,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 #: Slots of a sketch, and hash functions that nodes choose from.
 SKETCH, BANK = 128, 64
 #: Members of a node that are compared exhaustively, and of a block.
-LEAF = 64
+LEAF = 256
 DEPTH = 8
 HUBS = 4
 #: Of 1000 nodes, how many branch by two tokens.
@@ -134,8 +134,11 @@ def _fold(key: int, x: int) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def children(key: int, bank: np.ndarray) -> list[int]:
-    """Keys of the children of node ``key`` that a member goes to."""
+def children(key: int, bank: np.ndarray, steps: int = 1) -> list[int]:
+    """Keys of the nodes ``steps`` levels below node ``key`` that a member
+    goes to; the last step may branch twice."""
+    for _ in range(steps - 1):
+        key = _fold(key, int(bank[key % (1 << 62) % BANK]))
     pick = key % (1 << 62)
     first = pick % BANK
     out = [_fold(key, int(bank[first]))]
@@ -145,6 +148,7 @@ def children(key: int, bank: np.ndarray) -> list[int]:
     return out
 
 
+
 def roots(bank: np.ndarray, trees: int) -> list[int]:
     """First nodes of a member: tree t branches by its own function."""
     return [_fold(t, int(bank[t % BANK])) for t in range(trees)]
@@ -173,59 +177,73 @@ def vertices(docs: DataFrame, id_col: str, text_col: str, trees: int) -> DataFra
     return docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(run, VERTEX)
 
 
-def _descend(big: DataFrame, uniq: DataFrame) -> DataFrame:
-    """Members of large nodes, one level down."""
+def _descend(large: DataFrame, banks: DataFrame) -> DataFrame:
+    """Members (key, v, m) of large nodes, some levels down."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             vs, keys = [], []
-            for v, key, bank in zip(b["v"], b["key"], b["bank"], strict=True):
-                below = children(int(key), np.frombuffer(bank, "<u4"))
+            for v, key, steps, bank in zip(b["v"], b["key"], b["steps"], b["bank"], strict=True):
+                below = children(int(key), np.frombuffer(bank, "<u4"), int(steps))
                 keys += below
                 vs += [v] * len(below)
             yield pd.DataFrame({"key": keys, "v": vs})
 
-    return big.join(uniq.select("v", "bank"), "v").select("v", "key", "bank").mapInPandas(run, "key long, v binary")
-
-
-def _find(parent: list[int], i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+    steps = F.greatest(F.lit(1), F.floor(F.log2((F.col("m") / LEAF).cast("int").cast("double")))).cast("int")
+    return large.withColumn("steps", steps).join(banks, "v").select("v", "key", "steps", "bank").mapInPandas(run, "key long, v binary")
+
+
+def spanning(near: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Edges of a spanning tree of each component of a boolean matrix that has
+    two members or more."""
+    left, out = np.ones(len(near), bool), []
+    for start in range(len(near)):
+        if left[start]:
+            left[start], todo, tree = False, [start], []
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(near[i] & left)
+                left[new] = False
+                tree += [(i, j) for j in new.tolist()]
+                todo += new.tolist()
+            if tree:
+                out.append(tree)
+    return out
 
 
 def plausible_groups(vs: list[bytes], sizes: np.ndarray, sketches: np.ndarray, threshold: float) -> list[list[bytes]]:
     """Groups of a node's members that sketches can't tell apart."""
     floor = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)
-    parent = list(range(len(vs)))
-    for i in range(1, len(vs)):
-        same = (sketches[:i] == sketches[i]).sum(axis=1) >= floor * SKETCH
-        near = same & (np.minimum(sizes[:i], sizes[i]) >= threshold * np.maximum(sizes[:i], sizes[i]))
-        for j in np.flatnonzero(near).tolist():
-            parent[_find(parent, j)] = _find(parent, i)
-    groups: dict[int, list[bytes]] = {}
-    for i, v in enumerate(vs):
-        groups.setdefault(_find(parent, i), []).append(v)
-    return [sorted(g) for g in groups.values() if len(g) > 1]
+    near = np.zeros((len(vs), len(vs)), bool)
+    for i in range(len(vs)):
+        near[i] = (sketches == sketches[i]).sum(axis=1) >= floor * SKETCH
+    near &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes)
+    return [sorted({vs[i] for edge in tree for i in edge}) for tree in spanning(near)]
+
+
+def shared_counts(sets: list[np.ndarray], most: int = 1 << 23) -> np.ndarray:
+    """Sizes of all intersections of a bounded group: by one product of
+    incidence matrices, in slices of the universe that hold ``most`` cells."""
+    universe, where = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out, width = np.zeros((len(sets), len(sets))), max(1, most // len(sets))
+    for lo in range(0, len(universe), width):
+        now = (where >= lo) & (where < lo + width)
+        m = np.zeros((len(sets), min(width, len(universe) - lo)), np.float32)
+        m[rows[now], where[now] - lo] = 1
+        out += m @ m.T
+    return out
 
 
 def linked_forest(vs: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
     """Links on full sets that connect what all links of the group connect."""
-    parent, out = list(range(len(vs))), []
-    order = sorted(range(len(vs)), key=lambda i: (len(sets[i]), vs[i]))
-    for b, i in enumerate(order):
-        for j in reversed(order[:b]):
-            if 100 * len(sets[j]) < percent * len(sets[i]):
-                break  # no smaller set can reach the threshold
-            if _find(parent, i) == _find(parent, j):
-                continue
-            at = np.searchsorted(sets[i], sets[j])
-            both = int((sets[i][np.minimum(at, len(sets[i]) - 1)] == sets[j]).sum())
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                parent[_find(parent, i)] = _find(parent, j)
-                out.append((vs[i], vs[j]))
-    return out
+    if len(vs) < 2:
+        return []
+    order = sorted(range(len(vs)), key=vs.__getitem__)  # trees then hang from a component's smallest vertex
+    vs, sets = [vs[i] for i in order], [sets[i] for i in order]
+    sizes, both = np.array([len(s) for s in sets]), shared_counts(sets)
+    near = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    return [(vs[i], vs[j]) for tree in spanning(near) for i, j in tree]
 
 
 def _members(lists: DataFrame, lookup: DataFrame, cols: list[str]) -> DataFrame:
@@ -303,23 +321,25 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     each = scratch.table(vertices(docs, id_col, text_col, trees), "vertices")
     uniq = scratch.table(each.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("first_id"), *(F.first(x).alias(x) for x in ("n", "keys", "sketch", "bank"))), "unique")
 
-    lists, dense = [], None
+    lists, dense, banks = [], None, None
     level = uniq.select(F.explode("keys").alias("key"), "v")
     for depth in range(DEPTH):
         counts = scratch.table(level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"counts{depth}")
-        n_large = counts.where(F.col("m") > LEAF).count()
-        rows = level.join(broadcast_if_small(counts), "key")
+        rows = scratch.table(level.join(broadcast_if_small(counts), "key"), f"nodes{depth}")
         small = rows.where(F.col("m") <= LEAF).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("list"))
-        lists.append(scratch.table(small.select("list").distinct(), f"lists{depth}"))
-        if not n_large:
+        lists.append(small.select("list"))
+        large = rows.where(F.col("m") > LEAF)
+        if not counts.where(F.col("m") > LEAF).limit(1).count():
             break
-        large = level.join(broadcast_if_small(counts.where(F.col("m") > LEAF).select("key")), "key")
+        if banks is None:  # members of deeper nodes are all among these
+            some = scratch.table(large.select("v").distinct(), "in_large")
+            banks = scratch.table(uniq.select("v", "bank").join(broadcast_if_small(some), "v", "left_semi"), "banks")
         if depth + 1 < DEPTH:
-            level = scratch.table(_descend(large, uniq).distinct(), f"level{depth}")
+            level = scratch.table(_descend(large, banks), f"level{depth}")
         else:
             dense = scratch.table(_blocks(large.select("key", "v")), "blocks")
             block_lists = dense.groupBy("key", "block").agg(F.sort_array(F.collect_list("v")).alias("list"))
-            lists.append(scratch.table(block_lists.where(F.size("list") > 1).select("list").distinct(), "block_lists"))
+            lists.append(block_lists.where(F.size("list") > 1).select("list"))
 
     every = functools.reduce(DataFrame.unionByName, lists).distinct()
     refined = scratch.table(_refine(every, uniq, threshold), "refined")
