@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import c
+from voltide.llm.common import c, map_frames
 from voltide.session import Scratch
 
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -187,7 +187,7 @@ def ordered_runs(turns: DataFrame, most: int, conv_col: str, turn_col: str, role
             out["conv_id"], out["turn"] = out["conv_id"].astype("Int64"), out["turn"].astype("Int64")
             yield out.assign(part=part, run=runs, pos=places, n_run=0)
 
-    return rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, TURNS)
+    return map_frames(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys), run, TURNS)
 
 
 def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most: int = 512) -> DataFrame:
@@ -206,7 +206,7 @@ def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
             yield b[key].assign(costs=found, conv_id=b["conv_id"].astype("Int64"))
 
     packed = long_rows.groupBy(*key).agg(F.collect_list(F.struct("pos", "role")).alias("roles"))
-    packed = packed.mapInPandas(matrices, "conv_id long, part long, run long, costs array<long>")
+    packed = map_frames(packed, matrices, "conv_id long, part long, run long, costs array<long>")
     # One small matrix for each 512 turns: this is all that a conversation gathers.
     chains = packed.groupBy("conv_id").agg(F.collect_list(F.struct("part", "run", "costs")).alias("chain"))
 
@@ -218,7 +218,7 @@ def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
                 n = len(chain)
                 yield pd.DataFrame({"s_conv": pd.array([conv] * n, "Int64"), "s_part": [x["part"] for x in chain], "s_run": [x["run"] for x in chain], "first": at[:-1], "last": at[1:], "nth": range(n), "is_last": [i + 1 == n for i in range(n)]})
 
-    between = scratch.table(chains.mapInPandas(states, "s_conv long, s_part long, s_run long, first int, last int, nth long, is_last boolean"), "states")
+    between = scratch.table(map_frames(chains, states, "s_conv long, s_part long, s_run long, first int, last int, nth long, is_last boolean"), "states")
     whole = rows.groupBy(*key).agg(F.collect_list(F.struct("pos", "turn", "role", "text")).alias("turns"))
     placed = whole.join(between, null_safe("conv_id", "s_conv") & (F.col("part") == F.col("s_part")) & (F.col("run") == F.col("s_run")), "left")
 
@@ -235,4 +235,4 @@ def repair(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
                 f[k] = f[k].astype("Int64")
             yield f
 
-    return placed.select("conv_id", "turns", "first", "last", "nth", "is_last").mapInPandas(finish, OUT)
+    return map_frames(placed.select("conv_id", "turns", "first", "last", "nth", "is_last"), finish, OUT)

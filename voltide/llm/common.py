@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Largest number of rows that a broadcast lookup may have (proven by counting).
 BROADCAST_ROWS = 1_000_000
@@ -27,14 +28,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, per_batch, schema: T.StructType | str) -> DataFrame:
-    """mapInPandas with one output frame per input batch."""
+def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
+    """mapInPandas whose whole numbers stay whole numbers next to nulls.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield per_batch(batch)
+    A column with nulls arrives as Python objects instead of floats, so that no
+    64-bit id loses digits."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(struct)
 
-    return df.mapInPandas(run, schema)
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.to_pandas(integer_object_nulls=True) for b in found):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(batches, struct)
 
 
 def broadcast_if_small(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
-from voltide.llm.common import c, utf8
+from voltide.llm.common import c, map_frames, utf8
 from voltide.session import scratch_path
 
 WINDOW = 13
@@ -265,11 +265,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                 w, spans, items, longest = judge(t, shards, window)
                 n_hit = sum(e - s for s, e in spans)
                 rows.append((None if pd.isna(d) else int(d), len(w), n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), is_contaminated(n_hit, len(w)), longest))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"], dtype=object)
 
-    return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")).mapInPandas(run, HITS)
+    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")), run, HITS)
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:

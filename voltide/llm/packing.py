@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from voltide.llm import tokens
-from voltide.llm.common import c
+from voltide.llm.common import c, map_frames
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 
@@ -149,10 +149,9 @@ def pack_examples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         packer = Packer(capacity, max_segments, max_loss, pool)
 
         def ready() -> pd.DataFrame:
-            out = pd.DataFrame(packer.out, columns=names)
+            cols = dict(zip(names, zip(*packer.out, strict=True), strict=True))
             packer.out = []
-            out["doc_id"], out["sequence_id"] = out["doc_id"].astype("Int64"), out["sequence_id"].astype("int64") + base
-            return out
+            return pd.DataFrame({k: pd.array(v, "Int64") for k, v in cols.items()}).assign(sequence_id=lambda d: d["sequence_id"] + base)
 
         for b in batches:
             losses = b["n_loss"] if loss_col else [None] * len(b)
@@ -167,4 +166,4 @@ def pack_examples(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         if packer.out:
             yield ready()
 
-    return docs.select(*cols).mapInPandas(run, PIECES)
+    return map_frames(docs.select(*cols), run, PIECES)

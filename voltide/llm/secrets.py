@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voltide.llm.common import c
+from voltide.llm.common import c, map_frames
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -103,11 +103,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 base = [s for s in spans if s[2] in KINDS[:3]]
                 kinds = [s[2] for s in base]
                 rows.append((None if pd.isna(d) else int(d), *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(render(base).encode()).hexdigest(), render(spans)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], dtype=object)
 
-    return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")).mapInPandas(run, SPANS)
+    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")), run, SPANS)
 
 
 def redact_text(text: str | None, mask: str = "[SECRET]") -> str | None:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltide.llm import tokens
-from voltide.llm.common import c
+from voltide.llm.common import c, map_frames
 from voltide.session import Scratch, scratch_path
 
 MAGIC = b"VTOK1\0\0\0"
@@ -56,7 +56,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocab_path: st
                 frames = [z.compress(x if width == 4 else tokens.as_array(x).astype("<u2").tobytes()) for x in ids]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_tokens": [len(x) // 4 for x in ids], "frame": frames})
 
-    return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")).mapInPandas(run, ENCODED)
+    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")), run, ENCODED)
 
 
 def sample_dictionary(docs: DataFrame, text_col: str, vocab_path: str, width: int, size: int, documents: int, ids: int) -> bytes:
@@ -72,7 +72,7 @@ def sample_dictionary(docs: DataFrame, text_col: str, vocab_path: str, width: in
         for b in batches:
             yield pd.DataFrame({"ids": [tokens.as_array(x)[:ids].astype("<u2" if width == 2 else "<u4").tobytes() for x in enc.encode_all(b["text"].tolist())]})
 
-    samples = [bytes(r.ids) for r in texts.mapInPandas(run, "ids binary").limit(2 * documents).toLocalIterator()]
+    samples = [bytes(r.ids) for r in map_frames(texts, run, "ids binary").limit(2 * documents).toLocalIterator()]
     return train_dictionary([x for x in samples if x], size)
 
 
@@ -192,7 +192,7 @@ def write_tokens(encoded: DataFrame, folder: str, dictionary: bytes, *, width: i
             fs.delete_file(f"{at}/{name}")
 
     ordered = encoded.repartitionByRange(shards, "doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "frame")
-    return ordered.mapInPandas(run, MANIFEST)
+    return map_frames(ordered, run, MANIFEST)
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     table = spark.createDataFrame(shards, schema)
     if len(shards) > 1:
         table = table.repartition(len(shards))
-    return table.mapInPandas(run, DECODED)
+    return map_frames(table, run, DECODED)
 
 
 def token_output(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocab_path: str | None = None, end_id: int = 1, folder: str | None = None, dictionary_bytes: int = 64 << 10, sample_documents: int = 1000, sample_ids: int = 4096) -> DataFrame:

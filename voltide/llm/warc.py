@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltide.llm.common import broadcast_if_small, c, utf8
+from voltide.llm.common import broadcast_if_small, c, map_frames, utf8
 from voltide.session import Scratch, scratch_path
 
 DATE = "2000-01-01T00:00:00Z"
@@ -130,7 +130,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
         else:
             fs.delete_file(f"{at}/{name}")
 
-    return Scratch(spark).table(planned.select("page_id", "url", "html", "digest", "refers_to").mapInPandas(run, FILES), "files")
+    return Scratch(spark).table(map_frames(planned.select("page_id", "url", "html", "digest", "refers_to"), run, FILES), "files")
 
 
 def parse_records(f) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -195,7 +195,7 @@ def read_records(files: DataFrame, batch: int = 500) -> DataFrame:
         if out:
             yield _frame(out)
 
-    return files.mapInPandas(run, RECORDS)
+    return map_frames(files, run, RECORDS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -237,7 +237,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
                 out[k] = out[k].astype("Int64")
             yield out
 
-    return grouped.select("page_id", "payload_digest", "segments").mapInPandas(run, PAGES)
+    return map_frames(grouped.select("page_id", "payload_digest", "segments"), run, PAGES)
 
 
 def read_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
