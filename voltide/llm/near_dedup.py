@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import broadcast_if_small, c, utf8
+from voltide.llm.common import broadcast_if_small, c, map_frames, utf8
 from voltide.llm.components import connected_components
 from voltide.session import Scratch
 
@@ -74,7 +74,7 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -174,7 +174,7 @@ def vertices(docs: DataFrame, id_col: str, text_col: str, trees: int) -> DataFra
                 yield out
 
     text = c(text_col).cast("string")
-    return docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(run, VERTEX)
+    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, VERTEX)
 
 
 def _descend(large: DataFrame, banks: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _descend(large: DataFrame, banks: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": keys, "v": vs})
 
     steps = F.greatest(F.lit(1), F.floor(F.log2((F.col("m") / LEAF).cast("int").cast("double")))).cast("int")
-    return large.withColumn("steps", steps).join(banks, "v").select("v", "key", "steps", "bank").mapInPandas(run, "key long, v binary")
+    return map_frames(large.withColumn("steps", steps).join(banks, "v").select("v", "key", "steps", "bank"), run, "key long, v binary")
 
 
 def spanning(near: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -264,7 +264,7 @@ def _refine(lists: DataFrame, uniq: DataFrame, threshold: float) -> DataFrame:
                 out += plausible_groups(vs, np.array([m["n"] for m in members]), sketches, threshold)
             yield pd.DataFrame({"list": out})
 
-    return _members(lists, uniq, ["n", "sketch"]).select("members").mapInPandas(run, "list array<binary>").distinct()
+    return map_frames(_members(lists, uniq, ["n", "sketch"]).select("members"), run, "list array<binary>").distinct()
 
 
 def _confirm(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _confirm(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     vs.append(y)
             yield pd.DataFrame({"u": us, "v": vs})
 
-    return _members(lists, sets, ["shingles"]).select("members").mapInPandas(run, "u binary, v binary").distinct()
+    return map_frames(_members(lists, sets, ["shingles"]).select("members"), run, "u binary, v binary").distinct()
 
 
 def _shingles(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _shingles(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
                 sets = [shingle_set(t).tobytes() for t in b["text"].iloc[lo : lo + 1000]]
                 yield pd.DataFrame({"v": [hashlib.blake2b(s, digest_size=16).digest() for s in sets], "shingles": sets})
 
-    found = rows.select("text").mapInPandas(run, "v binary, shingles binary")
+    found = map_frames(rows.select("text"), run, "v binary, shingles binary")
     return found.join(broadcast_if_small(wanted.select("v")), "v", "left_semi").groupBy("v").agg(F.first("shingles").alias("shingles"))
 
 

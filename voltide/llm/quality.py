@@ -25,8 +25,10 @@ rate; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import operator
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -86,7 +88,7 @@ class _Ids(dict):
         self.vocab, self.heads = vocab, {x[: _STEMS[0]] for x in vocab}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         # No part of a word is a feature if none begins as it does.
         out = tuple(self.vocab[x] for x in parts(word) if x in self.vocab) if word[: _STEMS[0]] in self.heads else ()
@@ -94,7 +96,14 @@ class _Ids(dict):
         return out
 
 
-@dataclass
+@functools.lru_cache(maxsize=1)
+def _ids_of(model: Model) -> _Ids:
+    """The word cache of the model in use: one per worker, whatever models
+    came before."""
+    return _Ids(model.vocab)
+
+
+@dataclass(eq=False)
 class Model:
     """Weights per target; the bin edges of the measures of form."""
 
@@ -103,14 +112,9 @@ class Model:
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     bias: dict[str, float] = field(default_factory=dict)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_ids"}
-
     def features(self, text: str | None) -> np.ndarray:
-        if not hasattr(self, "_ids"):
-            self._ids = _Ids(self.vocab)
         w = words(text)
-        hits = Counter(itertools.chain.from_iterable(map(self._ids.__getitem__, w)))
+        hits = Counter(itertools.chain.from_iterable(map(_ids_of(self).__getitem__, w)))
         found = [len(LEVELS) * i + k for i, n in hits.items() for k, least in enumerate(LEVELS) if n >= least]
         base = len(LEVELS) * len(self.vocab)
         bins = [base + k * (BINS + 1) + int(np.searchsorted(e, x)) for k, (x, e) in enumerate(zip(form(text, w), self.edges, strict=True))]
@@ -138,33 +142,46 @@ def _descend(indptr: np.ndarray, indices: np.ndarray, y: np.ndarray, size: int,
     return w, b
 
 
-def telling_words(cut: list[list[bytes]], labels: dict[str, np.ndarray], least: int, z: float, most: int) -> list[bytes]:
+def telling_words(texts: list[str | None], labels: dict[str, np.ndarray], least: int, z: float, most: int, slots: int = 1 << 20) -> list[bytes]:
     """Words and beginnings whose share of a target's rows is ``z`` standard
-    errors off."""
-    ids: dict[bytes, int] = {}
-    sets = [np.fromiter({ids.setdefault(p, len(ids)) for x in set(w) for p in parts(x)}, np.int64) for w in cut]
-    n, counts = len(cut), np.bincount(np.concatenate(sets) if sets else np.zeros(0, np.int64), minlength=len(ids))
-    best = np.zeros(len(ids))
-    for t in TARGETS:
-        rate = labels[t].mean() if n else 0.0
-        ones = [s for s, y in zip(sets, labels[t], strict=True) if y]
-        hits = np.bincount(np.concatenate(ones) if ones else np.zeros(0, np.int64), minlength=len(ids))
-        off = np.abs(hits - rate * counts) / np.sqrt(np.maximum(rate * (1 - rate) * counts, 1e-9))
-        best = np.maximum(best, off)
-    order = sorted((x for x, i in ids.items() if counts[i] >= least and best[i] >= z), key=lambda x: (-best[ids[x]], x))
-    return order[:most]
-
+    errors off, counted in at least ``least`` texts.
 
-def fit(texts: list[str | None], labels: dict[str, np.ndarray], *, least: int = 5, z: float = 6.0, most_words: int = 20_000, rounds: int = 400, l2: float = 0.2) -> Model:
+    A first pass counts hashed slots, so that memory does not grow with the
+    vocabulary; a slot's count bounds that of its words. A second pass counts
+    exactly what lies in slots that are full enough.
+    """
+    n = len(texts)
+    unique = lambda t: {p for x in set(words(t)) for p in parts(x)}
+    full = np.zeros(slots, np.int32)
+    for t in texts:
+        full[np.fromiter({zlib.crc32(p) % slots for p in unique(t)}, np.int64)] += 1
+    rate = {t: labels[t].mean() if n else 0.0 for t in TARGETS}
+    # ``count`` texts can be at most sqrt(count * most_extreme_odds) errors off.
+    odds = max(max((1 - r) / r, r / (1 - r)) if 0 < r < 1 else 0.0 for r in rate.values())
+    keep = full >= max(least, z * z / odds if odds else n + 1)
+    counts: dict[bytes, list[int]] = {}
+    for i, t in enumerate(texts):
+        for p in unique(t):
+            if keep[zlib.crc32(p) % slots]:
+                row = counts.setdefault(p, [0] * (1 + len(TARGETS)))
+                row[0] += 1
+                for k, target in enumerate(TARGETS, 1):
+                    row[k] += int(labels[target][i])
+    off = {}
+    for p, row in counts.items():
+        if row[0] >= least:
+            off[p] = max((abs(row[k] - r * row[0]) / np.sqrt(r * (1 - r) * row[0]) if 0 < r < 1 else 0.0) for k, r in enumerate(rate.values(), 1))
+    return sorted((p for p in off if off[p] >= z), key=lambda p: (-off[p], p))[:most]
+
+
+def fit(texts: list[str | None], labels: dict[str, np.ndarray], *, least: int = 5, z: float = 6.0, most_words: int = 500, rounds: int = 300, l2: float = 0.2) -> Model:
     """A model of the texts; features are the words that tell (``z``, at most
     ``most_words``, in at least ``least`` texts) and the measures of form."""
-    cut = [words(t) for t in texts]
-    kept = telling_words(cut, labels, least, z, most_words)
+    kept = telling_words(texts, labels, least, z, most_words)
     model = Model(vocab={x: i for i, x in enumerate(kept)})
     if texts:
-        shapes = np.array([form(t, w) for t, w in zip(texts, cut, strict=True)])
+        shapes = np.array([form(t, words(t)) for t in texts])
         model.edges = np.quantile(shapes, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    del cut
     rows = [model.features(t) for t in texts]
     indptr = np.cumsum([0, *map(len, rows)])
     indices = np.concatenate(rows) if rows else np.zeros(0, np.int64)
