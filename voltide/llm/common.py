@@ -37,8 +37,10 @@ def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     arrow = to_arrow_schema(struct)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in run(b.to_pandas(integer_object_nulls=True) for b in found):
-            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        # One thread: a pool would hold memory for each of its threads.
+        frames = (b.to_pandas(integer_object_nulls=True, use_threads=False, deduplicate_objects=False) for b in found)
+        for out in run(frames):
+            yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False, nthreads=1)
 
     return df.mapInArrow(batches, struct)
 

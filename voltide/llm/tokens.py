@@ -16,11 +16,14 @@ import struct
 
 import numpy as np
 
-#: What the word rule below is used for: ASCII and Latin letters whose case and
-#: composition rules are one to one (not U+0130), without special tokens.
-_OTHER = re.compile("[^\t-\r -~À-įı-ſ]|<\\|")
-#: The vocabulary's own pre-tokenizer rule, for lower-cased text of that range.
-_WORD = re.compile("[a-zß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sa-zß-öø-ſ0-9]+")
+#: The vocabulary's own pre-tokenizer rule, for lower-cased text of ASCII and
+#: Latin letters, whose case and composition rules are one to one. Whatever else
+#: a text holds ends up in a word of the last kind, where _OTHER finds it.
+_WORD = re.compile("[a-zß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-zß-öø-ſ0-9]+")
+#: Words that the rule does not hold for, and parts of special tokens.
+_OTHER = re.compile("[^!-~à-ÿ×ß-ſ]|<\\|")
+#: Stands for such a word; its text goes to the library whole.
+_WHOLE = b"whole"
 
 
 def default_vocab() -> str:
@@ -41,6 +44,13 @@ class WordCache(dict):
         return b""
 
 
+def next_empty(ids: list[bytes], start: int) -> int:
+    try:
+        return ids.index(b"", start)
+    except ValueError:
+        return -1
+
+
 class WordEncoder:
     """Encode texts through a bounded word cache.
 
@@ -53,7 +63,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocab_path)
-        self.max_entries, self.cache = max_entries, WordCache()
+        self.max_entries, self.cache, self.odd = max_entries, WordCache(), False
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -64,6 +74,10 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in long lines; a word's last id carries its end."""
+        if odd := [w for w in words if _OTHER.search(w)]:
+            self.cache.update(dict.fromkeys(odd, _WHOLE))
+            self.odd = True
+            words = [w for w in words if w not in self.cache]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -85,24 +99,25 @@ class WordEncoder:
         out = []
         for at in range(0, len(texts), group):
             part = texts[at : at + group]
-            cut = [None if t and _OTHER.search(t) else _WORD.findall(t.lower()) if t else [] for t in part]
+            cut = [_WORD.findall(t.lower()) if t else [] for t in part]
             new = self.cache.new
             found, late = [], []
             for words in cut:
                 before = len(new)
-                found.append(None if words is None else list(map(self.cache.__getitem__, words)))
+                found.append(list(map(self.cache.__getitem__, words)))
                 late.append(len(new) > before)
             if new:
                 if len(self.cache) + len(new) > self.max_entries:
                     self.cache = WordCache()
                 self._learn(list(set(new)))
-                new.clear()
-            get = self.cache.get
+                self.cache.new.clear()
+            get, odd = self.cache.get, self.odd
             for t, words, ids, some in zip(part, cut, found, late, strict=True):
-                if words is None:
-                    out.append(self._pack(t))
-                else:
-                    out.append(b"".join([i or get(w) for w, i in zip(words, ids, strict=True)] if some else ids))
+                gap = next_empty(ids, 0) if some else -1
+                while gap >= 0:  # the words learned just now
+                    ids[gap] = get(words[gap])
+                    gap = next_empty(ids, gap + 1)
+                out.append(self._pack(t) if odd and _WHOLE in ids else b"".join(ids))
         return out
 
 
