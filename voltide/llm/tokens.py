@@ -60,9 +60,13 @@ class WordEncoder:
 
     def __init__(self, vocab_path: str, max_entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocab_path)
+        # The same merges for words that are lower-cased, composed and cut already.
+        self.merger = Tokenizer.from_file(vocab_path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.max_entries, self.cache, self.odd = max_entries, WordCache(), False
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -80,7 +84,7 @@ class WordEncoder:
             words = [w for w in words if w not in self.cache]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.merger.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and stops[-1] == len(ids):
                 raw, a = ids.tobytes(), 0
