@@ -172,6 +172,7 @@ def vertices(docs: DataFrame, id_col: str, text_col: str, trees: int) -> DataFra
                 out.insert(0, "text_hash", part["text_hash"].values)
                 out.insert(0, "doc_id", part["doc_id"].astype("Int64").values)
                 yield out
+        _word_hash().clear()  # other stages share this worker's memory
 
     text = c(text_col).cast("string")
     return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, VERTEX)

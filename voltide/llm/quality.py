@@ -225,6 +225,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) ->
             got = np.array([model.scores(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(TARGETS))
             columns = [*b.columns[:-1], *(pa.array(got[:, k]) for k in range(len(TARGETS)))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f"score_{t}" for t in TARGETS)])
+        _ids_of(model).clear()  # other stages share this worker's memory
 
     return docs.select(*map(c, keep), c(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
