@@ -110,3 +110,35 @@ def test_components(spark, edges):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+@pytest.mark.parametrize("steps", [4, 7])
+def test_pairs_meet_below_skipped_levels(steps):
+    rng = np.random.default_rng(5)
+    met = []
+    for _ in range(400):
+        a = rng.integers(0, 1 << 32, near_dedup.BANK, np.uint32)
+        b = np.where(rng.random(near_dedup.BANK) < 0.85, a, a + np.uint32(1))
+        ones = [set(near_dedup.children(int(key), a, steps)) & set(near_dedup.children(int(key), b, steps)) for key in rng.integers(-(1 << 62), 1 << 62, 5)]
+        met += [bool(x) for x in ones]
+    assert np.mean(met) > 0.95 * near_dedup.meeting(0.85, steps) / 0.85
+
+
+def test_jumps_end_where_single_levels_do():
+    bank = np.random.default_rng(6).integers(0, 1 << 32, near_dedup.BANK, np.uint32)
+    one = [7]
+    for _ in range(6):
+        one = [x for key in one for x in near_dedup.children(key, bank)]
+    assert len(one) > 1 and one == near_dedup.children(7, bank, 6)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_stated_recall_holds_at_the_last_level(threshold):
+    rng = np.random.default_rng(7)
+    trees, missed = near_dedup.trees_for(threshold, 0.9999), 0
+    for _ in range(1500):
+        a = rng.integers(0, 1 << 32, near_dedup.BANK, np.uint32)
+        b = np.where(rng.random(near_dedup.BANK) < threshold, a, a + np.uint32(1))
+        first = set(near_dedup.roots(a, trees)) & set(near_dedup.roots(b, trees))
+        missed += not any(set(near_dedup.children(k, a, near_dedup.DEPTH - 1)) & set(near_dedup.children(k, b, near_dedup.DEPTH - 1)) for k in first)
+    assert missed <= 2

@@ -5,14 +5,15 @@ forest of independent trees then branches the vertices: at each node a hash
 function that belongs to the node selects every member's minwise token, and the
 members go to the child of that token. Some nodes, picked by their key, branch
 by a second token too, so that the expected number of shared children of a pair
-at the threshold stays about one at any depth. A node is done when it is small;
+at the threshold is about one or more at any depth. A large node is parted several
+levels at once, each of which branches as if it were made alone; no path is
+longer than DEPTH - 1 levels in all. A node is done when it is small;
 its members are then compared exhaustively, first by sketch, then on full
 sets, and the links that hold up are emitted as a forest of the node, which
 joins the same documents as all its links would. Components of these forests
 over all trees are the classes.
 
-Trees are repeated to the target recall. A pair at the threshold J meets in
-the first node of a tree with probability J; see ``trees_for``.
+Trees are repeated to the target recall at the last level; see ``trees_for``.
 
 Groups of near copies may be too alike for any depth to part them. A node that
 is still large at the last depth is dealt into blocks of bounded size by hash;
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -57,15 +59,27 @@ LEAF = 256
 DEPTH = 8
 HUBS = 4
 #: Of 1000 nodes, how many branch by two tokens.
-TWIN = 200
+TWIN = 300
 VERTEX = "doc_id long, text_hash long, n long, v binary, keys array<long>, sketch binary, bank binary"
 
 
+def meeting(similarity: float, levels: int) -> float:
+    """Probability that a pair shares a node ``levels`` below the first one of a
+    tree: a branching process, whose functions are taken as independent."""
+    share = 1.0
+    for _ in range(levels):
+        apart = 1 - similarity * share
+        share = 1 - apart * (1 - TWIN / 1000 * (1 - apart))
+    return similarity * share
+
+
 def trees_for(threshold: float, recall: float) -> int:
-    """Trees after which a pair at the threshold has met with ``recall``,
-    counted at the depth where nodes of a dense group part: a tree joins the
-    pair there with probability about threshold ** 4 at least."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**4))
+    """Trees after which a pair at the threshold has met with ``recall`` in a
+    node of the last level, so in a group of any size: what is still large
+    there loses no link. The functions a pair agrees on are of one small bank,
+    so their number is drawn once for all trees."""
+    luck = [(math.comb(BANK, k) * threshold**k * (1 - threshold) ** (BANK - k), 1 - meeting(k / BANK, DEPTH - 1)) for k in range(BANK + 1)]
+    return next(n for n in itertools.count(1) if sum(p * apart**n for p, apart in luck) <= 1 - recall)
 
 
 class _WordHash(dict):
@@ -136,17 +150,19 @@ def _fold(key: int, x: int) -> int:
 
 def children(key: int, bank: np.ndarray, steps: int = 1) -> list[int]:
     """Keys of the nodes ``steps`` levels below node ``key`` that a member
-    goes to; the last step may branch twice."""
-    for _ in range(steps - 1):
-        key = _fold(key, int(bank[key % (1 << 62) % BANK]))
-    pick = key % (1 << 62)
-    first = pick % BANK
-    out = [_fold(key, int(bank[first]))]
-    if (pick >> 8) % 1000 < TWIN:
-        second = (first + 1 + (pick >> 20) % (BANK - 1)) % BANK
-        out.append(_fold(key, 1 << 40 | int(bank[second])))
-    return out
-
+    goes to; the nodes of each level may branch twice."""
+    level = [key]
+    for _ in range(steps):
+        below = []
+        for key in level:
+            pick = key % (1 << 62)
+            first = pick % BANK
+            below.append(_fold(key, int(bank[first])))
+            if (pick >> 8) % 1000 < TWIN:
+                second = (first + 1 + (pick >> 20) % (BANK - 1)) % BANK
+                below.append(_fold(key, 1 << 40 | int(bank[second])))
+        level = below
+    return level
 
 
 def roots(bank: np.ndarray, trees: int) -> list[int]:
@@ -179,19 +195,22 @@ def vertices(docs: DataFrame, id_col: str, text_col: str, trees: int) -> DataFra
 
 
 def _descend(large: DataFrame, banks: DataFrame) -> DataFrame:
-    """Members (key, v, m) of large nodes, some levels down."""
+    """Members (key, v, depth) of large nodes (key, v, m, depth), some levels
+    down, none below the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            vs, keys = [], []
-            for v, key, steps, bank in zip(b["v"], b["key"], b["steps"], b["bank"], strict=True):
+            vs, keys, depths = [], [], []
+            for v, key, steps, depth, bank in zip(b["v"], b["key"], b["steps"], b["depth"], b["bank"], strict=True):
                 below = children(int(key), np.frombuffer(bank, "<u4"), int(steps))
                 keys += below
                 vs += [v] * len(below)
-            yield pd.DataFrame({"key": keys, "v": vs})
+                depths += [depth + steps] * len(below)
+            yield pd.DataFrame({"key": keys, "v": vs, "depth": depths})
 
     steps = F.greatest(F.lit(1), F.floor(F.log2((F.col("m") / LEAF).cast("int").cast("double")))).cast("int")
-    return map_frames(large.withColumn("steps", steps).join(banks, "v").select("v", "key", "steps", "bank"), run, "key long, v binary")
+    steps = F.least(steps, F.lit(DEPTH - 1) - F.col("depth"))
+    return map_frames(large.withColumn("steps", steps).join(banks, "v").select("v", "key", "steps", "depth", "bank"), run, "key long, v binary, depth int")
 
 
 def spanning(near: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -323,24 +342,29 @@ def similarity_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     uniq = scratch.table(each.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("first_id"), *(F.first(x).alias(x) for x in ("n", "keys", "sketch", "bank"))), "unique")
 
     lists, dense, banks = [], None, None
-    level = uniq.select(F.explode("keys").alias("key"), "v")
-    for depth in range(DEPTH):
-        counts = scratch.table(level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"counts{depth}")
-        rows = scratch.table(level.join(broadcast_if_small(counts), "key"), f"nodes{depth}")
+    level = uniq.select(F.explode("keys").alias("key"), "v", F.lit(0).alias("depth"))
+    stuck = []  # large nodes of the last level
+    for n in range(DEPTH):
+        counts = scratch.table(level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"counts{n}")
+        rows = scratch.table(level.join(broadcast_if_small(counts), "key"), f"nodes{n}")
         small = rows.where(F.col("m") <= LEAF).groupBy("key").agg(F.sort_array(F.collect_list("v")).alias("list"))
         lists.append(small.select("list"))
-        large = rows.where(F.col("m") > LEAF)
         if not counts.where(F.col("m") > LEAF).limit(1).count():
             break
+        large = rows.where(F.col("m") > LEAF)
+        if n:  # first nodes have levels below them
+            stuck.append(large.where(F.col("depth") == DEPTH - 1).select("key", "v"))
+            large = large.where(F.col("depth") < DEPTH - 1)
+            if not large.limit(1).count():
+                break
         if banks is None:  # members of deeper nodes are all among these
             some = scratch.table(large.select("v").distinct(), "in_large")
             banks = scratch.table(uniq.select("v", "bank").join(broadcast_if_small(some), "v", "left_semi"), "banks")
-        if depth + 1 < DEPTH:
-            level = scratch.table(_descend(large, banks), f"level{depth}")
-        else:
-            dense = scratch.table(_blocks(large.select("key", "v")), "blocks")
-            block_lists = dense.groupBy("key", "block").agg(F.sort_array(F.collect_list("v")).alias("list"))
-            lists.append(block_lists.where(F.size("list") > 1).select("list"))
+        level = scratch.table(_descend(large, banks), f"level{n}")
+    if stuck:
+        dense = scratch.table(_blocks(functools.reduce(DataFrame.unionByName, stuck)), "blocks")
+        block_lists = dense.groupBy("key", "block").agg(F.sort_array(F.collect_list("v")).alias("list"))
+        lists.append(block_lists.where(F.size("list") > 1).select("list"))
 
     every = functools.reduce(DataFrame.unionByName, lists).distinct()
     refined = scratch.table(_refine(every, uniq, threshold), "refined")
