@@ -45,3 +45,15 @@ def test_rows(spark):
     out = h.extract(df).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 0), (1, 1), (1, 1), (3, 0), (4, 200_000)]
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_hints_around_the_whole_page():
+    """An article stays one in a wrapper that is named after its sidebar, or in a form."""
+    for wrapper in ('div class="container has-sidebar"', 'div class="no-ads"', 'div class="pageWidget"', 'form id="f"', "form"):
+        tag = wrapper.split()[0]
+        for inner in ("article", "main"):
+            page = f'<body><{wrapper}><div class="menu">{P}</div><{inner}><h1>Story</h1><p>{P}</p><div class="ad-slot">{P}</div></{inner}><div>{P}</div></{tag}></body>'
+            assert h.main_text(page).split("\n\n") == ["Story", P.strip()], (wrapper, inner)
+    for wrapper in ("div class=comments", "div class=related", "div hidden", "aside", "footer"):
+        page = f"<main><p>{P}</p></main><{wrapper}><article><p>Other.</p></article></{wrapper.split()[0]}>"
+        assert h.main_text(page) == P.strip()

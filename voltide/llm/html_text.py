@@ -66,27 +66,33 @@ class Block:
     heading: bool
     listed: bool
     label: str = ""
+    lifted: bool = False  # inside an article of a part named like an aside
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
 
 
-def _is_aside(tag: str, raw: str, inside: bool) -> bool:
-    """Whether an element opens a part that is no article text."""
+def _is_aside(tag: str, raw: str, inside: bool) -> str:
+    """Whether an element opens a part that is no article text: "part" if for
+    sure, "hint" if an article or main element in it says otherwise."""
     if tag in ASIDE or (tag == "header" and not inside):
-        return True
+        sure = tag != "form"  # some pages are one form
+        if sure or not raw.strip():
+            return "part" if sure else "hint"
     if not raw.strip():
-        return False
+        return ""
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
+        return "part"
     named = {x.lower() for k in ("class", "id", "role") for x in _HINT_CUT.split(a.get(k, ""))}
     if tag in ("html", "body", "main"):
-        return False
+        return ""
+    if named & COMMENTS:
+        return "part"
     if tag == "article":
-        return bool(named & COMMENTS)
-    return bool(named & HINTS) or (not inside and bool(named & HEADS))
+        return ""
+    return "hint" if tag == "form" or named & HINTS or (not inside and named & HEADS) else ""
 
 
 class _Reader:
@@ -94,13 +100,13 @@ class _Reader:
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, aside, inside an article
+        self.stack: list[tuple[str, str, bool]] = []  # tag, aside, inside an article
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.heading = False
 
-    def state(self) -> tuple[bool, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
+    def state(self) -> tuple[str, bool]:
+        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
 
     def text(self, raw: str) -> None:
         if raw:
@@ -113,7 +119,7 @@ class _Reader:
         t = _SPACE.sub(" ", "".join(self.parts)).strip()
         if t:
             aside, inside = self.state()
-            self.blocks.append(Block(t, self.linked, aside, inside, self.heading, any(x[0] == "li" for x in self.stack[-3:])))
+            self.blocks.append(Block(t, self.linked, aside in ("part", "hint"), inside, self.heading, any(x[0] == "li" for x in self.stack[-3:]), lifted=aside == "lifted"))
         self.parts, self.linked = [], 0
 
     def open(self, tag: str, raw: str) -> None:
@@ -139,7 +145,10 @@ class _Reader:
             elif tag != "p" and self.stack and self.stack[-1][0] == "p":
                 self.stack.pop()
                 aside, inside = self.state()
-            self.stack.append((tag, aside or marks, inside or (tag in ("article", "main") and not marks)))
+            main = tag in ("article", "main") and not marks
+            if main and not inside and aside == "hint":
+                aside = "lifted"
+            self.stack.append((tag, "part" if aside == "part" else marks or aside, inside or main))
 
     def close(self, tag: str) -> None:
         if tag == "a":
@@ -197,6 +206,9 @@ def _first_pass(b: Block, has_article: bool) -> str:
 
 def label_blocks(blocks: list[Block]) -> list[Block]:
     """Both passes."""
+    if any(b.inside and not b.aside and not b.lifted for b in blocks):  # the others are teasers and the like
+        for b in blocks:
+            b.aside = b.aside or b.lifted
     has_article = any(b.inside and not b.aside for b in blocks)
     first = [_first_pass(b, has_article) for b in blocks]
     before, last = [], None
