@@ -181,3 +181,13 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.json_config(spark, f"file://{tmp_path}/c.json", {"seed": str})
     assert rows(tables.describe(df)) == [("k", "BIGINT", "YES"), ("s", "STRING", "YES")]
+
+
+def test_provenance_check_takes_all_suppliers(spark, sf, monkeypatch):
+    from voltide.plans import curated
+
+    seen = []
+    monkeypatch.setattr(curated.dependence, "provenance_errors", lambda matrix, load: seen.append(load) or load)
+    curated.provenance_check(spark, sf)
+    want = {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    assert {r.driver for r in seen[0].collect()} == want

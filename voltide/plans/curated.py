@@ -246,7 +246,11 @@ def factor_correlation(spark, d):
 
 
 def _loadings(spark, d):
-    s = t(spark, d, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("driver"), F.explode(F.array(F.lit(0), F.lit(1))).alias("factor"))
+    return _all_loadings(t(spark, d, "supplier").where("s_nationkey < 5"))
+
+
+def _all_loadings(suppliers):
+    s = suppliers.select(F.col("s_suppkey").alias("driver"), F.explode(F.array(F.lit(0), F.lit(1))).alias("factor"))
     value = F.when(F.col("factor") == 0, 0.5 + 0.004 * (F.col("driver") % 50)).otherwise(0.1 + 0.002 * (F.col("driver") % 30))
     return s.withColumn("loading", value)
 
@@ -265,7 +269,8 @@ def own_variance(spark, d):
 
 @query("SELECT 0::BIGINT AS n_errors")
 def provenance_check(spark, d):
-    load = _loadings(spark, d)
+    """All suppliers' pairs."""
+    load = _all_loadings(t(spark, d, "supplier"))
     return integrity_count(dependence.provenance_errors(dependence.correlation(load), load))
 
 
