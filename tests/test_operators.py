@@ -191,3 +191,17 @@ def test_provenance_check_takes_all_suppliers(spark, sf, monkeypatch):
     curated.provenance_check(spark, sf)
     want = {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
     assert {r.driver for r in seen[0].collect()} == want
+
+
+def test_paths_and_quotes_take_all_parts(spark, sf):
+    from voltide.operators.paths import MarketSpec, make_paths
+    from voltide.plans import operators_
+
+    parts = {f"P{r.p_partkey}": r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    got = {(r.underlying_id, str(r.date)): r for r in operators_.keyed_rng_paths(spark, sf).collect()}
+    assert set(got) == {(p, day) for p in parts for day in operators_.DAYS}
+    few = dict(list(parts.items())[-3:])
+    spec = MarketSpec(loadings={k: (0.2 + 0.05 * (r.p_size % 10), 0.3) for k, r in few.items()}, spots={k: f"{r.p_retailprice:.2f}" for k, r in few.items()})
+    want = make_paths(spark, spec, operators_.DAYS).collect()
+    assert len(want) == 30 and all(got[r.underlying_id, str(r.date)] == r for r in want)
+    assert {r.underlying_id for r in operators_.option_quotes(spark, sf).select("underlying_id").distinct().collect()} == set(parts)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
 import numpy as np
@@ -92,15 +92,21 @@ def legacy_volume(base: float, u: float) -> int:
     return clip_int64(base * (0.5 + u))
 
 
-def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], closes: DataFrame | None = None) -> DataFrame:
+def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], closes: DataFrame | None = None, underlyings: DataFrame | None = None) -> DataFrame:
     """Daily rows of every underlying over ``days`` (ascending ISO dates).
 
     ``closes`` (underlying_id, date, spot_close): rows already made; only later
     days are added. A day before the last known close is an error.
+
+    ``underlyings`` (underlying_id, spot string, loading array of doubles): taken
+    in place of the specification's names, spots and loadings.
     """
     if list(days) != sorted(set(days)):
         raise ValueError("days must ascend")
-    names = spark.createDataFrame([(n, s) for n, s in sorted(spec.spots.items())], "underlying_id string, spot string")
+    if underlyings is None:
+        names = spark.createDataFrame([(n, s, list(map(float, spec.loadings[n]))) for n, s in sorted(spec.spots.items())], "underlying_id string, spot string, loading array<double>")
+    else:
+        names = underlyings.select("underlying_id", "spot", "loading")
     if closes is not None:
         last = closes.groupBy("underlying_id").agg(F.max("date").alias("last_date"), F.max_by("spot_close", "date").alias("last_close"), F.min("date").alias("first_date"))
         early = last.where(F.lit(days[0]).cast("date") <= F.col("last_date")).count() if days else 0
@@ -112,6 +118,7 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
 
     def per_name(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
+        own = replace(spec, loadings={r["underlying_id"]: tuple(map(float, r["loading"]))})
         known = r["last_date"] is not None and not pd.isna(r["last_date"])
         close = Decimal(str(r["last_close"])) if known else Decimal(r["spot"])
         origin = pd.Timestamp(r["first_date"]) if known else (pd.Timestamp(days[0]) if days else None)
@@ -122,12 +129,12 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
             opening = close
             if before is not None:
                 start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
-                close = next_close(spec, close, start, end, shock(spec, r["underlying_id"], day))
-                high, low = bridge_extremes(spec, r["underlying_id"], day, opening, close, start, end)
+                close = next_close(own, close, start, end, shock(own, r["underlying_id"], day))
+                high, low = bridge_extremes(own, r["underlying_id"], day, opening, close, start, end)
             else:
                 high = low = close = quantise_to_increment(close, spec.increment)
                 opening = close
-            rows.append((r["underlying_id"], t.date(), opening, high, low, close, volume(spec, r["underlying_id"], day)))
+            rows.append((r["underlying_id"], t.date(), opening, high, low, close, volume(own, r["underlying_id"], day)))
             before = t
         return pd.DataFrame(rows, columns=[x.split()[0] for x in DAILY.split(", ")])
 

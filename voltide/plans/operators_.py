@@ -12,32 +12,30 @@ from voltide.plans.registry import query
 DAYS = [f"2026-01-{n:02d}" for n in (2, 5, 6, 7, 8, 9, 12, 13, 14, 15)]
 
 
-def _spec(spark, d) -> paths.MarketSpec:
-    """Ten parts as underlyings: the size of this synthetic market."""
-    parts = t(spark, d, "part").orderBy("p_partkey").limit(10).collect()
-    names = {f"P{r.p_partkey}": r for r in parts}
-    return paths.MarketSpec(loadings={k: (0.2 + 0.05 * (r.p_size % 10), 0.3) for k, r in names.items()}, spots={k: f"{r.p_retailprice:.2f}" for k, r in names.items()})
+def _daily(spark, d):
+    """Every part as an underlying."""
+    loading = F.array(F.lit(0.2) + F.lit(0.05) * (F.col("p_size") % 10), F.lit(0.3))
+    parts = t(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("underlying_id"), F.col("p_retailprice").cast("decimal(24,2)").cast("string").alias("spot"), loading.alias("loading"))
+    return paths.make_paths(spark, paths.MarketSpec(), DAYS, underlyings=parts)
 
 
 @query()
 def keyed_rng_paths(spark, d):
     """Correlated tick-rounded closes with bridged highs and lows."""
-    return paths.make_paths(spark, _spec(spark, d), DAYS)
+    return _daily(spark, d)
 
 
 @query()
 def bridge_ohlc(spark, d):
-    daily = paths.make_paths(spark, _spec(spark, d), DAYS)
-    return daily.select("underlying_id", "date", (F.col("spot_high") - F.col("spot_low")).alias("range"), (F.col("spot_high") >= F.greatest("spot_open", "spot_close")).alias("high_ok"), (F.col("spot_low") <= F.least("spot_open", "spot_close")).alias("low_ok"))
+    return _daily(spark, d).select("underlying_id", "date", (F.col("spot_high") - F.col("spot_low")).alias("range"), (F.col("spot_high") >= F.greatest("spot_open", "spot_close")).alias("high_ok"), (F.col("spot_low") <= F.least("spot_open", "spot_close")).alias("low_ok"))
 
 
 @query()
 def option_quotes(spark, d):
-    spec = _spec(spark, d)
-    daily = paths.make_paths(spark, spec, DAYS)
+    daily = _daily(spark, d)
     listing = daily.where(F.col("date") == DAYS[0]).select("underlying_id", F.col("date").alias("listing_date"), F.col("spot_close").alias("spot"))
     contracts = chain.candidate_grid(listing, [5, 30], ["0.9", "1.0", "1.1"])
-    return quotes.make_quotes(daily, contracts, spec)
+    return quotes.make_quotes(daily, contracts, paths.MarketSpec())
 
 
 @query()
