@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Largest number of rows that a broadcast lookup may have (proven by counting).
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast lookup may have, proven by counting its rows and the
+#: bytes of its texts.
+BROADCAST_BYTES = 4 << 20
+#: Keys that may be called hot; a key is if it has over one row in so many.
+HOT_KEYS, HOT_LEAST = 1000, 500
 
 
 def c(name: str):
@@ -45,12 +48,33 @@ def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
     return df.mapInArrow(batches, struct)
 
 
-def broadcast_if_small(lookup: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup for broadcast if a count proves it small; else leave the
-    join to a shuffle, whose skewed partitions adaptive execution splits.
-    ``lookup`` should be a written table, so that the count is cheap."""
-    n = lookup.limit(limit + 1).count() if limit < 10**9 else lookup.count()
-    return F.broadcast(lookup) if n <= limit else lookup
+def broadcast_if_small(lookup: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a lookup for broadcast if a count of its rows and of the bytes of
+    its texts proves it small; else leave the join to a shuffle, whose skewed
+    partitions adaptive execution splits. ``lookup`` should be a written table,
+    so that the count is cheap."""
+    wide = [F.coalesce(F.octet_length(c(f.name)), F.lit(0)) for f in lookup.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = 16 + 8 * len(lookup.columns)
+    first = lookup.select(sum(wide, F.lit(fixed)).alias("size")).limit(most_bytes // fixed + 1)
+    r = first.agg(F.sum("size").alias("size")).first()
+    return F.broadcast(lookup) if (r["size"] or 0) <= most_bytes else lookup
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
+    """Inner join with a written table of unique keys, whose column ``weight``
+    says how many rows of ``left`` each key has.
+
+    Hot keys, over one row in HOT_KEYS each and so at most HOT_KEYS of them, are
+    broadcast: their rows stay where they are. All other keys shuffle."""
+    total = right.agg(F.sum(weight).alias("n")).first().n or 0
+    cut = max(HOT_LEAST, total // HOT_KEYS)
+    hot = right.where(F.col(weight) > cut)
+    if not hot.limit(1).count():
+        return left.join(broadcast_if_small(right), on)
+    # Spark gives the two reads of each side columns of their own.
+    warm = left.join(F.broadcast(hot.select(F.col(on).alias("__hot"))), F.col(on) == F.col("__hot"), "left_anti")
+    rest = warm.join(broadcast_if_small(right.where(F.col(weight) <= cut)), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
 @functools.lru_cache(maxsize=8)
