@@ -1,21 +1,32 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides a block
-by where it stands (menus, footers, forms, adverts, comments and their like, or
-inside the article) and, elsewhere, by stop-word density, length and link
-density. Blocks too short or too plain to decide then take the label of the
-nearest decided neighbours; where those differ, of the nearer one. Good blocks
-are joined in page order.
+A page is cut into blocks at block-level tags; what is named by its element as
+no text of an article (menus, footers, forms, adverts, comments and their like)
+is taken out. The first pass decides a block by stop-word density, length and
+link density. Where it stands moves the limits: inside the page's article no
+stop words are asked for, outside of it no density is enough. Blocks too short
+or too plain to decide then take the label of the nearest decided neighbours,
+within the article first; where those differ, of the nearer one, and of the
+following one for a heading. Good blocks are joined in page order.
+
+An article or main element counts as the page's article if it holds a fair part
+of the text that the first pass likes wherever it stands. A class, id or role
+that sounds like an aside is a hint: it is overruled where its element holds
+most of that text, or the page's only article. Stop words are not asked for in
+scripts other than Latin, nor on a page that has next to none.
 
 Defined results: null, empty and textless pages give an empty text; unclosed,
-misnested and cut-off tags are read to the end of the page; every row gives one
-row, repeated rows and null ids too; an empty table gives no rows.
+misnested and cut-off tags are read to the end of the page; a block as near to a
+good neighbour as to a bad one is bad unless it is in the article; a page takes
+time in proportion to its length; every row gives one row, repeated rows and null
+ids too; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,18 +66,44 @@ STOP = frozenset(
 )
 
 LONG, SHORT = 200, 70
+#: Parts of the page's text: above MOST a hint is overruled, from FAIR on an
+#: article element is the page's article.
+MOST, FAIR = 2 / 3, 1 / 4
+_FOREIGN = re.compile(r"[^\W\d_a-zA-Z\u00aa-\u024f]")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Of the first pass: below ``short`` characters a block is open; with stop
+    words from ``high`` on (or ``low``, if over ``long``) it is good, below
+    ``low`` bad, between open; above ``links`` it is what ``linked`` says."""
+
+    short: int
+    long: int
+    low: float
+    middle: float
+    high: float
+    links: float
+    linked: str
+
+
+#: By where a block stands: in the page's article, on a page that has one but
+#: outside of it, on a page without.
+INSIDE = Limits(SHORT, 0, 0.0, 0.0, 0.0, 0.5, "")
+OUTSIDE = Limits(0, LONG, 2.0, 2.0, 2.0, 0.5, "bad")
+ANYWHERE = Limits(SHORT, LONG, 0.1, 0.2, 0.3, 0.5, "bad")
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    aside: bool
+    part: bool  # of an element that is no article text for sure
+    hint: int  # innermost element that sounds like none, -1 without one
     inside: bool
     heading: bool
-    listed: bool
     label: str = ""
-    lifted: bool = False  # inside an article of a part named like an aside
+    stop: float = 0.0
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -75,7 +112,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _is_aside(tag: str, raw: str, inside: bool) -> str:
     """Whether an element opens a part that is no article text: "part" if for
-    sure, "hint" if an article or main element in it says otherwise."""
+    sure, "hint" if what it holds can say otherwise."""
     if tag in ASIDE or (tag == "header" and not inside):
         sure = tag != "form"  # some pages are one form
         if sure or not raw.strip():
@@ -100,13 +137,16 @@ class _Reader:
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, str, bool]] = []  # tag, aside, inside an article
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, part, hint, inside an article
+        self.opened: Counter[str] = Counter()
+        self.hints: list[int] = []  # the hint around each hint
+        self.holds: set[int] = set()  # hints that hold an article or main element
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.heading = False
 
-    def state(self) -> tuple[str, bool]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else ("", False)
+    def state(self) -> tuple[bool, int, bool]:
+        return self.stack[-1][1:] if self.stack else (False, -1, False)
 
     def text(self, raw: str) -> None:
         if raw:
@@ -118,10 +158,12 @@ class _Reader:
     def flush(self) -> None:
         t = _SPACE.sub(" ", "".join(self.parts)).strip()
         if t:
-            aside, inside = self.state()
-            self.blocks.append(Block(t, self.linked, aside in ("part", "hint"), inside, self.heading, any(x[0] == "li" for x in self.stack[-3:]), lifted=aside == "lifted"))
+            self.blocks.append(Block(t, self.linked, *self.state(), self.heading))
         self.parts, self.linked = [], 0
 
+    def pop(self) -> None:
+        self.opened[self.stack.pop()[0]] -= 1
+
     def open(self, tag: str, raw: str) -> None:
         if tag == "a":
             self.links = 1
@@ -129,40 +171,44 @@ class _Reader:
         if tag == "br":
             self.parts.append(" ")
             return
-        aside, inside = self.state()
+        part, hint, inside = self.state()
         marks = _is_aside(tag, raw, inside)
         if tag in BLOCK or marks:
             self.flush()
             self.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             self.links = 0
-        if tag in VOID:
+        if tag in VOID or not (tag in BLOCK or marks):
             return
-        if tag in BLOCK or marks:
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
-                self.stack.pop()
-                aside, inside = self.state()
+        if self.stack:
+            top = self.stack[-1][0]
+            if top == tag and tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag != "p" and top == "p":
+                self.pop()
+                part, hint, inside = self.state()
                 marks = _is_aside(tag, raw, inside)
-            elif tag != "p" and self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
-                aside, inside = self.state()
-            main = tag in ("article", "main") and not marks
-            if main and not inside and aside == "hint":
-                aside = "lifted"
-            self.stack.append((tag, "part" if aside == "part" else marks or aside, inside or main))
+        if marks == "hint":
+            self.hints.append(hint)
+            hint = len(self.hints) - 1
+        main = tag in ("article", "main") and not marks
+        if main and not part and hint >= 0:
+            self.holds.add(hint)
+        self.stack.append((tag, part or marks == "part", hint, inside or main))
+        self.opened[tag] += 1
 
     def close(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        if tag in BLOCK or at is not None:
+        known = self.opened[tag] > 0 if tag in self.opened else False
+        if tag in BLOCK or known:
             self.flush()
             self.heading, self.links = False, 0
-        if at is not None:
-            del self.stack[at:]
+        if known:
+            while self.stack[-1][0] != tag:
+                self.pop()
+            self.pop()
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+def blocks_of(page: str) -> _Reader:
+    """The page's blocks with text, in order, and its hints."""
     r, at = _Reader(), 0
     while m := _TOKEN.search(page, at):
         r.text(page[at : m.start()])
@@ -182,59 +228,109 @@ def blocks_of(page: str) -> list[Block]:
         r.open(tag, raw)
     r.text(page[at:])
     r.flush()
-    return r.blocks
+    return r
+
 
+def stop_density(text: str) -> float:
+    """Part of the words that are stop words; 1 in scripts that have none here."""
+    if len(_FOREIGN.findall(text)) * 2 > len(text) - text.count(" "):
+        return 1.0
+    words = [_EDGE.sub("", w).lower() for w in text.split()]
+    return sum(w in STOP for w in words) / max(1, len(words))
 
-def _first_pass(b: Block, has_article: bool) -> str:
+
+def first_pass(b: Block, limits: Limits) -> str:
     """good, bad, or empty where a block alone does not tell."""
-    n = len(b.text)
-    if b.aside:
-        return "bad"
-    density = b.linked / n
-    if b.inside:
-        return "good" if density <= 0.5 else ""
-    if has_article or density > 0.5:
-        return "bad"
-    words = [_EDGE.sub("", w).lower() for w in b.text.split()]
-    stop = sum(w in STOP for w in words) / max(1, len(words))
-    if n < SHORT:
-        return "bad" if density > 0.2 else ""
-    if stop >= 0.3 or (stop >= 0.2 and n > LONG):
-        return "good" if n > LONG or stop >= 0.3 else ""
-    return "" if stop >= 0.1 else "bad"
-
-
-def label_blocks(blocks: list[Block]) -> list[Block]:
-    """Both passes."""
-    if any(b.inside and not b.aside and not b.lifted for b in blocks):  # the others are teasers and the like
-        for b in blocks:
-            b.aside = b.aside or b.lifted
-    has_article = any(b.inside and not b.aside for b in blocks)
-    first = [_first_pass(b, has_article) for b in blocks]
-    before, last = [], None
-    for i, x in enumerate(first):
-        last = i if x else last
-        before.append(last)
-    after, last = [None] * len(first), None
-    for i in range(len(first) - 1, -1, -1):
-        last = i if first[i] else last
-        after[i] = last
-    for i, b in enumerate(blocks):
-        b.label = first[i]
-        if not b.label:
-            lo, hi = before[i], after[i]
-            near = [(abs(i - j), first[j]) for j in (lo, hi) if j is not None]
-            if not near:
-                b.label = "good"
-            elif len(near) == 2 and near[0][0] == near[1][0] and near[0][1] != near[1][1]:
-                b.label = "good" if b.inside or (b.heading and first[hi] == "good") else "bad"
-            else:
-                b.label = min(near)[1] if len(near) == 1 or near[0][0] != near[1][0] else near[0][1]
+    n, density = len(b.text), b.linked / len(b.text)
+    if density > limits.links:
+        return limits.linked
+    if n < limits.short:
+        return "bad" if density > 0.2 and limits.linked else ""
+    if b.stop >= limits.middle and n > limits.long or b.stop >= limits.high:
+        return "good"
+    return "" if b.stop >= limits.low else "bad"
+
+
+def second_pass(first: list[str], side: list[bool], heading: list[bool]) -> list[str]:
+    """Open blocks take the label of the nearest decided neighbours; those in
+    the article (``side``) look there first and are good without any."""
+
+    def nearest(order: range, same_side: bool) -> list[int | None]:
+        out: list[int | None] = [None] * len(first)
+        last: dict[bool, int | None] = {True: None, False: None}
+        for i in order:
+            key = side[i] if same_side else False
+            if first[i]:
+                last[key] = i
+            out[i] = last[key]
+        return out
+
+    up, down = range(len(first)), range(len(first) - 1, -1, -1)
+    before, after = nearest(up, True), nearest(down, True)
+    wide_before, wide_after = nearest(up, False), nearest(down, False)
+    labels = list(first)
+    for i, label in enumerate(first):
+        if label:
+            continue
+        lo, hi = before[i], after[i]
+        if lo is None and hi is None and not side[i]:
+            lo, hi = wide_before[i], wide_after[i]
+        if lo is None and hi is None:
+            labels[i] = "good"
+        elif lo is None or hi is None:
+            labels[i] = first[hi if lo is None else lo]
+        elif first[lo] == first[hi] or i - lo != hi - i:
+            labels[i] = first[lo if i - lo < hi - i else hi]
+        else:
+            labels[i] = "good" if side[i] or (heading[i] and first[hi] == "good") else "bad"
+    return labels
+
+
+def _asides(r: _Reader, liked: list[float]) -> list[bool]:
+    """Which hints hold: those whose element has less than most of what is
+    liked, unless it is around the page's only article; and all within them."""
+    weight = [0.0] * len(r.hints)
+    for b, x in zip(r.blocks, liked, strict=True):
+        if b.hint >= 0:
+            weight[b.hint] += x
+    holds = set(r.holds)
+    for h in range(len(r.hints) - 1, -1, -1):  # an inner hint has the higher number
+        if r.hints[h] >= 0:
+            weight[r.hints[h]] += weight[h]
+            if h in holds:
+                holds.add(r.hints[h])
+    total, free = sum(liked), any(b.inside and not b.part and b.hint < 0 for b in r.blocks)
+    out: list[bool] = []
+    for h, up in enumerate(r.hints):
+        overruled = weight[h] > MOST * total or (h in holds and not free)
+        out.append(not overruled or (up >= 0 and out[up]))
+    return out
+
+
+def label_blocks(r: _Reader) -> list[Block]:
+    """Both passes over what no element takes out."""
+    for b in r.blocks:
+        b.stop = stop_density(b.text)
+    free = [b for b in r.blocks if not b.part]
+    long = [b for b in free if len(b.text) >= SHORT and b.linked <= 0.5 * len(b.text)]
+    if sum(b.stop * len(b.text) for b in long) < 0.05 * sum(len(b.text) for b in long):
+        for b in free:  # a language without stop words here
+            b.stop = 1.0
+    liked = [0.0 if b.part or first_pass(b, ANYWHERE) == "bad" else float(len(b.text) - b.linked) for b in r.blocks]
+    asides = _asides(r, liked)
+    taken = [b.part or (b.hint >= 0 and asides[b.hint]) for b in r.blocks]
+    left = [(b, x) for b, x, out in zip(r.blocks, liked, taken, strict=True) if not out]
+    article = sum(x for b, x in left if b.inside)
+    trusted = article > 0 and article >= FAIR * sum(x for _, x in left)
+    blocks, side = [b for b, _ in left], [trusted and b.inside for b, _ in left]
+    first = [first_pass(b, INSIDE if s else OUTSIDE if trusted else ANYWHERE) for b, s in zip(blocks, side, strict=True)]
+    for b, label in zip(blocks, second_pass(first, side, [b.heading for b in blocks]), strict=True):
+        b.label = label
     if not any(b.label == "good" for b in blocks):  # a page of one odd text: what is no menu or advert is it
         for b in blocks:
-            if not b.aside and b.linked <= 0.5 * len(b.text):
+            if b.linked <= 0.5 * len(b.text):
                 b.label = "good"
-    return blocks
+    return r.blocks
 
 
 def main_text(page: str | None) -> str:
