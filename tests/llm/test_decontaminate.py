@@ -67,3 +67,37 @@ def test_clean(spark):
     assert sorted(r.Text2 for r in d.clean(df, bench, longest=20).collect()) == [3, 4]
     assert d.clean(df.limit(0), bench).count() == 0
     assert d.contamination(df.withColumn("doc_id", df.Text2), bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_shards_of_real_size_are_read_once_for_many_documents(spark, monkeypatch):
+    """Three shards of 60,000 words and more; documents quote some of each."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(600))) for i in range(400)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = d.prepare(bench)
+    assert len(found.shards) == 4 and len(found.grams) == 4
+    docs = []
+    for i in range(300):
+        w = items[i][1].split()
+        docs.append(" ".join(["q"] * (i % 40) + w[i : i + 10 + i % 8] + ["z"] * 30))
+    reads, plain = [], d._read
+    monkeypatch.setattr(d, "_read", lambda uri: reads.append(uri) or plain(uri))
+    d._matcher.cache_clear()
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(lo, lo + 50)), "text": docs[lo : lo + 50]}) for lo in range(0, 300, 50)]
+    got = [x for _, part in d.judged(iter(batches), 1, found) for x in part]
+    assert sum(x.endswith(".shard") for x in reads) == 4  # each once for six batches
+    for i, x in enumerate(got):
+        n = 10 + i % 8
+        assert sum(e - s for s, e in x.spans) == (n if n >= 13 else 0) and x.items == ({str(i)} if n >= 13 else set())
+
+
+def test_very_long_and_clashing(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    long = "filler " * 300_000 + item
+    df = spark.createDataFrame([(1, long, 5, 6), (2, item, 7, 8)], "doc_id long, text string, n_words int, Contaminated int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in d.contamination(df, bench).collect()}
+    assert got == {1: (300_030, 30, False), 2: (30, 30, True)}
+    assert [tuple(r) for r in d.clean(df, bench).collect()] == [(1, long, 5, 6)] and d.clean(df, bench).columns == df.columns
