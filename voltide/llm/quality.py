@@ -10,17 +10,22 @@ its classifier odds times the odds of its path over the global odds, so that a
 sparse site says nothing and a large one speaks for its own documents.
 
 The classifier is fitted on a bounded sample: the ``train_rows`` labelled
-documents of smallest id hash. Rates cover all documents. Each document is
-scored once; the scored rows, with the columns that are kept, are written to
-the shared folder and read for the rates and for the result. Only sums per path
-move.
+documents of smallest id hash. Executors read it: they count in how many rows of
+each value every word stands, and turn the rows into sparse features; counts of
+the words that tell, measures of form and sparse rows come back, no text does.
+Words that stand in the same rows make one feature, and each target chooses its
+own share of them. Rates cover all documents. Each document is scored once; the
+scored rows, with the columns that are kept, are written to the shared folder
+and read for the rates and for the result. Only sums per path move.
 
 Defined results: a null or empty text is scored by its form alone; a null host
 or path part is a site named by the empty string; rows are scored one by one,
-so repeated rows agree and null ids are kept; labels with a null id or null
-targets are not trained on, repeated labels for an id count as one (the
-largest); without labels of both values a target's score is its smoothed base
-rate; an empty table gives no rows.
+so repeated rows agree and null ids are kept; a very long text is read whole, in
+the task that holds it; labels with a null id or null targets are not trained
+on, repeated labels for an id count as one (the largest); of features that tell
+as much, the one of smallest hash is taken; without labels of both values a
+target's score is its smoothed base rate; an empty table gives no rows; columns
+of any name are kept, and what is added takes another name where one is taken.
 """
 
 from __future__ import annotations
@@ -29,16 +34,17 @@ import functools
 import itertools
 import operator
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import broadcast_if_small, c, fresh, utf8
+from voltide.llm.common import c, fresh, join_hot, map_frames, utf8
 from voltide.llm.decontaminate import words
 from voltide.session import Scratch
 
@@ -76,23 +82,22 @@ LEVELS = (1, 2, 4)
 _STEMS = (4, 5, 6, 7, 8)
 
 
-def parts(word: bytes) -> list[bytes]:
-    """A word and its beginnings."""
-    return [word, *(word[:n] + b"*" for n in _STEMS if n < len(word))]
+def parts(word: bytes) -> list[int]:
+    """Hashes of a word and of its beginnings, as signed 64 bits."""
+    all_ = [word, *(word[:n] + b"*" for n in _STEMS if n < len(word))]
+    return [h - (1 << 64) if (h := xxhash.xxh3_64_intdigest(x)) >> 63 else h for x in all_]
 
 
 class _Ids(dict):
     """Word to the ids of its parts that are features; kept up to a bound."""
 
-    def __init__(self, vocab: dict[bytes, int]):
-        self.vocab, self.heads = vocab, {x[: _STEMS[0]] for x in vocab}
+    def __init__(self, vocab: dict[int, int]):
+        self.vocab = vocab
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
-        # No part of a word is a feature if none begins as it does.
-        out = tuple(self.vocab[x] for x in parts(word) if x in self.vocab) if word[: _STEMS[0]] in self.heads else ()
-        self[word] = out
+        self[word] = out = tuple(self.vocab[x] for x in parts(word) if x in self.vocab)
         return out
 
 
@@ -107,103 +112,143 @@ def _ids_of(model: Model) -> _Ids:
 class Model:
     """Weights per target; the bin edges of the measures of form."""
 
-    vocab: dict[bytes, int] = field(default_factory=dict)
+    vocab: dict[int, int] = field(default_factory=dict)
     edges: np.ndarray = field(default_factory=lambda: np.zeros((len(_FORM), 0)))
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     bias: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def size(self) -> int:
+        return len(LEVELS) * len(self.vocab) + len(_FORM) * (BINS + 1)
+
     def features(self, text: str | None) -> np.ndarray:
         w = words(text)
-        hits = Counter(itertools.chain.from_iterable(map(_ids_of(self).__getitem__, w)))
-        found = [len(LEVELS) * i + k for i, n in hits.items() for k, least in enumerate(LEVELS) if n >= least]
+        hits, n = np.unique(np.fromiter(itertools.chain.from_iterable(map(_ids_of(self).__getitem__, w)), np.int64), return_counts=True)
         base = len(LEVELS) * len(self.vocab)
         bins = [base + k * (BINS + 1) + int(np.searchsorted(e, x)) for k, (x, e) in enumerate(zip(form(text, w), self.edges, strict=True))]
-        return np.array([*found, *bins], np.int64)
+        return np.concatenate([*(len(LEVELS) * hits[n >= least] + k for k, least in enumerate(LEVELS)), np.array(bins, np.int64)])
 
     def scores(self, text: str | None) -> list[float]:
         f = self.features(text)
         return [float(1 / (1 + np.exp(-np.clip(self.weights[t][f].sum() + self.bias[t], -30, 30)))) if t in self.weights else self.bias[t] for t in TARGETS]
 
 
-def _descend(indptr: np.ndarray, indices: np.ndarray, y: np.ndarray, size: int, rounds: int, l2: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on the full sample."""
-    w, b = np.zeros(size), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
-    rows = np.repeat(np.arange(len(y)), np.diff(indptr))
-    for t in range(1, rounds + 1):
-        z = np.bincount(rows, w[indices], len(y)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g, gb = np.bincount(indices, err[rows], size) + l2 * w / len(y), err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        scale = 0.1 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w -= scale * m / (np.sqrt(v) + 1e-10)
-        b -= scale * mb / (np.sqrt(vb) + 1e-10)
-    return w, b
-
-
-def telling_words(texts: list[str | None], labels: dict[str, np.ndarray], least: int, z: float, most: int, slots: int = 1 << 20) -> list[bytes]:
-    """Words and beginnings whose share of a target's rows is ``z`` standard
-    errors off, counted in at least ``least`` texts.
-
-    A first pass counts hashed slots, so that memory does not grow with the
-    vocabulary; a slot's count bounds that of its words. A second pass counts
-    exactly what lies in slots that are full enough.
-    """
-    n = len(texts)
-    unique = lambda t: {p for x in set(words(t)) for p in parts(x)}
-    full = np.zeros(slots, np.int32)
-    for t in texts:
-        full[np.fromiter({zlib.crc32(p) % slots for p in unique(t)}, np.int64)] += 1
-    rate = {t: labels[t].mean() if n else 0.0 for t in TARGETS}
-    # ``count`` texts can be at most sqrt(count * most_extreme_odds) errors off.
-    odds = max(max((1 - r) / r, r / (1 - r)) if 0 < r < 1 else 0.0 for r in rate.values())
-    keep = full >= max(least, z * z / odds if odds else n + 1)
-    counts: dict[bytes, list[int]] = {}
-    for i, t in enumerate(texts):
-        for p in unique(t):
-            if keep[zlib.crc32(p) % slots]:
-                row = counts.setdefault(p, [0] * (1 + len(TARGETS)))
-                row[0] += 1
-                for k, target in enumerate(TARGETS, 1):
-                    row[k] += int(labels[target][i])
-    off = {}
-    for p, row in counts.items():
-        if row[0] >= least:
-            off[p] = max((abs(row[k] - r * row[0]) / np.sqrt(r * (1 - r) * row[0]) if 0 < r < 1 else 0.0) for k, r in enumerate(rate.values(), 1))
-    return sorted((p for p in off if off[p] >= z), key=lambda p: (-off[p], p))[:most]
-
-
-def fit(texts: list[str | None], labels: dict[str, np.ndarray], *, least: int = 5, z: float = 6.0, most_words: int = 500, rounds: int = 300, l2: float = 0.2) -> Model:
-    """A model of the texts; features are the words that tell (``z``, at most
-    ``most_words``, in at least ``least`` texts) and the measures of form."""
-    kept = telling_words(texts, labels, least, z, most_words)
-    model = Model(vocab={x: i for i, x in enumerate(kept)})
-    if texts:
-        shapes = np.array([form(t, words(t)) for t in texts])
-        model.edges = np.quantile(shapes, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    rows = [model.features(t) for t in texts]
-    indptr = np.cumsum([0, *map(len, rows)])
-    indices = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    size = len(LEVELS) * len(model.vocab) + len(_FORM) * (BINS + 1)
+def descend(indptr: np.ndarray, indices: np.ndarray, y: np.ndarray, size: int, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+    """Logistic regression on the full sample by L-BFGS with a line search,
+    until the gradient is next to nothing or for ``rounds`` rounds. Each row has
+    one index at least."""
+    rows, n = np.repeat(np.arange(len(y)), np.diff(indptr)), len(y)
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.add.reduceat(x[indices], indptr[:-1]) + x[-1]
+        err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
+        g = np.append(np.bincount(indices, err[rows], size), err.sum())
+        g[:-1] += l2 * x[:-1] / n
+        return float((np.logaddexp(0, z) - y * z).mean() + l2 * (x[:-1] @ x[:-1]) / (2 * n)), g
+
+    x = np.zeros(size + 1)
+    x[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    value, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < 1e-7:
+            break
+        d, alphas = -g, []
+        for s, r in reversed(past):
+            alphas.append((s @ d) / (s @ r))
+            d = d - alphas[-1] * r
+        if past:
+            s, r = past[-1]
+            d = d * ((s @ r) / (r @ r))
+        for (s, r), alpha in zip(past, reversed(alphas), strict=True):
+            d = d + s * (alpha - (r @ d) / (s @ r))
+        step, slope = (1.0 if past else 1.0 / max(1e-12, np.abs(g).max())), g @ d
+        for _ in range(40):
+            new, g_new = loss(x + step * d)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        if (step * d) @ (g_new - g) > 0:
+            past = [*past[-9:], (step * d, g_new - g)]
+        x, value, g = x + step * d, new, g_new
+    return x[:-1], float(x[-1])
+
+
+def telling_parts(sample: DataFrame, least: int, z: float, most: int) -> list[int]:
+    """Hashes of words and beginnings whose share of a target's rows is ``z``
+    standard errors off, counted in at least ``least`` rows: for each target the
+    most telling ones up to its share of ``most``. Of parts that stand in the
+    same rows one is taken."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 200):
+                some = b.iloc[lo : lo + 200]
+                found = [np.fromiter({p for x in set(words(t)) for p in parts(x)}, np.int64) for t in some["text"]]
+                row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                keys, at = np.unique(np.concatenate(found), return_inverse=True)
+                sums = {k: np.bincount(at, v[row], len(keys)).astype(np.int64) for k, v in {"rows": np.ones(len(found)), "same": np.array([zlib.crc32(str(i).encode()) for i in some["label_id"]], float), **{t: some[t].to_numpy(float) for t in TARGETS}}.items()}
+                yield pd.DataFrame({"part": keys, **sums})
+
+    names = ["rows", "same", *TARGETS]
+    counts = map_frames(sample, run, ", ".join(f"{x} long" for x in ["part", *names])).groupBy("part").agg(*(F.sum(x).alias(x) for x in names)).where(F.col("rows") >= least)
+    rate = sample.agg(*(F.avg(t).alias(t) for t in TARGETS)).first()
+    out: list[int] = []
+    counts = Scratch(sample.sparkSession).table(counts.groupBy(*names).agg(F.min("part").alias("part")), "parts")
     for t in TARGETS:
-        y = labels[t].astype(float)
+        if rate[t] is not None and 0 < rate[t] < 1:
+            off = F.abs(F.col(t) - rate[t] * F.col("rows")) / F.sqrt(rate[t] * (1 - rate[t]) * F.col("rows"))
+            out += [r.part for r in counts.where(off >= z).orderBy(off.desc(), "part").limit(most // len(TARGETS)).collect()]
+    return sorted(set(out))
+
+
+def fit(sample: DataFrame, *, least: int = 5, z: float = 6.0, most_words: int = 20_000, rounds: int = 400, l2: float = 0.2) -> Model:
+    """A model of labelled texts (label_id, text, a column per target); features
+    are the words that tell (``z``, at most ``most_words``, in at least ``least``
+    texts) and the measures of form."""
+    model = Model(vocab={x: i for i, x in enumerate(telling_parts(sample, least, z, most_words))})
+    plain = [f"x{k}" for k in range(len(_FORM))]
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([form(t, words(t)) for t in b["text"]], columns=plain, dtype=float)
+
+    found = map_frames(sample.select("text"), shapes, ", ".join(f"{x} double" for x in plain)).toPandas()
+    if len(found):
+        model.edges = np.quantile(found.to_numpy(), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
+    shipped = sample.sparkSession.sparkContext.broadcast(model)  # bounded by most_words
+
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="text").assign(features=[shipped.value.features(t).astype(np.int32) for t in b["text"]])
+
+    schema = "label_id long, " + ", ".join(f"{t} int" for t in TARGETS)
+    rows = map_frames(sample.select("label_id", *TARGETS, "text"), sparse, schema + ", features array<int>").toPandas().sort_values("label_id")
+    indptr = np.cumsum([0, *map(len, rows["features"])])
+    indices = np.concatenate(rows["features"].tolist()) if len(rows) else np.zeros(0, np.int64)
+    for t in TARGETS:
+        y = rows[t].to_numpy(float)
         if len(y) and 0 < y.sum() < len(y):
-            model.weights[t], model.bias[t] = _descend(indptr, indices, y, size, rounds, l2)
+            model.weights[t], model.bias[t] = descend(indptr, indices, y, model.size, rounds, l2)
         else:
             model.bias[t] = (y.sum() + 1) / (len(y) + 2)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 12_000, **options) -> Model:
     """Fit on the ``train_rows`` labelled documents of smallest id hash."""
     known = labels.select(c(id_col).cast("long").alias("label_id"), *(c(t).cast("int").alias(t) for t in TARGETS)).na.drop()
     known = known.groupBy("label_id").agg(*(F.max(t).alias(t) for t in TARGETS)).orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
     base = docs.select(c(id_col).cast("long").alias("label_id"), c(text_col).cast("string").alias("text"))
     # At most train_rows ids are broadcast; a repeated id is trained on once.
     rows = base.join(F.broadcast(known), "label_id").groupBy("label_id").agg(F.min("text").alias("text"), *(F.first(t).alias(t) for t in TARGETS))
-    sample = sorted(rows.toLocalIterator(), key=lambda r: r.label_id)
-    return fit([r.text for r in sample], {t: np.array([r[t] for r in sample]) for t in TARGETS})
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.table(rows, "sample")
+    model = fit(sample, **options)
+    scratch.free(sample)
+    return model
 
 
 def _logit(x):
@@ -222,7 +267,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for b in batches:
-            got = np.array([model.scores(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(TARGETS))
+            got = np.array([model.scores(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1, len(TARGETS))
             columns = [*b.columns[:-1], *(pa.array(got[:, k]) for k in range(len(TARGETS)))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f"score_{t}" for t in TARGETS)])
         _ids_of(model).clear()  # other stages share this worker's memory
@@ -244,45 +289,48 @@ def _shrink(rates: DataFrame, group: str, prior: str, t: str) -> float:
 
 
 def site_posteriors(scores: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """(host, path, post_<target>) for each path, and the global rates.
+    """(host, path, n_path, post_<target>) for each path, and the global rates.
 
-    ``scores``: host, path, score_<target>; sums are combined before they move.
+    ``scores``: host, path, score_<target>, where a path is of one host; sums
+    are combined before they move, and a host of many paths is not gathered.
     """
     scratch = Scratch(scores.sparkSession)
     sums = [F.sum(f"score_{t}").alias(f"path_{t}") for t in TARGETS] + [F.sum(F.pow(f"score_{t}", 2)).alias(f"path_{t}_sq") for t in TARGETS]
     paths = scratch.table(scores.groupBy("host", "path").agg(F.count("*").alias("n_path"), *sums), "paths")
     up = [F.sum(f"path_{t}{x}").alias(f"host_{t}{x}") for t in TARGETS for x in ("", "_sq")]
-    hosts = scratch.table(paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), *up), "hosts")
+    hosts = scratch.table(paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.count("*").alias("paths"), *up), "hosts")
     total = hosts.agg(F.sum("n_host").alias("n"), *(F.sum(f"host_{t}").alias(t) for t in TARGETS)).first()
     rate = {t: (total[t] or 0.0) / total.n if total.n else 0.5 for t in TARGETS}
+    shrunk = hosts
     for t in TARGETS:
-        hosts = hosts.withColumn("prior", F.lit(rate[t]))
-        k = _shrink(hosts, "host", "prior", t)
-        hosts = hosts.withColumn(f"post_host_{t}", (F.lit(k * rate[t]) + F.col(f"host_{t}")) / (F.col("n_host") + k))
-    both = paths.join(broadcast_if_small(hosts.select("host", *(f"post_host_{t}" for t in TARGETS))), "host")
+        k = _shrink(hosts.withColumn("prior", F.lit(rate[t])), "host", "prior", t)
+        shrunk = shrunk.withColumn(f"post_host_{t}", (F.lit(k * rate[t]) + F.col(f"host_{t}")) / (F.col("n_host") + k))
+    shrunk = scratch.table(shrunk.select("host", "paths", *(f"post_host_{t}" for t in TARGETS)), "shrunk")
+    both = join_hot(paths, shrunk, "host", "paths")
     for t in TARGETS:
         k = _shrink(both, "path", f"post_host_{t}", t)
         both = both.withColumn(f"post_{t}", (k * F.col(f"post_host_{t}") + F.col(f"path_{t}")) / (F.col("n_path") + k))
-    return scratch.table(both.select("host", "path", *(f"post_{t}" for t in TARGETS)), "posteriors"), rate
+    return scratch.table(both.select("host", "path", "n_path", *(f"post_{t}" for t in TARGETS)), "posteriors"), rate
 
 
 def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("lang",), least_quality: float = 0.5, most_toxic: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, posterior quality and toxicity, and ``kept``."""
-    host, path = fresh(docs, "host"), fresh(docs, "path")
-    empty = F.lit("")
-    sited = docs.withColumn(host, F.coalesce(c(host_col).cast("string"), empty)).withColumn(path, F.to_json(F.array(*(F.coalesce(c(x).cast("string"), empty) for x in path_cols))))
-    scored = Scratch(docs.sparkSession).table(score(sited, model, text_col, *keep, host, path), "scored")
-    sites, rate = site_posteriors(scored.select(c(host).alias("host"), c(path).alias("path"), *(f"score_{t}" for t in TARGETS)))
-    sites = sites.withColumnsRenamed({"host": "__host", "path": "__path"})
-    out = scored.join(broadcast_if_small(sites), (c(host) == F.col("__host")) & (c(path) == F.col("__path")), "left")
+    """``keep`` columns, posterior quality and toxicity, and ``kept``; an added
+    column gets another name where ``keep`` has it."""
+    scratch, held = Scratch(docs.sparkSession), [f"keep{i}" for i in range(len(keep))]
+    site = [F.coalesce(c(x).cast("string"), F.lit("")) for x in (host_col, *path_cols)]
+    sited = docs.select(*(c(x).alias(k) for x, k in zip(keep, held, strict=True)), c(text_col).cast("string").alias("text"), site[0].alias("host"), F.to_json(F.array(*site)).alias("path"))
+    scored = scratch.table(score(sited, model, "text", *held, "host", "path"), "scored")
+    sites, rate = site_posteriors(scored.select("host", "path", *(f"score_{t}" for t in TARGETS)))
+    out = join_hot(scored.drop("host"), sites.drop("host"), "path", "n_path")
     for t in TARGETS:
-        shift = F.coalesce(_logit(F.col(f"post_{t}")), _logit(F.lit(rate[t]))) - _logit(F.lit(rate[t]))
+        shift = _logit(F.col(f"post_{t}")) - _logit(F.lit(rate[t]))
         out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(_logit(F.col(f"score_{t}")) + shift))))
-    kept = (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic)
-    return out.select(*map(c, keep), *(F.col(f"p_{t}") for t in TARGETS), kept.alias("kept"))
+    good = (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic)
+    named = docs.select(*map(c, keep))
+    return out.select(*(c(k).alias(x) for x, k in zip(keep, held, strict=True)), *(F.col(f"p_{t}").alias(fresh(named, f"p_{t}")) for t in TARGETS), good.alias(fresh(named, "kept")))
 
 
 def keep_good(docs: DataFrame, model: Model, **options) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    schema = docs.columns
-    return classify(docs, model, keep=tuple(schema), **options).where("kept").select(*map(c, schema))
+    judged = classify(docs, model, keep=tuple(docs.columns), **options)
+    return judged.where(c(judged.columns[-1])).select(*map(c, docs.columns))
