@@ -61,7 +61,7 @@ def test_store_nulls_repeats_empty(spark):
     assert token_store.token_output(df.limit(0)).count() == 0
 
 
-def check_pieces(pieces, texts, capacity=2048, max_segments=256, max_loss=None, losses=None):
+def check_pieces(pieces, texts, capacity=2048, max_segments=2048, max_loss=None, losses=None):
     by_doc, by_seq = {}, {}
     for p in pieces:
         by_doc.setdefault(p.doc_id, []).append(p)
@@ -107,3 +107,86 @@ def test_packing_keeps_all_three_limits(spark):
 
 def test_packing_empty(spark):
     assert packing.pack_examples(rows(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_pool_holds_remainders_alone():
+    """A long text leaves the pool no more than a sequence's ids."""
+    packer = packing.Packer(2048, 2048, 2048, 512)
+    for i in range(21):
+        packer.add(packing.Example(i, bytes(4 * 1_000_003), 1_000_003))
+    assert sum(len(e.ids) for e in packer.pool) <= 21 * 4 * 2048
+    packer.finish()
+    assert sum(x[2] for x in packer.out) == 21 * 1_000_003
+
+
+def chats(rng, n=400):
+    out = []
+    for d in range(n):
+        parts = []
+        for turn in range(rng.randrange(1, 9)):
+            parts.append((" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))), turn % 2 == 1))
+        out.append((d, parts, d % 3))
+    return out
+
+
+def test_instruction_packing_keeps_segments_loss(spark):
+    rng = random.Random(6)
+    rows_ = chats(rng, 80) + [(None, [], None), (7, None, 4), (8, [(None, True), ("x", None)], 5)]
+    df = spark.createDataFrame(rows_, "conv_id long, segments array<struct<text:string,loss:boolean>>, part long")
+    pieces = packing.pack_examples(df, id_col="conv_id", segments_col="segments", part_col="part", capacity=128, max_segments=5, max_loss=40, pool=16).collect()
+    want = {}
+    for d, parts, part in rows_:
+        ids, loss = [], []
+        for t, bears in parts or []:
+            ids += library(t)
+            loss += [bool(bears)] * (len(ids) - len(loss))
+        want[d, part] = (np.array([*ids, 1], "<u4"), np.array([*loss, True]))
+    at = dict.fromkeys(want, 0)
+    for p in sorted(pieces, key=lambda p: p.start):
+        ids, loss = want[p.doc_id, p.part]
+        assert p.start == at[p.doc_id, p.part] and p.doc_tokens == len(ids)
+        at[p.doc_id, p.part] += p.length
+        assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) and p.n_loss == loss[p.start : p.start + p.length].sum()
+    assert all(at[k] == len(want[k][0]) for k in want)
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append(p)
+    for ps in by.values():
+        assert sum(p.length for p in ps) <= 128 and len(ps) <= 5 and sum(p.n_loss for p in ps) <= 40
+
+
+def test_vectors_need_no_more_sequences_than_best_fit():
+    """Against best fit by tokens alone, under the same three limits."""
+    rng = random.Random(7)
+    demands = []
+    for _ in range(3000):
+        n = rng.randrange(5, 400)
+        demands.append((n, n if rng.random() < 0.4 else rng.randrange(0, n // 8 + 1)))
+    packer = packing.Packer(2048, 24, 700, 512)
+    for i, (n, loss) in enumerate(demands):
+        packer.add(packing.Example(i, bytes(4 * n), loss))
+    packer.finish()
+    bins = []
+    for n, loss in demands:
+        best = min((b for b in bins if b[0] >= n and b[1] >= loss and b[2]), key=lambda b: b[0], default=None)
+        if best is None:
+            bins.append(best := [2048, 700, 24])
+        best[0], best[1], best[2] = best[0] - n, best[1] - loss, best[2] - 1
+    assert packer.sequence <= len(bins)
+    used = {}
+    for p in packer.out:
+        used.setdefault(p[5], []).append(p)
+    padding = sum((0 if (t := sum(p[2] for p in ps)) & (t - 1) == 0 else 2048 - t) for ps in used.values())
+    assert padding <= sum(b[0] for b in bins)
+
+
+def test_instruction_examples(spark):
+    from voltide.llm import chat
+
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(200)] + [(2, 0, "user", "q"), (None, 0, None, None)], "conv_id long, turn long, role string, text string")
+    fixed = chat.repair(turns)
+    got = packing.instruction_examples(fixed, 64).collect()
+    assert max(len(r.segments) for r in got) <= 64
+    text = "".join(s.text for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.part) for s in r.segments)
+    assert text == "".join(r.rendered for r in sorted((r for r in fixed.collect() if r.conv_id == 1), key=lambda r: r.seq))
+    assert packing.pack_examples(packing.instruction_examples(fixed.limit(0)), id_col="conv_id", segments_col="segments", part_col="part").count() == 0

@@ -24,6 +24,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_examples(table(spark, sf_dir, "documents"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector packing on chats: loss is what the assistant says, so that the
+    three demands of an example differ."""
+    examples = packing.instruction_examples(chat.repair(table(spark, sf_dir, "conversations")))
+    packed = packing.pack_examples(examples, id_col="conv_id", part_col="part", segments_col="segments", max_segments=16, max_loss=1024)
+    return packed.withColumnsRenamed({"doc_id": "conv_id", "doc_tokens": "example_tokens"})
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "instruction_packing": instruction_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
