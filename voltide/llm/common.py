@@ -43,6 +43,8 @@ def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
         # One thread: a pool would hold memory for each of its threads.
         frames = (b.to_pandas(integer_object_nulls=True, use_threads=False, deduplicate_objects=False) for b in found)
         for out in run(frames):
+            if not len(out):  # an empty column of lists has no type of its own
+                continue
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False, nthreads=1)
 
     return df.mapInArrow(batches, struct)

@@ -228,6 +228,8 @@ def _first_nodes(uniq: DataFrame, trees: int) -> DataFrame:
 def _descend(large: DataFrame, uniq: DataFrame) -> DataFrame:
     """Members (key, v, depth) of large nodes (key, v, m, depth), some levels
     down, none below the last."""
+    some = Scratch(uniq.sparkSession).table(large.select("v").distinct(), "in_large")
+    sketches = uniq.select("v", "sketch").join(broadcast_if_small(some), "v", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,7 +239,7 @@ def _descend(large: DataFrame, uniq: DataFrame) -> DataFrame:
 
     steps = F.greatest(F.lit(1), F.floor(F.log2((F.col("m") / LEAF).cast("int").cast("double")))).cast("int")
     steps = F.least(steps, F.lit(DEPTH) - F.col("depth"))
-    return map_frames(large.withColumn("steps", steps).join(uniq.select("v", "sketch"), "v").select("v", "key", "steps", "depth", "sketch"), run, "key long, v binary, depth int")
+    return map_frames(large.withColumn("steps", steps).join(sketches, "v").select("v", "key", "steps", "depth", "sketch"), run, "key long, v binary, depth int")
 
 
 def spanning(near: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -326,6 +328,10 @@ def _refine(lists: DataFrame, uniq: DataFrame, threshold: float) -> DataFrame:
                     out += within_bytes(group, [size[v] for v in group], LIST_BYTES)
             yield pd.DataFrame({"list": out})
 
+    scratch = Scratch(uniq.sparkSession)
+    lists = scratch.table(lists, "lists")
+    some = scratch.table(lists.select(F.explode("list").alias("v")).distinct(), "in_lists")
+    uniq = uniq.join(broadcast_if_small(some), "v", "left_semi")
     return map_frames(_members(lists, uniq, ["n", "sketch"]).select("members"), run, "list array<binary>").distinct()
 
 
