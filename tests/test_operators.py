@@ -1,9 +1,12 @@
 import datetime as dt
+import math
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voltide.functions.canonical import quantise
 from voltide.operators import calendar, chain, dependence, integrity, paths, quotes, selection
 from voltide.sources import snapshot, tables
 
@@ -63,12 +66,15 @@ def test_chain_and_quotes_pass_the_gates(spark):
     assert chain.liquid(contracts, 10).count() == 2 * 1 * 3 * 2 - 0 * 4
     near = chain.liquid(contracts, 180, "0.95", "1.05")
     assert {r.moneyness for r in near.collect()} == {Decimal("1.0000")}
-    found = {"daily": daily, "contracts": contracts, "quotes": quoted, "underlyings": daily.select("underlying_id").distinct()}
+    found = {"daily": daily, "contracts": contracts, "quotes": quoted, "underlyings": daily.select("underlying_id").distinct(), "pricing": daily.select("date", "underlying_id")}
     assert set(integrity.market_gates(found).values()) == {0}
     broken = found | {"quotes": quoted.where("option_id not like '%C'"), "contracts": contracts}
     with pytest.raises(integrity.GateError) as e:
         integrity.market_gates(broken)
     assert list(e.value.failures) == ["missing_quote"]
+    with pytest.raises(integrity.GateError) as e:
+        integrity.market_gates({k: v for k, v in found.items() if k != "pricing"})
+    assert list(e.value.failures) == ["table pricing is missing"]
     again = quotes.make_quotes(daily.repartition(5), contracts, SPEC)
     a, b = integrity.multiset_difference(quoted, again)
     assert a.count() == b.count() == 0
@@ -102,6 +108,10 @@ def test_digests(spark):
 def test_private_fields(spark):
     df = spark.createDataFrame([('{"a":{"Physical-Dynamics":1}}',), ('{"a":1}',), ('"{\\\\"rngseed\\\\":3}"',)], "doc string")
     assert integrity.private_json_rows(df, ["doc"], ["physical_dynamics"]).count() == 1
+    for spelled in ('{"\\u0073eed": 1}', '{"se:ed": 1}', '{"se/ed": 1}', '[[{"x": {"SEED": 1}}]]', '{"a": "[{\\"seed\\": 1}]"}', "[" * 100_000):
+        assert integrity.private_in_json(spelled, frozenset({"seed"})), spelled[:40]
+    for fine in ('{"seeds": "seed"}', "seed", '"seed"', None, "{"):
+        assert not integrity.private_in_json(fine, frozenset({"seed"})), fine
     assert integrity.private_fields(spark.createDataFrame([((1,),)], "x struct<Gen_Seed:int>").schema, {"genseed"}) == ["x.Gen_Seed"]
 
 
@@ -183,14 +193,67 @@ def test_sources(spark, tmp_path):
     assert rows(tables.describe(df)) == [("k", "BIGINT", "YES"), ("s", "STRING", "YES")]
 
 
-def test_provenance_check_takes_all_suppliers(spark, sf, monkeypatch):
-    from voltide.plans import curated
+def test_exact_sum_is_that_of_fsum(spark):
+    import math
+    import random
+
+    rng = random.Random(1)
+    rows_ = [(g, rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.randrange(-300, 300)) for g in range(3) for _ in range(500)]
+    rows_ += [(3, 1e308), (3, -1e308), (3, 5e-324), (4, None), (5, 0.0), (6, 0.1), (6, 0.2), (6, 0.3), (None, 1.5), (None, 2.0)]
+    got = {r.k: r.sum_x for r in integrity.exact_sum(spark.createDataFrame(rows_, "k int, x double"), ["k"], "x").collect()}
+    want = {}
+    for k, x in rows_:
+        want.setdefault(k, []).append(x)
+    assert got == {k: (None if set(v) == {None} else math.fsum(v)) for k, v in want.items()}
+
+
+def test_full_correlation_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dependence, "BLOCK", 3)
+    load = spark.createDataFrame([(f"d{i}", f, 0.05 * i + 0.01 * f) for i in range(10) for f in range(i % 3 + 1)], "driver string, factor int, loading double")
+    own = {}
+    for r in load.collect():
+        own.setdefault(r.driver, {})[r.factor] = r.loading
+    got = {(r.driver_i, r.driver_j): r.rho for r in dependence.correlation(load).collect()}
+    assert len(got) == 100
+    for (i, j), rho in got.items():
+        assert rho == pytest.approx(1.0 if i == j else sum(v * own[j].get(f, 0.0) for f, v in own[i].items()))
+
 
-    seen = []
-    monkeypatch.setattr(curated.dependence, "provenance_errors", lambda matrix, load: seen.append(load) or load)
-    curated.provenance_check(spark, sf)
-    want = {r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
-    assert {r.driver for r in seen[0].collect()} == want
+def test_row_ids_are_those_of_one_order(spark):
+    df = spark.range(997).selectExpr("id % 7 AS a", "id AS b", "'x' AS row")
+    got = {r.row_id: (r.a, r.b) for r in chain.with_row_ids(df, "a", "b").collect()}
+    assert got == {f"row_{n:06d}": k for n, k in enumerate(sorted((i % 7, i) for i in range(997)), 1)}
+
+
+def test_bridge_follows_the_mean_and_ends_at_the_close():
+    spec = paths.MarketSpec(bridge_steps=8)
+    grid = paths.bridge_prices(spec, "A", "2026-01-05", Decimal(100), Decimal(103), 0.0, 3 / 365)
+    assert grid[0] == 100 and grid[-1] == 103 and len(grid) == 9
+    assert grid == paths.bridge_prices(spec, "A", "2026-01-05", Decimal(100), Decimal(103), 0.0, 3 / 365)
+    calm = paths.MarketSpec(bridge_steps=4, drift=((0.0, 4.0),), vol=((0.0, 1e-6),), increment="0.00000001")
+    up = paths.bridge_prices(calm, "A", "d", Decimal(100), quantise(100 * math.exp(1.0)), 0.0, 0.25)
+    assert [float(x) for x in up] == pytest.approx([100 * math.exp(k / 4) for k in range(5)], rel=1e-5)
+
+
+def test_quotes_equal_a_row_by_row_reading(spark):
+    daily, contracts, quoted = market(spark)
+    from voltide.functions import bsm, curves, rng
+    from voltide.functions.canonical import quantise_to_increment
+
+    listing = {r.option_id: r.listing_date for r in contracts.collect()}
+    spot = {(r.underlying_id, r.date): r.spot_close for r in daily.collect()}
+    found = quoted.collect()
+    assert found
+    for r in found:
+        start, end = (r.date - listing[r.option_id]).days / 365, (r.expiry - listing[r.option_id]).days / 365
+        one = lambda x: np.array([float(x)])
+        value = bsm.price(np.array([r.call_put == "call"]), one(spot[r.underlying_id, r.date]), one(r.strike), one(end - start), one(0.03), one(0.01), one(curves.root_mean_square(list(SPEC.vol), start, end)))[0]
+        mid = quantise_to_increment(max(0.0, float(value)), SPEC.increment)
+        half, key = max(Decimal("0.01"), mid * Decimal("0.01")), (SPEC.snapshot_id, SPEC.seed)
+        noise = lambda side: Decimal(str(min(1.5, max(0.5, 1 + 0.2 * rng.gaussian(*key, "bid-ask-noise", side, r.option_id, r.date.isoformat())))))  # noqa: B023, E731
+        bid, ask = quantise_to_increment(max(Decimal(0), mid - half * noise("bid")), SPEC.increment), quantise_to_increment(mid + half * noise("ask"), SPEC.increment)
+        u = rng.uniform(*key, "option-activity", r.option_id, r.date.isoformat())
+        assert (r.mid, r.settlement_price, r.bid, r.ask, r.volume, r.open_interest) == (mid, mid, bid, ask, int(25 + u * 475), int(500 + u * 4500))
 
 
 def test_paths_and_quotes_take_all_parts(spark, sf):

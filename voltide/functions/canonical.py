@@ -13,6 +13,7 @@ import math
 import re
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,17 +76,56 @@ def tagged(x):
             raise ValueError("a canonical number must be finite")
         return {"float64": format(x, ".17g")}
     if isinstance(x, dt.datetime):
-        return {"timestamp": x.isoformat()}
+        x = x if x.tzinfo is None else x.astimezone(dt.timezone.utc)
+        return {"datetime": x.isoformat(timespec="microseconds")}
     if isinstance(x, dt.date):
         return {"date": x.isoformat()}
     raise TypeError(f"no canonical form for {type(x).__name__}")
 
 
+def tagged_json(text: str | None):
+    """A JSON document with its numbers tagged where their text would not do."""
+
+    def walk(x):
+        if isinstance(x, dict):
+            return {k: walk(v) for k, v in x.items()}
+        return [walk(v) for v in x] if isinstance(x, list) else tagged(x)
+
+    return None if text is None else {"json": walk(json.loads(text))}
+
+
+def tagged_column(x: Column) -> Column:
+    """Canonical JSON of ``tagged`` for a column of any scalar type, in Arrow
+    batches; nulls are the text null."""
+    text = F.arrow_udf(lambda a: pa.array([canonical_json(tagged(v)) for v in a.to_pylist()], pa.string()), "string")
+    return text(x)
+
+
+def moneyness_column(x: Column, letter: str = "M") -> Column:
+    """Column form of ``moneyness_token`` for decimals, without trailing zeros."""
+    short = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.concat(F.lit(letter), F.replace(F.replace(short, F.lit("-"), F.lit("m")), F.lit("."), F.lit("p")))
+
+
+def near_half_column(x: Column, places: int = 8, tolerance: str = "0.00000000001") -> Column:
+    """Column form of ``near_half`` for decimals of 18 places at most."""
+    scaled = x.cast("decimal(38,18)") * F.lit(Decimal(10) ** places).cast("decimal(19,0)")
+    rest = F.abs(scaled - F.floor(scaled).cast("decimal(38,0)") - F.lit(Decimal("0.5")))
+    return rest <= F.lit(Decimal(tolerance) * Decimal(10) ** places)
+
+
 def stable_id(prefix: str, parts: dict, digits: int = 24) -> str:
     """A content id: the prefix and the first hex digits of a SHA-256."""
     return prefix + hashlib.sha256(canonical_json(parts).encode()).hexdigest()[:digits]
 
 
+def stable_id_column(prefix: str, digits: int = 24, **parts: Column) -> Column:
+    """Column form of ``stable_id`` for texts and whole numbers: canonical JSON
+    with sorted keys, made and hashed in generated code."""
+    doc = F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(prefix), F.substring(F.sha2(doc, 256), 1, digits))
+
+
 def tick(x: Column, increment: str, places: int = 8) -> Column:
     """Column form of ``quantise_to_increment`` for decimal columns."""
     step = F.lit(Decimal(increment))

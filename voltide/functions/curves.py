@@ -80,3 +80,33 @@ def integral_column(nodes: Nodes, start: Column, end: Column) -> Column:
         pieces.append((hi - lo) * (at(lo) + at(hi)) / 2.0)
     pieces.append(F.greatest(F.lit(0.0), end - F.greatest(start, F.lit(float(last[0])))) * float(last[1]))
     return sum(pieces[1:], pieces[0])
+
+
+def _pieces(nodes: Nodes, start: Column, end: Column, value) -> Column:
+    """The sum over linear pieces, flat ends included, of ``value(width, x, y)``
+    with the curve's values at both ends of each overlap."""
+    first, last = nodes[0], nodes[-1]
+    clip = lambda x, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+    flat = lambda v: F.lit(float(v))
+    out = value(F.greatest(F.lit(0.0), F.least(end, F.lit(float(first[0]))) - start), flat(first[1]), flat(first[1]))
+    for (a, x), (b, y) in zip(nodes, nodes[1:], strict=False):
+        lo, hi = clip(start, a, b), clip(end, a, b)
+        at = lambda t, a=a, x=x, b=b, y=y: F.lit(float(x)) + F.lit(float((y - x) / (b - a))) * (t - float(a))
+        out = out + value(hi - lo, at(lo), at(hi))
+    return out + value(F.greatest(F.lit(0.0), end - F.greatest(start, F.lit(float(last[0])))), flat(last[1]), flat(last[1]))
+
+
+def square_column(nodes: Nodes, start: Column, end: Column) -> Column:
+    """Column form of ``integral_of_square``."""
+    return _pieces(nodes, start, end, lambda w, x, y: w * (x * x + x * y + y * y) / 3.0)
+
+
+def rms_column(nodes: Nodes, start: Column, end: Column) -> Column:
+    """Column form of ``root_mean_square``."""
+    return F.when(start == end, F.abs(value_column(nodes, start))).otherwise(F.sqrt(square_column(nodes, start, end) / F.nullif(end - start, F.lit(0.0))))
+
+
+def log_moments_columns(drift: Nodes, vol: Nodes, start: Column, end: Column) -> tuple[Column, Column]:
+    """Column form of ``log_moments``."""
+    v = square_column(vol, start, end)
+    return integral_column(drift, start, end) - 0.5 * v, v

@@ -7,27 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltide.functions.canonical import tick
+from voltide.functions.canonical import moneyness_column, tick
 from voltide.operators.calendar import following
+from voltide.session import Scratch
 
 
-def candidate_grid(listings: DataFrame, expiry_days: Sequence[int], moneyness: Sequence[str], increment: str = "0.5", multiplier: str = "100") -> DataFrame:
+def candidate_grid(listings: DataFrame, expiry_days: Sequence[int], moneyness: Sequence[str] | None = None, increment: str = "0.5", multiplier: str = "100", *, strikes: Sequence[str] | None = None) -> DataFrame:
     """Every expiry, strike and side of each listing (underlying_id,
     listing_date, spot): rows multiply by a fixed number, nothing is shuffled.
 
-    A strike is the nearest multiple of the increment; an expiry that falls on
-    a weekend moves to the next business day.
+    A strike is the nearest multiple of the increment to a part of the spot
+    (``moneyness``) or to a price (``strikes``), one of which is given; an expiry
+    that falls on a weekend moves to the next business day.
     """
+    if (moneyness is None) == (strikes is None):
+        raise ValueError("give either moneyness or strikes")
     arr = lambda xs, t: F.array(*(F.lit(x).cast(t) for x in xs))
     rows = listings.withColumn("expiry_days", F.explode(arr(expiry_days, "int")))
-    rows = rows.withColumn("moneyness", F.explode(arr(moneyness, "decimal(10,4)")))
+    if moneyness is not None:
+        rows = rows.withColumn("moneyness", F.explode(arr(moneyness, "decimal(10,4)")))
+        raw, shown, letter = (F.col("spot").cast("decimal(24,8)") * F.col("moneyness")).cast("decimal(30,10)"), F.col("moneyness"), "M"
+    else:
+        rows = rows.withColumn("given_strike", F.explode(arr(strikes, "decimal(24,8)"))).withColumn("moneyness", F.lit(None).cast("decimal(10,4)"))
+        raw, shown, letter = F.col("given_strike").cast("decimal(30,10)"), F.col("given_strike"), "K"
     rows = rows.withColumn("call_put", F.explode(F.array(F.lit("call"), F.lit("put"))))
-    strike = tick((F.col("spot").cast("decimal(24,8)") * F.col("moneyness")).cast("decimal(30,10)"), increment)
-    token = F.concat(F.lit("M"), F.regexp_replace(F.regexp_replace(F.col("moneyness").cast("string"), r"\.?0+$", ""), r"\.", "p"))
+    strike = tick(raw, increment)
+    token = moneyness_column(shown, letter)
     rows = rows.withColumn("strike", strike).withColumn("expiry", following(F.date_add("listing_date", F.col("expiry_days"))))
     template = F.concat(F.lpad(F.col("expiry_days").cast("string"), 4, "0"), F.lit("D-"), token, F.lit("-"), F.upper(F.substring("call_put", 1, 1)))
     rows = rows.withColumn("option_id", F.concat_ws("-", "underlying_id", template))
-    return rows.withColumn("contract_multiplier", F.lit(multiplier).cast("decimal(24,8)"))
+    return rows.drop("given_strike").withColumn("contract_multiplier", F.lit(multiplier).cast("decimal(24,8)"))
 
 
 def collapsed_strikes(contracts: DataFrame) -> DataFrame:
@@ -71,7 +80,17 @@ def canonical_order(df: DataFrame, *, sides_per_key: bool = True) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """row_000001 ... in the given order. For selections of bounded size: the
-    numbering runs in one task."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("row_id", F.format_string("row_%06d", n))
+    """row_000001 ... in the given order, which must be total.
+
+    Rows are sorted in ranges and numbered in each; a range's first number is
+    the count of all before it, and only those counts, one a range, are
+    gathered. The ranges are written first, so that both reads see the same."""
+    scratch = Scratch(df.sparkSession)
+    at, within = F.spark_partition_id(), F.monotonically_increasing_id()
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = scratch.table(ranged.select("*", at.alias("__range"), within.bitwiseAND((1 << 33) - 1).alias("__nth")), "ranges")
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranged.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
+    return numbered.select(*df.columns, F.format_string("row_%06d", F.col("__before") + F.col("__nth") + 1).alias("row_id"))

@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltide.functions import bsm, rng
-from voltide.functions.canonical import near_half, stable_id
-from voltide.operators import chain, integrity, selection
+from voltide.functions.canonical import near_half_column, stable_id
+from voltide.operators import chain, dependence, integrity, selection
 
-#: What a public market may show.
-PUBLIC_UNDERLYING = ("underlying_id", "date", "spot_close", "volume")
-PUBLIC_OPTION = ("option_id", "underlying_id", "date", "call_put", "strike", "expiry", "bid", "ask")
+#: What a public market may show, by relation.
+PUBLIC = {
+    "underlying_state": ("date", "underlying_id", "measure", "spot_close"),
+    "option_contracts": ("option_id", "underlying_id", "call_put", "strike", "expiry", "contract_multiplier"),
+    "option_chain_quotes": ("date", "underlying_id", "option_id", "bid", "ask"),
+    "pricing_context": ("date", "underlying_id", "measure", "risk_free_rate", "dividend_yield"),
+    "underlying_dependence": ("measure", "driver_i", "driver_j", "rho"),
+}
 
 
 def sample_underlyings(underlyings: DataFrame, n: int, contract: str, seed: int) -> DataFrame:
@@ -23,18 +27,39 @@ def sample_underlyings(underlyings: DataFrame, n: int, contract: str, seed: int)
     return selection.hash_sample(underlyings, n, contract, seed, "underlying_id")
 
 
-def public_projection(market: dict[str, DataFrame], underlyings: DataFrame, private: set[str]) -> dict[str, DataFrame]:
-    """Daily rows, contracts' quotes and inputs of the chosen underlyings,
-    public columns only; a private field anywhere is an error."""
+def public_projection(market: dict[str, DataFrame], underlyings: DataFrame, date: str, snapshot: str, private: set[str]) -> dict[str, DataFrame]:
+    """A child snapshot of the chosen underlyings at one date: state, live
+    contracts, their quotes, pricing inputs, the dependence of the chosen
+    drivers under both measures, and one row of metadata. Only public columns
+    pass; a private field, a missing state, price context or quote is an error."""
     keep = underlyings.select("underlying_id")
-    out = {
-        "underlyings": market["underlyings"].join(keep, "underlying_id", "left_semi").select("underlying_id"),
-        "underlying_daily": market["daily"].join(keep, "underlying_id", "left_semi").select(*PUBLIC_UNDERLYING),
-        "option_quotes": market["quotes"].join(keep, "underlying_id", "left_semi").select(*PUBLIC_OPTION),
+    at = lambda name: market[name].where(F.col("date") == F.lit(date).cast("date")).join(keep, "underlying_id", "left_semi")
+    quotes = at("quotes")
+    drivers = keep.withColumnRenamed("underlying_id", "driver")
+    rho = dependence.submatrix(dependence.correlation(market["loadings"]), drivers)
+    found = {
+        "underlying_state": at("daily").withColumn("measure", F.lit("P")),
+        "option_contracts": market["contracts"].join(quotes.select("option_id"), "option_id", "left_semi"),
+        "option_chain_quotes": quotes,
+        "pricing_context": at("pricing").withColumn("measure", F.lit("Q")),
+        "underlying_dependence": rho.withColumn("measure", F.explode(F.array(F.lit("P"), F.lit("Q")))),
     }
+    out = {name: df.select(F.lit(snapshot).alias("snapshot_id"), *PUBLIC[name]) for name, df in found.items()}
     for name, df in out.items():
-        if found := integrity.private_fields(df.schema, private):
-            raise ValueError(f"{name} shows private fields {found}")
+        if hidden := integrity.private_fields(df.schema, private):
+            raise ValueError(f"{name} shows private fields {hidden}")
+    integrity.run_gates(
+        {
+            "underlyings_without_state": integrity.missing_rows(keep, out["underlying_state"], ["underlying_id"]),
+            "underlyings_without_pricing": integrity.missing_rows(keep, out["pricing_context"], ["underlying_id"]),
+            "underlyings_without_quotes": integrity.missing_rows(keep, out["option_chain_quotes"], ["underlying_id"]),
+            "repeated_states": integrity.repeated_keys(out["underlying_state"], ["underlying_id"]),
+            "repeated_options": integrity.repeated_keys(out["option_chain_quotes"], ["option_id"]),
+        }
+    )
+    counts = {name: df.count() for name, df in out.items()}
+    one = [(snapshot, date, *(counts[k] for k in sorted(counts)))]
+    out["metadata"] = keep.sparkSession.createDataFrame(one, "snapshot_id string, valuation_date string, " + ", ".join(f"{k} long" for k in sorted(counts)))
     return out
 
 
@@ -61,11 +86,11 @@ def size_gates(rows: DataFrame, underlyings: int, expiries: int, strikes: int) -
 
 def unpublishable(solved: DataFrame, metrics: Sequence[str], status: str = "iv_status") -> DataFrame:
     """Rows without a root, or with a metric so near a rounding boundary that
-    a second implementation might round it apart."""
-    risky = F.pandas_udf(lambda s: s.map(lambda x: bool(pd.notna(x) and near_half(float(x)))), "boolean")
+    a second implementation might round it apart. Doubles are read through
+    their shortest text, in generated code."""
     bad = F.col(status) != bsm.OK
     for m in metrics:
-        bad = bad | risky(F.col(m).cast("double"))
+        bad = bad | F.coalesce(near_half_column(F.col(m).cast("double").cast("string").cast("decimal(38,18)")), F.lit(False))
     return solved.where(bad)
 
 

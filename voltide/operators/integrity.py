@@ -6,7 +6,9 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Sequence
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,15 +118,17 @@ def multiset_digest(df: DataFrame, columns: Sequence[str] | None = None) -> str:
 
 
 def ordered_digest(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> str:
-    """SHA-256 over canonical rows in key order; repeated keys are an error.
-    Rows are hashed where they are; ordered row hashes stream to the driver."""
+    """SHA-256 over canonical rows in a canonical order; repeated keys are an
+    error. Rows fall into 4096 buckets by the hash of their key; each bucket's
+    row hashes are hashed in key order where they meet, and only the buckets'
+    digests, in order, reach the driver."""
     if repeated_keys(df, keys).limit(1).count():
         raise ValueError("repeated keys have no order")
-    rows = df.withColumn("__h", F.sha2(canonical_row(df, columns), 256)).select(*keys, "__h").orderBy(*keys)
-    out = hashlib.sha256()
-    for r in rows.select("__h").toLocalIterator():
-        out.update(bytes.fromhex(r[0]))
-    return out.hexdigest()
+    row, key = canonical_row(df, columns), canonical_row(df, keys)
+    rows = df.select(F.sha2(key, 256).alias("k"), F.sha2(row, 256).alias("h"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"])
+    buckets = rows.groupBy(F.substring("k", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(listed, ""), 256).alias("digest"))
+    return hashlib.sha256("".join(r.digest for r in sorted(buckets.collect())).encode()).hexdigest()
 
 
 def content_digest(df: DataFrame, keys: Sequence[str], identity: Sequence[str]) -> str:
@@ -142,9 +146,38 @@ def project_identity(df: DataFrame, keys: Sequence[str], changes: dict[str, obje
 
 
 def exact_sum(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Correctly rounded sum of doubles per group, in any row order: values
-    become exact decimals of 10 places before they are summed."""
-    return df.groupBy(*keys).agg(F.sum(F.col(column).cast("decimal(28,10)")).cast("double").alias(f"sum_{column}"))
+    """The correctly rounded sum of doubles per group, in any row order.
+
+    A double is a whole number of units of a power of two. Values go to slots of
+    32 binary places by their exponent; whole numbers of each slot's unit add up
+    exactly, and the slots' sums, few a group, are added as fractions once."""
+    x = F.col(column)
+    slot = F.floor(F.log2(F.abs(x)) / 32).cast("int")
+    part = lambda n: x * F.pow(F.lit(2.0), -16.0 * n) * F.pow(F.lit(2.0), -16.0 * n)
+    high = F.floor(part(slot)).cast("long")  # of 33 bits at most
+    rest = part(slot) - high.cast("double")
+    middle = F.floor(rest * float(2**32)).cast("long")
+    low = ((rest * float(2**32) - middle.cast("double")) * float(2**32)).cast("long")
+    terms = F.array(*(F.struct((slot - i).alias("slot"), v.alias("v")) for i, v in enumerate((high, middle, low))))
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    usable = df.where(x.isNotNull() & (x != 0) & finite)
+    sums = usable.select(*keys, F.explode(terms).alias("t")).groupBy(*keys, F.col("t.slot").alias("slot")).agg(F.sum(F.col("t.v").cast("decimal(38,0)")).cast("string").alias("v"))
+
+    def add(slots: pd.Series, values: pd.Series) -> float:
+        total = sum((int(v) * Fraction(2) ** (32 * int(k)) for k, v in zip(slots, values, strict=True)), Fraction(0))
+        try:
+            return float(total)
+        except OverflowError:
+            return float("inf") if total > 0 else float("-inf")
+
+    exact = F.pandas_udf(lambda s, v: pd.Series([add(a, b) for a, b in zip(s, v, strict=True)]), "double")
+    listed = sums.groupBy(*keys).agg(F.collect_list("slot").alias("s"), F.collect_list("v").alias("v"))  # some 70 slots a group at most
+    found = listed.select(*keys, exact("s", "v").alias("__sum"))
+    every = df.groupBy(*keys).agg(F.count(column).alias("__n"), F.sum(F.when(~finite, x)).alias("__odd"))
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return every.alias("a").join(found.alias("b"), match, "left").select(*(F.col(f"a.{k}") for k in keys), F.when(F.col("__n") > 0, F.coalesce("__odd", "__sum", F.lit(0.0))).alias(f"sum_{column}"))
 
 
 _NAME = re.compile(r"[^a-z0-9]")
@@ -170,13 +203,47 @@ def private_fields(schema: T.DataType, private: set[str], path: str = "") -> lis
     return []
 
 
+def private_in_json(text, names: frozenset[str]) -> bool:
+    """Whether a JSON text has a private key at any depth, texts that are JSON
+    themselves included."""
+    todo = [text]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if any(normal_name(k) in names for k in x):
+                return True
+            todo += x.values()
+        elif isinstance(x, list):
+            todo += x
+        elif isinstance(x, str) and x.lstrip()[:1] in ("{", "[", '"'):
+            try:
+                todo.append(json.loads(x, object_pairs_hook=_Pairs))
+            except RecursionError:
+                return True  # too deep to be sure
+            except ValueError:
+                continue
+        elif isinstance(x, _Pairs):
+            if any(normal_name(k) in names for k, _ in x.pairs):
+                return True
+            todo += [v for _, v in x.pairs]
+    return False
+
+
+class _Pairs:
+    """An object's keys and values, repeated keys too."""
+
+    def __init__(self, pairs):
+        self.pairs = pairs
+
+
 def private_json_rows(df: DataFrame, columns: Sequence[str], private: Sequence[str]) -> DataFrame:
-    """Rows whose JSON texts have a private key at any depth."""
-    names = "|".join(re.escape(normal_name(p)) for p in private)
+    """Rows whose JSON texts have a private key at any depth; the JSON is read,
+    so no spelling of a key passes."""
+    names = frozenset(map(normal_name, private))
+    hits = F.pandas_udf(lambda s: s.map(lambda x: private_in_json(x, names)), "boolean")
     hit = F.lit(False)
     for x in columns:
-        keys = F.regexp_extract_all(F.col(x).cast("string"), F.lit(r'\\*"([A-Za-z0-9_\- .]+)\\*"\s*:'), F.lit(1))
-        hit = hit | F.coalesce(F.exists(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").rlike(f"^(?:{names})$")), F.lit(False))
+        hit = hit | hits(F.col(x).cast("string"))
     return df.where(hit)
 
 
@@ -203,13 +270,22 @@ MARKET_GATES: dict[str, Gate] = {
 }
 
 
-def market_gates(market: dict[str, DataFrame]) -> dict[str, int]:
-    """Run the gates whose tables are there."""
-    found = {}
-    for name, gate in MARKET_GATES.items():
-        try:
-            found[name] = gate(market)
-        except KeyError as missing:
-            if missing.args[0] in market:
-                raise
+def market_gates(market: dict[str, DataFrame], gates: dict[str, Gate] | None = None) -> dict[str, int]:
+    """Run the gates; a table that a gate needs and the market lacks fails it."""
+    try:
+        found = {name: gate(market) for name, gate in (gates or MARKET_GATES).items()}
+    except KeyError as missing:
+        raise GateError({f"table {missing.args[0]} is missing": 1}) from None
     return run_gates(found)
+
+
+def observation_replay(daily: DataFrame, again: DataFrame) -> DataFrame:
+    """Stored daily rows that differ from those made again by the specification,
+    in any of open, high, low, close and volume, or that only one side has."""
+    values = ["spot_open", "spot_high", "spot_low", "spot_close", "volume"]
+    renamed = again.select("underlying_id", "date", *(F.col(x).alias(f"again_{x}") for x in values), F.lit(1).alias("__again"))
+    both = daily.withColumn("__stored", F.lit(1)).join(renamed, ["underlying_id", "date"], "full")
+    differs = F.col("__again").isNull() | F.col("__stored").isNull()
+    for x in values:
+        differs = differs | ~F.col(x).eqNullSafe(F.col(f"again_{x}"))
+    return both.where(differs).drop("__again", "__stored")

@@ -18,35 +18,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltide.functions import curves, rng
-from voltide.functions.canonical import clip_int64, quantise_to_increment
+from voltide.functions.canonical import clip_int64, quantise_to_increment, to_decimal
 
 DAILY = "underlying_id string, date date, spot_open decimal(24,8), spot_high decimal(24,8), spot_low decimal(24,8), spot_close decimal(24,8), volume bigint"
 
 
+# The names that open each kind of draw's key.
+SIMULATION, FACTOR, OWN, INCREMENT, RANGE, VOLUME = "underlying-simulation", "factor", "idiosyncratic", "increment", "underlying-range", "underlying-volume"
+
+
 @dataclass(frozen=True)
 class MarketSpec:
     """What a snapshot's paths depend on."""
 
     snapshot_id: str = "SNAP-1"
     seed: int = 20240101
+    measure: str = "P"
+    dependence_id: str = "dependence-1"
     loadings: dict[str, tuple[float, ...]] = field(default_factory=lambda: {"A": (0.8,), "B": (0.5,)})
     spots: dict[str, str] = field(default_factory=lambda: {"A": "100", "B": "50"})
     drift: tuple[tuple[float, float], ...] = ((0.0, 0.05), (1.0, 0.03))
     vol: tuple[tuple[float, float], ...] = ((0.0, 0.2), (1.0, 0.3))
     increment: str = "0.01"
+    bridge_name: str = "intraday-bridge"
+    bridge_id: str = "bridge-1"
     bridge_steps: int = 64
+    volume_name: str = "volume-model"
+    volume_id: str = "volume-1"
     base_volume: float = 1_000_000.0
     volume_stddev: float = 0.1435941754
 
 
 def shock(spec: MarketSpec, name: str, day: str) -> float:
     """Common factors weighted by loadings, plus the asset's own part."""
-    load = spec.loadings[name]
-    common = math.fsum(w * rng.gaussian(spec.snapshot_id, spec.seed, "factor", k, day) for k, w in enumerate(load))
+    load, key = spec.loadings[name], (spec.snapshot_id, spec.seed, SIMULATION, spec.measure, spec.dependence_id)
+    common = math.fsum(w * rng.gaussian(*key, FACTOR, k, day) for k, w in enumerate(load))
     rest = 1.0 - math.fsum(w * w for w in load)
     if rest < -1e-12:
         raise ValueError(f"loadings of {name} are longer than one")
-    return common + math.sqrt(max(rest, 0.0)) * rng.gaussian(spec.snapshot_id, spec.seed, "own", name, day)
+    return common + math.sqrt(max(rest, 0.0)) * rng.gaussian(*key, OWN, name, day)
 
 
 def next_close(spec: MarketSpec, close: Decimal, start: float, end: float, eps: float) -> Decimal:
@@ -55,24 +65,26 @@ def next_close(spec: MarketSpec, close: Decimal, start: float, end: float, eps:
     return max(quantise_to_increment(float(close) * math.exp(m + math.sqrt(v) * eps), spec.increment), Decimal(spec.increment))
 
 
-def bridge_extremes(spec: MarketSpec, name: str, day: str, opening: Decimal, close: Decimal, start: float, end: float) -> tuple[Decimal, Decimal]:
-    """High and low of a log-price bridge from open to close that runs on the
-    clock of integrated variance."""
+def bridge_prices(spec: MarketSpec, name: str, day: str, opening: Decimal, close: Decimal, start: float, end: float) -> list[Decimal]:
+    """Prices of a log-price bridge from open to close: along the path the
+    diffusion's mean would take, with what the close was off spread on the clock
+    of integrated variance, and keyed increments on that clock."""
     n = spec.bridge_steps
-    times = np.linspace(start, end, n + 1)
-    var = np.array([curves.integral_of_square(list(spec.vol), start, t) if t > start else 0.0 for t in times])
-    steps = rng.gaussians(n, spec.snapshot_id, spec.seed, "bridge", name, day) * np.sqrt(np.diff(var))
-    walk = np.concatenate([[0.0], np.cumsum(steps)])
-    share = var / var[-1] if var[-1] > 0 else np.linspace(0, 1, n + 1)
-    a, b = math.log(float(opening)), math.log(float(close))
-    path = np.exp(a + (b - a) * share + walk - share * walk[-1])
-    grid = [quantise_to_increment(float(x), spec.increment) for x in path[1:-1]] + [opening, close]
-    return max(grid), min(grid)
+    moments = [(0.0, 0.0)] + [curves.log_moments(list(spec.drift), list(spec.vol), start, start + k / n * (end - start)) for k in range(1, n + 1)]
+    mean, var = (np.array(x) for x in zip(*moments, strict=True))
+    if var[-1] <= 0 or (np.diff(var) < -1e-15).any():
+        raise ValueError("the variance of a bridge must grow")
+    z = np.array([rng.gaussian(spec.snapshot_id, spec.seed, spec.bridge_name, spec.bridge_id, INCREMENT, day, name, k) for k in range(1, n + 1)])
+    walk = np.concatenate([[0.0], np.cumsum(z * np.sqrt(np.maximum(np.diff(var), 0.0)))])
+    share, a = var / var[-1], math.log(float(opening))
+    off = math.log(float(close)) - a - mean[-1]
+    path = np.exp(a + mean + share * off + walk - share * walk[-1])
+    return [opening, *(quantise_to_increment(float(x), spec.increment) for x in path[1:-1]), close]
 
 
 def volume(spec: MarketSpec, name: str, day: str) -> int:
     """Mean-preserving lognormal count."""
-    z = rng.gaussian(spec.snapshot_id, spec.seed, "volume", name, day)
+    z = rng.gaussian(spec.snapshot_id, spec.seed, spec.volume_name, spec.volume_id, day, name)
     return volume_of(spec.base_volume, spec.volume_stddev, z)
 
 
@@ -81,15 +93,17 @@ def volume_of(base: float, stddev: float, z: float) -> int:
     return clip_int64(math.exp(log) if log < 700 else math.inf)
 
 
-def legacy_range(opening: Decimal, close: Decimal, u: float, increment: str) -> tuple[Decimal, Decimal]:
-    """High and low as a random widening of the open-close range."""
-    top, bottom = max(opening, close), min(opening, close)
-    widen = 0.01 * u
-    return max(top, quantise_to_increment(float(top) * (1 + widen), increment)), min(bottom, quantise_to_increment(float(bottom) * (1 - widen), increment))
+def legacy_range(opening: Decimal, close: Decimal, vol: float, years: float, z: float, increment: str) -> tuple[Decimal, Decimal]:
+    """High and low as a widening of the open-close range by a quarter of a
+    random number of standard deviations, one tick at least."""
+    wide = vol * math.sqrt(years) * abs(z) * 0.25
+    top, bottom = max(opening, close) * to_decimal(1.0 + wide), min(opening, close) * to_decimal(max(0.0, 1.0 - wide))
+    return quantise_to_increment(top, increment), quantise_to_increment(max(Decimal(increment), bottom), increment)
 
 
-def legacy_volume(base: float, u: float) -> int:
-    return clip_int64(base * (0.5 + u))
+def legacy_volume(u: float) -> int:
+    """A uniform count around a million."""
+    return 750_000 + int(u * 500_000)
 
 
 def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], closes: DataFrame | None = None, underlyings: DataFrame | None = None) -> DataFrame:
@@ -130,7 +144,8 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
             if before is not None:
                 start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
                 close = next_close(own, close, start, end, shock(own, r["underlying_id"], day))
-                high, low = bridge_extremes(own, r["underlying_id"], day, opening, close, start, end)
+                grid = bridge_prices(own, r["underlying_id"], day, opening, close, start, end)
+                high, low = max(grid), min(grid)
             else:
                 high = low = close = quantise_to_increment(close, spec.increment)
                 opening = close

@@ -41,7 +41,7 @@ def decimal8(values: np.ndarray) -> list[str | None]:
     v = np.asarray(values, float)
     with np.errstate(all="ignore"):
         scaled = np.abs(v) * 1e8
-        risky = ~np.isfinite(v) | (np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3) | (scaled < 1) | (scaled > 1e15)
+        risky = ~np.isfinite(v) | (np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3 + scaled * 2e-15) | (scaled < 1) | (scaled > 1e15)
     return [decimal_text(x) if bad else "%.8f" % x for x, bad in zip(v.tolist(), risky.tolist(), strict=True)]
 
 

@@ -1,8 +1,11 @@
-"""Daily option quotes from paths, contracts and a volatility curve."""
+"""Daily option quotes from paths, contracts and a volatility curve.
+
+The model value and the keyed draws of a row are made in Arrow batches; ticks,
+spreads and bounds are decimals in generated code.
+"""
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -10,12 +13,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltide.functions import bsm, curves, rng
-from voltide.functions.canonical import clip_int64, quantise_to_increment
+from voltide.functions.canonical import tick
 from voltide.operators.chain import expected_quotes
 from voltide.operators.paths import MarketSpec
 
+# The key of a quote's activity, and its ranges of volume and open interest.
+ACTIVITY, VOLUMES, INTERESTS = "option-activity", (25, 475), (500, 4_500)
+
 QUOTE = "date date, underlying_id string, option_id string, call_put string, strike decimal(24,8), expiry date, bid decimal(24,8), ask decimal(24,8), mid decimal(24,8), settlement_price decimal(24,8), volume bigint, open_interest bigint"
 
 
@@ -24,30 +31,36 @@ def smile_vol(base: Column, skew: Column, curvature: Column, slope: Column, k: C
     return F.greatest(F.lit(least), base + skew * k + curvature * k * k + slope * tau)
 
 
-def half_spread_noise(*key) -> float:
-    """A multiplier around one, clipped."""
-    return float(np.clip(1.0 + 0.2 * rng.gaussian(*key), 0.5, 1.5))
+def make_quotes(
+    daily: DataFrame, contracts: DataFrame, spec: MarketSpec, *, rate: float = 0.03, dividend: float = 0.01, spread: str = "0.01", least_spread: str = "0.01", noise: str = "bid-ask-noise", deviation: float = 0.2, multipliers: tuple[float, float] = (0.5, 1.5)
+) -> DataFrame:
+    """One quote for each live contract and day; each row stands alone.
 
-
-def make_quotes(daily: DataFrame, contracts: DataFrame, spec: MarketSpec, *, rate: float = 0.03, dividend: float = 0.01, spread: float = 0.01, least_spread: str = "0.01") -> DataFrame:
-    """One quote for each live contract and day; each row stands alone."""
+    The middle is the model value on the tick; each side's half spread is the
+    larger of the least and a part of the middle, times a clipped keyed normal."""
     rows = expected_quotes(daily.select("underlying_id", "date", "spot_close"), contracts.select("underlying_id", "option_id", "call_put", "strike", "expiry", "listing_date"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"__{x}", T.DoubleType()) for x in ("value", "bid_noise", "ask_noise", "activity"))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sigmas: dict[tuple[float, float], float] = {}
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                day, expiry, origin = (x if isinstance(x, dt.date) else pd.Timestamp(x).date() for x in (r.date, r.expiry, r.listing_date))
-                start, end = (day - origin).days / 365.0, (expiry - origin).days / 365.0
-                sigma = curves.root_mean_square(list(spec.vol), start, end)
-                args = [np.array([float(x)]) for x in (r.spot_close, r.strike, end - start, rate, dividend, sigma)]
-                value = float(bsm.price(np.array([r.call_put == "call"]), *args)[0])
-                key = (spec.snapshot_id, spec.seed, r.option_id, day.isoformat())
-                settle = max(quantise_to_increment(value, spec.increment), Decimal(0))
-                half = max(spread * value, float(least_spread))
-                low = max(quantise_to_increment(value - half * half_spread_noise(*key, "bid"), spec.increment), Decimal(0))
-                high = max(quantise_to_increment(value + half * half_spread_noise(*key, "ask"), spec.increment), low)
-                out.append((day, r.underlying_id, r.option_id, r.call_put, r.strike, expiry, low, high, settle, settle, clip_int64(1000 * rng.uniform(*key, "volume")), clip_int64(10000 * rng.uniform(*key, "interest"))))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in QUOTE.split(", ")])
-
-    return rows.mapInPandas(run, QUOTE)
+            day, expiry, origin = (pd.to_datetime(b[x]) for x in ("date", "expiry", "listing_date"))
+            start, end = ((x - origin).dt.days.to_numpy(float) / 365.0 for x in (day, expiry))
+            for key in set(zip(start.tolist(), end.tolist(), strict=True)) - sigmas.keys():
+                sigmas[key] = curves.root_mean_square(list(spec.vol), *key)
+            sigma = np.array([sigmas[key] for key in zip(start.tolist(), end.tolist(), strict=True)])
+            full = lambda x: np.full(len(b), x)  # noqa: B023, E731
+            value = bsm.price((b["call_put"] == "call").to_numpy(), b["spot_close"].to_numpy(float), b["strike"].to_numpy(float), end - start, full(rate), full(dividend), sigma)
+            names = list(zip(b["option_id"], day.dt.strftime("%Y-%m-%d"), strict=True))
+            draw = lambda side: np.clip(1.0 + deviation * np.array([rng.gaussian(spec.snapshot_id, spec.seed, noise, side, o, d) for o, d in names]), *multipliers)  # noqa: B023, E731
+            activity = np.array([rng.uniform(spec.snapshot_id, spec.seed, ACTIVITY, o, d) for o, d in names])
+            yield b.assign(__value=np.maximum(value, 0.0), __bid_noise=draw("bid"), __ask_noise=draw("ask"), __activity=activity)
+
+    exact = lambda x: F.col(x).cast("string").cast("decimal(30,18)")
+    mid = tick(exact("__value"), spec.increment)
+    half = F.greatest(F.lit(Decimal(least_spread)).cast("decimal(24,8)"), (F.col("mid") * F.lit(Decimal(spread))).cast("decimal(24,8)"))
+    side = lambda sign, x: tick(F.greatest(F.lit(0).cast("decimal(30,18)"), (F.col("mid") + sign * (F.col("half") * exact(x).cast("decimal(13,12)"))).cast("decimal(30,18)")), spec.increment)
+    count = lambda low, width: F.floor(F.lit(low) + F.col("__activity") * width).cast("bigint")
+    out = rows.mapInPandas(run, schema).withColumn("mid", mid).withColumn("half", half)
+    out = out.withColumns({"bid": side(-1, "__bid_noise"), "ask": side(1, "__ask_noise"), "settlement_price": F.col("mid"), "volume": count(*VOLUMES), "open_interest": count(*INTERESTS)})
+    return out.select(*(F.col(x.split()[0]) for x in QUOTE.split(", ")))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rules that may be tried on every item.
+MOST_RULES = 10_000
+
+
 def hash_rank(contract: str, seed: int, *ids: str) -> Column:
     """SHA-256 text that orders rows by chance, yet the same everywhere."""
     return F.sha2(F.concat_ws("|", F.lit(contract), F.lit(str(seed)), *(F.col(x).cast("string") for x in ids)), 256)
@@ -79,8 +83,11 @@ def curriculum_weights(tasks: DataFrame, mixture: dict[str, float], bands: Seque
 def first_matching_rule(items: DataFrame, rules: DataFrame, key: str, matches: Column) -> DataFrame:
     """Each item with the rule of lowest ``rule_order`` that matches, or nulls.
 
-    ``rules`` is a small, bounded table; ``matches`` is a condition over both.
+    ``rules`` is a catalogue of at most MOST_RULES rows, which is checked before
+    it travels; ``matches`` is a condition over both.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError("too many rules to try each on every item")
     hit = items.join(F.broadcast(rules), matches, "left")
     best = F.min_by(F.struct("rule_id", "reason"), "rule_order")
     return hit.groupBy(key).agg(best.alias("__r")).select(key, F.col("__r.rule_id").isNotNull().alias("compatible"), F.col("__r.rule_id").alias("rule_id"), F.col("__r.reason").alias("reason"))
@@ -91,6 +98,32 @@ def coordinate_difference(a: Column, b: Column) -> Column:
     return F.sort_array(F.filter(F.map_keys(a), lambda k: ~F.element_at(a, k).eqNullSafe(F.element_at(b, k))))
 
 
+def coordinate_rank(axis: str, value: Column, levels: dict[str, Sequence[str]]) -> Column:
+    """Place of a value in its axis' declared order; numbers are their own."""
+    if axis not in levels:
+        return value.cast("int")
+    at = F.array_position(F.array(*map(F.lit, levels[axis])), value)
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def canonical_coordinates(axes: Sequence[str], bare: Sequence[str], **values: Column) -> Column:
+    """An id of coordinates in the order of their axes: each as its name and
+    value, those of ``bare`` axes without the name."""
+    return F.concat_ws("-", *(values[a].cast("string") if a in bare else F.concat(F.lit(a), values[a].cast("string")) for a in axes))
+
+
+def adapt_legacy(tasks: DataFrame, variants: DataFrame, keys: Sequence[str], key: str = "task_id") -> DataFrame:
+    """Legacy tasks under the identity of the variant that they match in every
+    one of ``keys``; a task without exactly one match is an error. Its own
+    columns stay as they are."""
+    adapted = tasks.join(variants, list(keys), "left")
+    known = next(x for x in variants.columns if x not in keys)
+    bad = adapted.groupBy(key).agg(F.count(known).alias("n")).where("n != 1")
+    if bad.limit(1).count():
+        raise ValueError("legacy tasks that match no variant, or several")
+    return adapted
+
+
 def mutate(tasks: DataFrame, changes: dict[str, int], *, allowed: Sequence[str], most_changed: int, direction: int = 1) -> DataFrame:
     """Children of tasks (task_id, coordinates map): changed axes must be
     allowed, few enough, and move in one direction. Invalid children are left

@@ -25,20 +25,13 @@ def market_greeks(spark, d):
     return solved.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date", "iv_status", "implied_volatility", "delta", "gamma", "vega_1volpt", "theta_1calendar_day", "rho_1pct", "iterations")
 
 
-@query()
-def more_greeks(spark, d):
-    o = options(spark, d)
-    args = [F.col(x) for x in ("call_put", "spot", "strike", "tau", "rate", "yield", "sigma")]
-    return pricing.with_greeks(o, *args, more=True).select("l_orderkey", "l_linenumber", "l_partkey", "vanna", "vomma", "charm", "speed", "zomma", "color", "veta", "ultima", "dual_delta", "dual_gamma", "dividend_rho")
-
-
 @query(f"{_O} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({price_sql()}, 5) + 0.0::DOUBLE AS price FROM opt")
 def bsm_price_sql(spark, d):
     args = [F.col(x) for x in ("spot", "strike", "tau", "rate", "yield", "sigma")]
     return options(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round(pricing.price_column(F.col("call_put") == "call", *args), 5) + F.lit(0.0)).alias("price"))
 
 
-@query(f"""{_O}, obs AS (SELECT *, {price_sql()} AS observed FROM opt WHERE l_linenumber >= 3 AND sigma >= 0.15),
+@query(f"""{_O}, obs AS (SELECT *, {price_sql()} AS observed FROM opt),
 solved AS (SELECT *, list_reduce(list_prepend({{'lo': 1e-6::DOUBLE, 'hi': 5::DOUBLE}}, [{{'lo': 0::DOUBLE, 'hi': 0::DOUBLE}} for i in range(80)]), lambda a, i:
   CASE WHEN {price_sql("((a.lo + a.hi) / 2)")} < observed THEN {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} END) AS s FROM obs)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({price_sql("((s.lo + s.hi) / 2)")}, 4) + 0.0::DOUBLE AS price_at_root FROM solved""")
@@ -47,7 +40,7 @@ def implied_vol_80(spark, d):
     is well conditioned where the root itself is not."""
     args = [F.col(x) for x in ("spot", "strike", "tau", "rate", "yield")]
     call = F.col("call_put") == "call"
-    obs = options(spark, d).where("l_linenumber >= 3 and sigma >= 0.15").withColumn("observed", pricing.price_column(call, *args, F.col("sigma")))
+    obs = options(spark, d).withColumn("observed", pricing.price_column(call, *args, F.col("sigma")))
     solved = pricing.with_bisection_root(obs, F.col("call_put"), *args, F.col("observed"))
     at_root = F.round(pricing.price_column(call, *args, F.col("root")), 4) + F.lit(0.0)
     return solved.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", at_root.alias("price_at_root"))
@@ -64,18 +57,6 @@ def price_bounds(spark, d):
     return x.groupBy("call_put", F.when(inside, "inside").otherwise("outside").alias("verdict")).agg(F.count("*").alias("n"), F.round(F.sum("lower"), 2).alias("lower_sum"))
 
 
-@query(f"""{_O}, p AS (SELECT *, {price_sql()} AS price FROM opt), k AS (
-  SELECT l_partkey, l_linenumber, max(CASE WHEN call_put = 'call' THEN price END) AS c, max(CASE WHEN call_put = 'put' THEN price END) AS p,
-    count(*) FILTER (WHERE call_put = 'call') AS n_call, count(*) FILTER (WHERE call_put = 'put') AS n_put FROM p GROUP BY ALL)
-SELECT l_partkey, l_linenumber, n_call, n_put, round(abs(c - p), 4) AS gap FROM k WHERE c IS NOT NULL AND p IS NOT NULL""")
-def pair_parity(spark, d):
-    args = [F.col(x) for x in ("spot", "strike", "tau", "rate", "yield", "sigma")]
-    p = options(spark, d).withColumn("price", pricing.price_column(F.col("call_put") == "call", *args))
-    side = lambda s: F.max(F.when(F.col("call_put") == s, F.col("price")))
-    k = p.groupBy("l_partkey", "l_linenumber").agg(side("call").alias("c"), side("put").alias("p"), F.count_if(F.col("call_put") == "call").alias("n_call"), F.count_if(F.col("call_put") == "put").alias("n_put"))
-    return k.where("c is not null and p is not null").select("l_partkey", "l_linenumber", "n_call", "n_put", F.round(F.abs(F.col("c") - F.col("p")), 4).alias("gap"))
-
-
 @query("""WITH g AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(24,8)) AS spot, m FROM part, (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2])::DECIMAL(10,4) AS m))
 SELECT p_partkey, m::DOUBLE AS moneyness, round_even((spot * m) / 0.5, 0)::DOUBLE * 0.5 AS strike, e.days AS expiry_days, s AS call_put
 FROM g, (SELECT unnest([30, 90, 180])::INTEGER AS days) e, (SELECT unnest(['call', 'put']) AS s) WHERE m BETWEEN 0.85 AND 1.15 AND e.days <= 90""")
@@ -88,15 +69,14 @@ def chain_grid(spark, d):
 
 @query(f"""{_O}, q AS (SELECT DISTINCT l_partkey AS underlying_id, l_linenumber AS expiry, strike, spot * exp((rate - yield) * tau) AS forward FROM opt),
 e AS (SELECT *, dense_rank() OVER (PARTITION BY underlying_id ORDER BY expiry) AS er FROM q),
-k AS (SELECT *, row_number() OVER (PARTITION BY underlying_id, expiry ORDER BY round(abs(ln(strike / forward)), 9), strike, forward) AS kr FROM e WHERE er <= 2)
-SELECT underlying_id, expiry, round(strike, 6) AS strike, kr::INTEGER AS nth FROM k WHERE kr <= 5""")
+k AS (SELECT *, dense_rank() OVER (PARTITION BY underlying_id, expiry ORDER BY abs(ln(strike / forward)), strike) AS kr FROM e WHERE er <= 2)
+SELECT underlying_id, expiry, round(strike, 6) AS strike, round(forward, 6) AS forward FROM k WHERE kr <= 5""")
 def near_atm_grid(spark, d):
-    from pyspark.sql import Window
-
-    q = options(spark, d).select(F.col("l_partkey").alias("underlying_id"), F.col("l_linenumber").alias("expiry"), "strike", (F.col("spot") * F.exp((F.col("rate") - F.col("yield")) * F.col("tau"))).alias("forward")).distinct()
-    e = q.withColumn("er", F.dense_rank().over(Window.partitionBy("underlying_id").orderBy("expiry"))).where("er <= 2")
-    w = Window.partitionBy("underlying_id", "expiry").orderBy(F.round(F.abs(F.ln(F.col("strike") / F.col("forward"))), 9), "strike", "forward")
-    return e.withColumn("nth", F.row_number().over(w)).where("nth <= 5").select("underlying_id", "expiry", F.round("strike", 6).alias("strike"), "nth")
+    """The earliest expiries of each underlying, and in each the strikes nearest
+    to the forward."""
+    forward = F.col("spot") * F.exp((F.col("rate") - F.col("yield")) * F.col("tau"))
+    q = options(spark, d).select(F.col("l_partkey").alias("underlying_id"), F.col("l_linenumber").alias("expiry"), "strike", forward.alias("forward")).distinct()
+    return chain.nearest_to_forward(q).select("underlying_id", "expiry", F.round("strike", 6).alias("strike"), F.round("forward", 6).alias("forward"))
 
 
 @query("""SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS date, date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') AS days,
@@ -165,11 +145,20 @@ def gate_missing_quote(spark, d):
     return integrity.missing_rows(e, have, ["key"]).join(e, "key").groupBy("c_custkey").agg(F.count("*").alias("missing"))
 
 
-@query("""SELECT o_orderkey, o_custkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE NOT (o_orderstatus = 'F') AND (c_nationkey != 3 OR o_totalprice < 1000) AND NOT (c_mktsegment = 'MACHINERY' AND o_orderpriority = '5-LOW')""")
+@query("""SELECT o_orderkey, o_orderstatus, o_orderpriority, o_custkey FROM orders
+WHERE o_orderkey % 3 <> 0 AND (o_orderkey % 11 = 0 OR (o_orderkey % 13 = 0 AND o_orderstatus IS NOT NULL) OR (o_orderkey % 17 = 0 AND o_orderpriority <> '5-LOW'))""")
 def gate_mismatch(spark, d):
-    j = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.where(~(F.col("o_orderstatus") == "F") & ((F.col("c_nationkey") != 3) | (F.col("o_totalprice") < 1000)) & ~((F.col("c_mktsegment") == "MACHINERY") & (F.col("o_orderpriority") == "5-LOW"))).select("o_orderkey", "o_custkey", "o_orderpriority")
+    """Rows that differ from a copy in which some customers, statuses (made
+    null) and priorities are planted wrong and some rows are missing."""
+    left = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    key = F.col("o_orderkey")
+    copy = left.where(key % 3 != 0).select(
+        "o_orderkey",
+        F.when(key % 13 != 0, F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(key % 17 == 0, "5-LOW").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        (F.col("o_custkey") + F.when(key % 11 == 0, 1).otherwise(0)).alias("o_custkey"),
+    )
+    return integrity.mismatches(left, copy, ["o_orderkey"], ["o_orderstatus", "o_orderpriority", "o_custkey"])
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_sort(list(DISTINCT l_linestatus)) <> ['F', 'O']")
@@ -239,18 +228,14 @@ def piecewise_integral(spark, d):
     return options(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(curves.value_column(_NODES, tau), 8).alias("value"), F.round(curves.integral_column(_NODES, F.lit(0.0), tau), 8).alias("integral"))
 
 
-@query("""WITH l AS (SELECT s_suppkey AS driver, f AS factor, CASE f WHEN 0 THEN 0.5 + 0.004 * (s_suppkey % 50) ELSE 0.1 + 0.002 * (s_suppkey % 30) END::DOUBLE AS loading FROM supplier, (SELECT unnest([0, 1])::INTEGER AS f) WHERE s_nationkey < 5)
+@query("""WITH l AS (SELECT s_suppkey AS driver, f AS factor, CASE f WHEN 0 THEN 0.5 + 0.004 * (s_suppkey % 50) ELSE 0.1 + 0.002 * (s_suppkey % 30) END::DOUBLE AS loading FROM supplier, (SELECT unnest([0, 1])::INTEGER AS f))
 SELECT a.driver AS driver_i, b.driver AS driver_j, round(CASE WHEN a.driver = b.driver THEN 1.0 ELSE sum(a.loading * b.loading) END, 8)::DOUBLE AS rho FROM l a JOIN l b USING (factor) GROUP BY a.driver, b.driver""")
 def factor_correlation(spark, d):
     return dependence.correlation(_loadings(spark, d)).withColumn("rho", F.round("rho", 8))
 
 
 def _loadings(spark, d):
-    return _all_loadings(t(spark, d, "supplier").where("s_nationkey < 5"))
-
-
-def _all_loadings(suppliers):
-    s = suppliers.select(F.col("s_suppkey").alias("driver"), F.explode(F.array(F.lit(0), F.lit(1))).alias("factor"))
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("driver"), F.explode(F.array(F.lit(0), F.lit(1))).alias("factor"))
     value = F.when(F.col("factor") == 0, 0.5 + 0.004 * (F.col("driver") % 50)).otherwise(0.1 + 0.002 * (F.col("driver") % 30))
     return s.withColumn("loading", value)
 
@@ -262,20 +247,22 @@ def principal_submatrix(spark, d):
     return dependence.submatrix(dependence.correlation(_loadings(spark, d)), few).select("driver_i", "driver_j", F.round("rho", 8).alias("rho"))
 
 
-@query("SELECT s_suppkey AS driver, round(1.0 - (power(0.5 + 0.004 * (s_suppkey % 50), 2) + power(0.1 + 0.002 * (s_suppkey % 30), 2)), 8)::DOUBLE AS own FROM supplier WHERE s_nationkey < 5")
+@query("SELECT s_suppkey AS driver, round(1.0 - (power(0.5 + 0.004 * (s_suppkey % 50), 2) + power(0.1 + 0.002 * (s_suppkey % 30), 2)), 8)::DOUBLE AS own FROM supplier")
 def own_variance(spark, d):
     return dependence.own_variance(_loadings(spark, d)).withColumn("own", F.round("own", 8))
 
 
-@query("SELECT 0::BIGINT AS n_errors")
+@query("""WITH l AS (SELECT s_suppkey AS driver, f AS factor, CASE f WHEN 0 THEN 0.5 + 0.004 * (s_suppkey % 50) ELSE 0.1 + 0.002 * (s_suppkey % 30) END::DOUBLE AS loading FROM supplier, (SELECT unnest([0, 1])::INTEGER AS f)),
+r AS (SELECT a.driver AS driver_i, b.driver AS driver_j, CASE WHEN a.driver = b.driver THEN 1.0 ELSE sum(a.loading * b.loading) END::DOUBLE AS rho FROM l a JOIN l b USING (factor) GROUP BY a.driver, b.driver)
+SELECT driver_i, driver_j, CASE WHEN (driver_i + 2 * driver_j) % 89 <> 0 THEN round(rho + 0.001, 8) END AS stated, round(rho, 8) AS rho FROM r
+WHERE (driver_i + 2 * driver_j) % 89 = 0 OR (31 * driver_i + driver_j) % 97 = 0""")
 def provenance_check(spark, d):
-    """All suppliers' pairs."""
-    load = _all_loadings(t(spark, d, "supplier"))
-    return integrity_count(dependence.provenance_errors(dependence.correlation(load), load))
-
-
-def integrity_count(df):
-    return df.agg(F.count("*").alias("n_errors"))
+    """A stated matrix of all suppliers' pairs with cells planted wrong and
+    cells left out, against that of the loadings."""
+    load = _loadings(spark, d)
+    i, j = F.col("driver_i"), F.col("driver_j")
+    stated = dependence.correlation(load).where((i + 2 * j) % 89 != 0).withColumn("rho", F.col("rho") + F.when((31 * i + j) % 97 == 0, 0.001).otherwise(0.0))
+    return dependence.provenance_errors(stated, load).select("driver_i", "driver_j", F.round("stated", 8).alias("stated"), F.round("rho", 8).alias("rho"))
 
 
 _BANDS = [("weak", 0.0, 1.0), ("learning", 0.3, 1.5), ("strong", 0.8, 0.25)]
@@ -337,13 +324,6 @@ def smile_vol(spark, d):
     return options(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(smile(lit(0.2), lit(-0.1), lit(0.3), lit(0.05), k, F.col("tau")), 8).alias("vol"))
 
 
-@query(f"""{_O}, p AS (SELECT *, {price_sql()} AS price FROM opt) SELECT l_partkey % 20 AS book, round(sum(price * position), 0) AS value, count(*) AS n FROM p GROUP BY ALL""")
-def portfolio_value(spark, d):
-    args = [F.col(x) for x in ("spot", "strike", "tau", "rate", "yield", "sigma")]
-    p = options(spark, d).withColumn("price", pricing.price_column(F.col("call_put") == "call", *args))
-    return p.groupBy((F.col("l_partkey") % 20).alias("book")).agg(F.round(F.sum(F.col("price") * F.col("position")), 0).alias("value"), F.count("*").alias("n"))
-
-
 @query("""WITH l AS (SELECT l_partkey % 10 AS book, l_extendedprice * (l_discount - 0.05) AS loss FROM lineitem), v AS (SELECT book, quantile_cont(loss, 0.99) AS var99 FROM l GROUP BY book)
 SELECT l.book, round(any_value(var99), 4) AS var99, round(avg(loss), 4) AS es99, count(*) AS n_tail FROM l JOIN v USING (book) WHERE loss >= var99 GROUP BY l.book""")
 def var_es(spark, d):

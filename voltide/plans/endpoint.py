@@ -14,16 +14,17 @@ import math
 import threading
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-from voltide.sources.tables import describe
+from voltide.operators.integrity import multiset_digest
+from voltide.sources.tables import describe, information_schema
 
-MAX_CHARS, MAX_ROWS, MAX_BYTES, MAX_SECONDS, MAX_CALLS = 20_000, 1000, 1 << 20, 5.0, 10
+MAX_CHARS, MAX_ROWS, MAX_BYTES, MAX_SECONDS, MAX_CALLS, MAX_MEMORY = 20_000, 1000, 1 << 20, 5.0, 10, 256 << 20
 #: Functions whose value is not that of their arguments, or that reach out.
 DENIED = frozenset(
     "rand random randn uuid shuffle current_user user session_user current_catalog current_database current_schema current_date current_timestamp now localtimestamp curdate unix_timestamp input_file_name input_file_block_start input_file_block_length reflect java_method try_reflect monotonically_increasing_id spark_partition_id version sleep randstr uniform".split()
@@ -151,11 +152,60 @@ class Endpoint:
     """A budgeted SQL endpoint over named DataFrames (``schema.table`` or
     ``table``)."""
 
-    def __init__(self, spark: SparkSession, relations: dict[str, DataFrame], *, calls: int = MAX_CALLS, seconds: float = MAX_SECONDS, rows: int = MAX_ROWS, size: int = MAX_BYTES, chars: int = MAX_CHARS):
-        self.spark, self.relations = spark, {k.lower(): v for k, v in relations.items()}
+    def __init__(
+        self, spark: SparkSession, relations: dict[str, DataFrame], *, calls: int = MAX_CALLS, seconds: float = MAX_SECONDS, rows: int = MAX_ROWS, size: int = MAX_BYTES, chars: int = MAX_CHARS, memory: int = MAX_MEMORY, inventory: dict[str, str] | None = None, catalogue: bool = True
+    ):
+        """``inventory``: the exact relations with the digests of their contents;
+        any difference, and any function that a user registered, is refused.
+        ``memory``: the most bytes that a query may be estimated to read;
+        ``catalogue``: whether information_schema can be asked."""
+        self.spark, self.relations, self.memory = spark, {k.lower(): v for k, v in relations.items()}, memory
+        if inventory is not None:
+            self._check_inventory({k.lower(): v for k, v in inventory.items()})
+        if catalogue:
+            self.relations |= self._catalogue()
         self.calls, self.seconds, self.rows, self.size, self.chars = calls, seconds, rows, size, chars
         self.lock = threading.Lock()
 
+    def _check_inventory(self, inventory: dict[str, str]) -> None:
+        if set(inventory) != set(self.relations):
+            raise CapabilityError("the relations differ from the inventory")
+        own = {r[0] for r in self.spark.sql("SHOW USER FUNCTIONS").collect()}
+        if own:
+            raise CapabilityError(f"functions of users are there: {sorted(own)[:5]}")
+        for name, df in sorted(self.relations.items()):
+            if multiset_digest(df) != inventory[name]:
+                raise CapabilityError(f"the contents of {name} differ from the inventory")
+
+    def _catalogue(self) -> dict[str, DataFrame]:
+        by_schema: dict[str, dict[str, DataFrame]] = {}
+        for name, df in self.relations.items():
+            schema, _, table = name.rpartition(".")
+            by_schema.setdefault(schema or "main", {})[table] = df
+        out: dict[str, DataFrame] = {}
+        for schema, tables in sorted(by_schema.items()):
+            for view, df in information_schema(self.spark, tables, schema).items():
+                key = f"information_schema.{view}"
+                out[key] = out[key].unionByName(df) if key in out else df
+        return out
+
+    def tools(self, named: dict[str, str]) -> dict[str, Callable[[], dict]]:
+        """Fixed queries as functions without parameters: each may be called
+        once, and takes one of the endpoint's calls."""
+
+        def tool(name: str, sql: str) -> Callable[[], dict]:
+            used = []
+
+            def run() -> dict:
+                if used:
+                    raise BudgetError(f"{name} was called already")
+                used.append(True)
+                return self.query(sql)
+
+            return run
+
+        return {name: tool(name, sql) for name, sql in named.items()}
+
     def _spend(self) -> None:
         with self.lock:
             if self.calls < 1:
@@ -172,7 +222,8 @@ class Endpoint:
         words = sql.strip().rstrip(";").split()
         head = [w.lower() for w in words[:2]]
         if head == ["show", "tables"] and len(words) == 2:
-            return self.spark.createDataFrame([(n,) for n in sorted(self.relations)], "name string")
+            own = sorted(n for n in self.relations if not n.startswith("information_schema."))
+            return self.spark.createDataFrame([(n,) for n in own], "name string")
         if head[:1] in (["describe"], ["desc"]) and len(words) == 2:
             if words[1].lower() not in self.relations:
                 raise CapabilityError(f"relation {words[1]} is not available")
@@ -213,13 +264,21 @@ class Endpoint:
             late.set()
             self.spark.sparkContext.cancelJobsWithTag(tag)
 
-        df = self.frame(sql)
-        began = time.monotonic()
+        began = time.monotonic()  # parsing and analysis count too
         timer = threading.Timer(self.seconds, stop)
         timer.start()
         self.spark.sparkContext.addJobTag(tag)
         try:
+            df = self.frame(sql)
+            sizes = [int(str(x.stats().sizeInBytes())) for x in _items(df._jdf.queryExecution().optimizedPlan().collectLeaves())]
+            needs = sum(n for n in sizes if n < 1 << 60)  # rows made by the driver have no known size
+            if needs > self.memory:
+                raise BudgetError(f"the query may read {needs} bytes")
+            if late.is_set():
+                raise TimeoutError_(f"stopped after {self.seconds} s")
             found = df.limit(self.rows + 1).collect()  # bounded
+        except EndpointError:
+            raise
         except Exception as e:
             if late.is_set():
                 raise TimeoutError_(f"stopped after {self.seconds} s") from None

@@ -69,10 +69,11 @@ def tick_rounding(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", canonical.tick(x, "0.25").cast("double").alias("on_tick"))
 
 
-@query("SELECT p_partkey, 'solver-' || left(sha256('v1|' || p_partkey || '|' || p_brand), 24) AS id, ('0x' || left(sha256('v1|' || p_partkey || '|' || p_brand), 8))::BIGINT AS seed FROM part")
+@query("""SELECT p_partkey, 'solver-' || left(sha256('{"brand":"' || p_brand || '","id":' || p_partkey || '}'), 24) AS id, ('0x' || left(sha256('v1|' || p_partkey || '|' || p_brand), 8))::BIGINT AS seed FROM part""")
 def stable_ids(spark, d):
+    """Content ids of canonical JSON, and the seeds of keyed streams."""
     h = F.sha2(F.concat_ws("|", F.lit("v1"), F.col("p_partkey").cast("string"), "p_brand"), 256)
-    return t(spark, d, "part").select("p_partkey", F.concat(F.lit("solver-"), F.substring(h, 1, 24)).alias("id"), F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").alias("seed"))
+    return t(spark, d, "part").select("p_partkey", canonical.stable_id_column("solver-", id=F.col("p_partkey"), brand=F.col("p_brand")).alias("id"), F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").alias("seed"))
 
 
 @query("SELECT o_orderkey, (CAST(o_totalprice AS DECIMAL(24,8)) * CAST(1.05 AS DECIMAL(24,8)))::DOUBLE AS product, round((CAST(o_totalprice AS DECIMAL(24,8)) - 7)::DOUBLE, 6) AS less FROM orders")

@@ -28,4 +28,4 @@ def spark_sql(spark: SparkSession, d: str, text: str, *tables: str) -> DataFrame
     return spark.sql(text, **{n: spark.read.parquet(f"{d}/{n}.parquet") for n in tables})
 
 
-from voltide.plans import curated, extended, functions_, operators_, relational, visibility_  # noqa: E402,F401
+from voltide.plans import contracts, curated, extended, functions_, headline, operators_, relational, visibility_  # noqa: E402,F401

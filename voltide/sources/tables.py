@@ -138,13 +138,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def information_schema(spark: SparkSession, tables: dict[str, DataFrame], schema: str = "main") -> dict[str, DataFrame]:
-    """Views ``tables`` and ``columns`` in the manner of the SQL standard."""
-    names = [(schema, n, "BASE TABLE") for n in sorted(tables)]
+def information_schema(spark: SparkSession, tables: dict[str, DataFrame], schema: str = "main", views: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Views ``tables``, ``columns``, ``views`` and ``schemata`` in the manner of
+    the SQL standard; ``views`` has definitions by name."""
+    views = views or {}
+    names = [(schema, n, "VIEW" if n in views else "BASE TABLE") for n in sorted(tables)]
     cols = [(schema, n, f.name, i, f.dataType.simpleString().upper(), "YES" if f.nullable else "NO") for n in sorted(tables) for i, f in enumerate(tables[n].schema.fields, 1)]
     return {
         "tables": spark.createDataFrame(names, "table_schema string, table_name string, table_type string"),
         "columns": spark.createDataFrame(cols, "table_schema string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable string"),
+        "views": spark.createDataFrame([(schema, n, views[n]) for n in sorted(views)], "table_schema string, table_name string, view_definition string"),
         "schemata": spark.createDataFrame([(schema,)], "schema_name string"),
     }
 
@@ -183,3 +186,51 @@ class Migrations:
 
 def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.withColumn(name, F.lit(None).cast(kind))
+
+
+def with_columns(df: DataFrame, **kinds: str) -> DataFrame:
+    """Columns that are not there yet, without values; those there stay."""
+    for name, kind in kinds.items():
+        df = df if name in df.columns else add_column(df, name, kind)
+    return df
+
+
+#: The columns that versions before 2.6 lack, by table; counts start at zero.
+ADDED = {
+    "snapshot_revisions": dict.fromkeys(("underlying_dependence_count", "option_chain_spec_count", "intraday_bridge_spec_count", "underlying_volume_model_count", "option_pricing_audit_count"), "bigint"),
+    "option_contracts": {"chain_id": "string", "listing_date": "date", "listing_spot": "decimal(24,8)", "strike_moneyness": "decimal(24,8)"},
+    "option_chain_specs": {"liquidity_filter": "string", "quote_model": "string"},
+}
+#: What versions before 2.5 did not say of a dependence.
+MAPPING = ("source_dependence_spec_id", "mapping_id", "mapping_type", "risk_neutral_measure_id", "numeraire_id", "rate_path_id")
+#: The tables of observation laws, which migration makes empty.
+LAWS = {
+    "intraday_bridge_specs": "snapshot_id string, bridge_spec_id string, steps int, stream_namespace string",
+    "underlying_volume_models": "snapshot_id string, volume_spec_id string, stream_namespace string",
+}
+
+
+def market_migrations() -> Migrations:
+    """From any of versions 2.0 to 2.5 to 2.6: rows stay as they are; a
+    dependence of before 2.5 becomes one of the physical measure alone; columns
+    are added without values, counts with zero; laws start empty."""
+    out = Migrations()
+
+    def to_target(tables: dict[str, DataFrame], rebuild: bool) -> dict[str, DataFrame]:
+        spark = next(iter(tables.values())).sparkSession
+        if rebuild and "underlying_dependence" in tables:
+            tables["underlying_dependence"] = with_columns(tables["underlying_dependence"].drop(*MAPPING), **dict.fromkeys(MAPPING, "string"))
+        for name, kinds in ADDED.items():
+            if name in tables:
+                new = [k for k in kinds if k not in tables[name].columns]
+                tables[name] = with_columns(tables[name], **kinds)
+                if name == "snapshot_revisions":
+                    tables[name] = tables[name].withColumns({k: F.lit(0).cast(kinds[k]) for k in new})
+        for name, kinds in LAWS.items():
+            tables.setdefault(name, spark.createDataFrame([], kinds))
+        return tables
+
+    for version in ("2.0", "2.1", "2.2", "2.3", "2.4"):
+        out.step(version, "2.6")(lambda tables: to_target(tables, True))
+    out.step("2.5", "2.6")(lambda tables: to_target(tables, False))
+    return out
