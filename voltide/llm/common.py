@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes that a broadcast lookup may have, proven by counting its rows and the
 #: bytes of its texts.
-BROADCAST_BYTES = 4 << 20
+BROADCAST_BYTES = 1 << 20
 #: Keys that may be called hot; a key is if it has over one row in so many.
 HOT_KEYS, HOT_LEAST = 1000, 500
 
