@@ -268,3 +268,16 @@ def test_paths_and_quotes_take_all_parts(spark, sf):
     want = make_paths(spark, spec, operators_.DAYS).collect()
     assert len(want) == 30 and all(got[r.underlying_id, str(r.date)] == r for r in want)
     assert {r.underlying_id for r in operators_.option_quotes(spark, sf).select("underlying_id").distinct().collect()} == set(parts)
+
+
+def test_scratch_is_released(spark):
+    from pathlib import Path
+
+    from voltide.session import Scratch, release, scratch_path
+
+    kept = Scratch(spark).table(spark.range(3).toDF("x"), "kept")
+    folder = Path(scratch_path(spark, "x").removeprefix("file://")).parent.parent
+    assert kept.count() == 3 and any(folder.rglob("*.parquet"))
+    release(spark)
+    assert not folder.exists()
+    assert Scratch(spark).table(spark.range(2).toDF("x"), "again").count() == 2

@@ -61,7 +61,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/voltide/{uuid.uuid4().hex}/{name}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/voltide/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of the application. To be called when its
+    results are written: plans that were returned read some of them."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
