@@ -60,7 +60,45 @@ def test_repeats_and_empty(spark):
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
 
 
-def test_no_python_in_the_plan(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    plan = fingerprints.with_successor(df, "doc_id", "text", fingerprints.wide_digest)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def successors(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return fingerprints.with_successor(df, "doc_id", "text", fingerprints.wide_digest).select("doc_id", "text", "next_text").collect()
+
+
+def test_hot_ids_are_split(spark, monkeypatch):
+    """One id of many texts, one text of many rows: many ranges, one circle."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    rows = [(i, f"t{i}") for i in range(60)] + [(30, f"many {i}") for i in range(300)] + [(None, "same")] * 200 + [(None, f"n{i}") for i in range(100)]
+    slim = spark.createDataFrame(rows, "key long, text string").selectExpr("coalesce(key, -9223372036854775808L) AS key", "xxhash64(text) AS tie")
+    placed = fingerprints._ranges(slim)(slim)
+    sizes = [r["count"] for r in placed.groupBy("range").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 80
+    bounds = placed.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("lo"), F.max(F.struct("key", "tie")).alias("hi")).orderBy("range").collect()
+    assert all(a.hi <= b.lo for a, b in zip(bounds, bounds[1:], strict=False))
+    got = successors(spark, rows)
+    order = {t: h for t, h in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    key = lambda r: (r[0] is not None, r[0] or 0, order[r[1]])
+    want = sorted(rows, key=key)
+    pairs = sorted((r[1], want[(i + 1) % len(want)][1]) for i, r in enumerate(want))
+    assert sorted((r.text, r.next_text) for r in got) == pairs
+
+
+def test_binary_search(spark):
+    marks = list(range(0, 1000, 7))
+    df = spark.range(-5, 1010).select("id", fingerprints._below(F.array(*map(F.lit, marks)).cast("array<long>"), F.col("id")).alias("n"))
+    assert all(r.n == sum(m <= r.id for m in marks) for r in df.collect())
+
+
+def test_no_python_in_any_plan(spark, monkeypatch):
+    """Every plan that is written or returned, for tables with shared digests."""
+    plans, plain = [], fingerprints.Scratch.table
+
+    def table(self, df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return plain(self, df, name)
+
+    monkeypatch.setattr(fingerprints.Scratch, "table", table)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "A")], "doc_id long, text string")
+    out = fingerprints.fingerprints(df, digest=lambda canon: F.substring(fingerprints.wide_digest(canon), 1, 1))
+    plans.append(out._jdf.queryExecution().toString())
+    assert len(plans) > 5 and not any(re.search("Python|Pandas|Arrow|ScalaUDF", x) for x in plans)

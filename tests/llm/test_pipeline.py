@@ -1,9 +1,10 @@
 import re
 import sys
+from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, "tests/llm")
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from test_decontaminate import brute as contaminated  # noqa: E402
 from test_near_dedup import brute as components  # noqa: E402
@@ -49,7 +50,7 @@ def test_quality_keeps_clean_documents(spark, sf, stages):
 
 def test_dedup_equals_brute_force(stages):
     before, after, *_ = stages[1]
-    want = {d for d, _, c in components([(r.doc_id, r.text) for r in before]) if d == c}
+    want = {d for d, _, c in components([(r.doc_id, r.text) for r in before], 80) if d == c}
     assert set(by_id(after)) == want
 
 
@@ -78,3 +79,24 @@ def test_packing_is_exact(stages):
     place = {d: i for i, d in enumerate(ids)}
     renamed = [type("P", (), {**p.asDict(), "doc_id": place[p.doc_id]}) for p in after]
     check_pieces(renamed, texts)
+
+
+def test_nulls_repeats_empty_and_clashing_columns(spark, sf, tmp_path):
+    """The whole pipeline over odd rows, and over none."""
+    import shutil
+
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    good = next(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id").orderBy("doc_id").collect() if len(r.text) > 500)
+    rows = [(1, good, "en", "s"), (1, good, "en", "s"), (2, good.upper(), None, None), (None, good + " more", "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, passage, "en", "s"), (6, "w " * 50_000, "en", "s")]
+    names = "doc_id long, text string, lang string, source string, kept int, score_quality string, gone_id int, n_words int"
+    for name, some in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        for table in ("labels", "benchmark"):
+            shutil.copy(f"{sf}/{table}.parquet", folder)
+        spark.createDataFrame([(*r, 1, "x", 2, 3) for r in some], names).write.parquet(f"file://{folder}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"file://{folder}").collect()
+        ids = {r.doc_id for r in out}
+        assert ids <= {1, None, 2, 3, 4, 6} and (1 in ids) == bool(some)  # 5 is a benchmark passage
+        assert 2 not in ids  # a copy of 1
+        assert sum(r.length for r in out if r.doc_id == 1) == next((r.doc_tokens for r in out if r.doc_id == 1), 0)  # its repeat went

@@ -10,14 +10,17 @@ before anything moves; if they differ, the bucket's texts are numbered and the
 number becomes part of the fingerprint. So fingerprints are equal exactly when
 canonical texts are.
 
-Neighbours in ascending id order are found without a global sort: ids are cut
-into many ranges at approximate quantiles, a window runs in each, and the first
-rows of every range also go to the range before, as its last successors.
+Neighbours in ascending order of (id, text hash) are found without a global
+sort: ids are cut into many ranges at approximate quantiles, a window runs in
+each, and the first row of every range also goes to the range before, as its
+last successor. An id that fills a range by itself is cut by text hash, and equal
+rows that do by chance, so that no task holds all rows of one id.
 
 Defined results: a null text is empty; a null id sorts first; rows that repeat
 an id are ordered by text hash; equal rows may follow each other; the successor
-of the last row is the first; in a table of one row it is the row itself; an
-empty table gives no rows. Likeness of exact digests is 1 or 0.
+of the last row is the first; in a table of one row it is the row itself; a very
+long text is folded in the task that holds it; an empty table gives no rows;
+other columns are not read. Likeness of exact digests is 1 or 0.
 """
 
 from __future__ import annotations
@@ -52,38 +55,70 @@ def wide_digest(canon: Column) -> Column:
     return F.concat(half("voltide-a"), half("voltide-b"))
 
 
-def _ranges(rows: DataFrame, key: str, out: str) -> DataFrame:
-    """``rows`` with a range number that ascends with ``key``.
+def _below(marks: Column, x: Column, most: int = FAN) -> Column:
+    """How many of an ascending array's values are at most ``x``: a binary
+    search, in steps of powers of two."""
+    steps = F.array(*(F.lit(1 << k) for k in range(max(1, most).bit_length() - 1, -1, -1)))
+    fits = lambda n: (n <= F.size(marks)) & (F.try_element_at(marks, n) <= x)
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(fits(n + s), n + s).otherwise(n))
 
-    Bounds are approximate quantiles; beyond FAN ranges, each range is cut
-    again by its own bounds, whose table has at most FAN rows."""
-    ranges = min(FAN * FAN, max(1, rows.count() // RANGE_ROWS))
-    upper = min(FAN, ranges)
-    bounds = lambda n: F.percentile_approx(key, F.array(*(F.lit(i / n) for i in range(1, n))), 20 * FAN) if n > 1 else F.array().cast("array<long>")
-    below = lambda marks: F.size(F.filter(marks, lambda b: b <= F.col(key)))
+
+def _ranges(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A way to add to rows (key, tie) a struct ``range`` that ascends with them.
+    What it depends on is written, so that it always places a row alike.
+
+    Bounds are approximate quantiles of the key; beyond FAN ranges, each range
+    is cut again by its own bounds, whose table has at most FAN rows. Keys of
+    over twice a range's rows, at most one for two ranges, get ranges of their
+    own, cut by the tie; so do hot (key, tie) pairs, cut by chance."""
+    scratch, total = Scratch(rows.sparkSession), rows.count()
+    ranges = min(FAN * FAN, max(1, total // RANGE_ROWS))
+    upper, share = min(FAN, ranges), 2 * max(RANGE_ROWS, total // ranges)
+    bounds = lambda n: F.percentile_approx("key", F.array(*(F.lit(i / n) for i in range(1, n))), 20 * FAN) if n > 1 else F.array().cast("array<long>")
+    marks = lambda xs: F.array_sort(F.array_distinct(xs))
     cut = sorted(set(rows.agg(bounds(upper).alias("b")).first().b or []))
-    coarse = rows.withColumn(out, below(F.array(*map(F.lit, cut)).cast("array<long>")))
-    if ranges <= FAN:
-        return coarse
-    fine = coarse.groupBy(out).agg(bounds(-(-ranges // FAN)).alias("marks"))
-    return coarse.join(F.broadcast(fine), out).withColumn(out, F.col(out) * (FAN + 1) + below(F.col("marks"))).drop("marks")
+    coarse = lambda df: df.withColumn("coarse", _below(F.array(*map(F.lit, cut)).cast("array<long>"), F.col("key")) if cut else F.lit(0))
+    fine = scratch.table(coarse(rows).groupBy("coarse").agg(marks(bounds(-(-ranges // FAN))).alias("marks")), "bounds")
+    placed = lambda df: coarse(df).join(F.broadcast(fine), "coarse").withColumn("fine", _below(F.col("marks"), F.col("key"))).drop("marks")
+
+    pairs = scratch.table(placed(rows).groupBy("coarse", "fine", "key", "tie").agg(F.count("*").alias("n")).groupBy("coarse", "fine", "key").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("n") > share, F.col("tie")))).alias("ties"), F.max("n").alias("most")).where(F.col("n") > share), "hot")
+    hot = scratch.table(pairs.groupBy("coarse", "fine").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.struct("n", "ties", "most").alias("v"))))).alias("hot")), "hot_by_range")
+    known = F.coalesce(F.map_keys("hot"), F.array().cast("array<long>"))
+    own = F.try_element_at(F.col("hot"), F.col("key"))
+    parts = F.ceil(own["n"] / share).cast("double")
+    by_tie = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * parts).cast("int")
+    many = F.array_contains(own["ties"], F.col("tie"))
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(own["most"] / share))
+    zero = F.lit(0)
+    place = F.struct(
+        "coarse",
+        "fine",
+        (_below(known, F.col("key"), 1 << 20) * 2 + F.when(own.isNotNull(), 0).otherwise(1)).alias("group"),
+        F.coalesce(by_tie, zero).alias("slice"),
+        F.coalesce(_below(own["ties"], F.col("tie"), 1 << 20) * 2 + F.when(many, 0).otherwise(1), zero).alias("repeat"),
+        F.when(F.coalesce(many, F.lit(False)), chance).otherwise(F.lit(0).cast("long")).alias("part"),
+    )
+    return lambda df: placed(df).join(F.broadcast(hot), ["coarse", "fine"], "left").withColumn("range", place).drop("coarse", "fine", "hot")
 
 
 def with_successor(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """(doc_id, key, text, next_key, next_text, digest, next_digest): each row
-    with the row after it in ascending id order."""
+    with the row after it in ascending order of id and text hash."""
+    scratch = Scratch(docs.sparkSession)
     text = F.coalesce(c(text_col).cast("string"), F.lit(""))
-    rows = docs.select(c(id_col).cast("long").alias("doc_id"), F.coalesce(c(id_col).cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"))
-    placed = _ranges(rows, "key", "range")
-    # One row for each range: its first key goes to the range before, the first of all to the last.
-    firsts = placed.groupBy("range").agg(F.min("key").alias("first"))
+    rows = docs.select(c(id_col).cast("long").alias("doc_id"), F.coalesce(c(id_col).cast("long"), F.lit(-(2**63))).alias("key"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    place = _ranges(rows.select("key", "tie"))
+    slim = scratch.table(place(rows.select("key", "tie")).groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")), "firsts")
+    # Each range's first row goes to the range before, the first of all to the last.
     order = Window.orderBy("range")
     wrap = F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    edge = firsts.select("range", F.coalesce(F.lead("first").over(order), wrap).alias("follows"))
-    edge = Scratch(docs.sparkSession).table(edge, "edges")
-    ghosts = rows.join(F.broadcast(edge), F.col("key") == F.col("follows")).select("doc_id", "key", "text", "range", F.lit(1).alias("ghost"))
-    both = placed.select("doc_id", "key", "text", "range", F.lit(0).alias("ghost")).unionByName(ghosts)
-    both = both.withColumn("digest", digest(canonical(F.col("text")))).withColumn("tie", F.xxhash64("text"))
+    edge = scratch.table(slim.select("range", F.coalesce(F.lead("first").over(order), wrap).alias("follows")), "edges")
+    follows = edge.select("range", F.col("follows.key").alias("f_key"), F.col("follows.tie").alias("f_tie"))
+    met = rows.join(F.broadcast(follows), (F.col("key") == F.col("f_key")) & (F.col("tie") == F.col("f_tie")))
+    # Rows that are equal in both stand for each other: one is taken, before any of them moves.
+    ghosts = met.groupBy("range").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("tie").alias("tie"), F.first("text").alias("text")).withColumn("ghost", F.lit(1))
+    both = place(rows).withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    both = both.withColumn("digest", digest(canonical(F.col("text"))))
     w = Window.partitionBy("range").orderBy("ghost", "key", "tie")
     out = both.withColumns({f"next_{x}": F.lead(x).over(w) for x in ("key", "text", "digest")})
     return out.where("ghost = 0").drop("ghost", "tie", "range")
