@@ -9,7 +9,6 @@ from hypothesis import strategies as st
 
 from voltide.functions import bsm, canonical, curves, rng, special
 from voltide.operators import paths
-from voltide.operators.pricing import decimal8
 
 
 def one(*xs):
@@ -27,7 +26,7 @@ def test_erfc_is_that_of_the_c_library():
 def test_greeks_golden():
     g = bsm.greeks(np.array([True]), *one(100, 100, 1.0, 0.05, 0.02, 0.2))
     want = {"price": "9.22700551", "delta": "0.58685115", "gamma": "0.01895058", "vega_1volpt": "0.37901158", "theta_1calendar_day": "-0.01394334", "rho_1pct": "0.49458109"}
-    assert {k: decimal8(v)[0] for k, v in g.items()} == want
+    assert {k: canonical.decimal_text(float(v[0])) for k, v in g.items()} == want
 
 
 IV = [
@@ -42,7 +41,7 @@ IV = [
 @pytest.mark.parametrize("side,s,k,days,r,q,quote,vol", IV)
 def test_implied_volatility_golden(side, s, k, days, r, q, quote, vol):
     status, root = bsm.implied_volatility(np.array([side == "call"]), *one(s, k, days / 365, r, q, quote))
-    assert status[0] == bsm.OK and decimal8(root)[0] == vol
+    assert status[0] == bsm.OK and canonical.decimal_text(float(root[0])) == vol
 
 
 @pytest.mark.parametrize("quote,status", [(0, bsm.OUT_OF_BOUNDS), (200, bsm.OUT_OF_BOUNDS), (97.75917633, bsm.NO_BRACKET), (float("nan"), bsm.INVALID)])
@@ -77,9 +76,15 @@ def test_quantise(x):
     assert canonical.DECIMAL8.fullmatch(canonical.decimal_text(x))
 
 
-@given(st.floats(-1e6, 1e6))
-def test_fast_text_equals_exact_text(x):
-    assert decimal8(np.array([x]))[0] == canonical.decimal_text(x)
+def test_column_text_equals_exact_text(spark):
+    import random
+
+    rng = random.Random(3)
+    xs = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-12, 9) for _ in range(3000)] + [131072.552788015, 0.5e-8, 1.5e-8, -0.5e-8, -1e-20, 0.0, -0.0, 1e-300, 123456789.123456785, 2.5e-8]
+    xs += [round(rng.uniform(0, 1e6), 9) for _ in range(2000)] + [None, math.nan, math.inf, -math.inf]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = {r.i: r.t for r in df.select("i", canonical.decimal_column(df.x).alias("t")).collect()}
+    assert got == {i: canonical.decimal_text(x) for i, x in enumerate(xs)}
 
 
 def test_canonical_forms():

@@ -114,6 +114,14 @@ def near_half_column(x: Column, places: int = 8, tolerance: str = "0.00000000001
     return rest <= F.lit(Decimal(tolerance) * Decimal(10) ** places)
 
 
+def decimal_column(x: Column, places: int = 8) -> Column:
+    """Column form of ``decimal_text`` for doubles, in generated code: through
+    the shortest text, as exact decimals, half to even."""
+    finite = ~F.isnan(x) & (F.abs(x) < 1e19)
+    exact = F.when(finite, x).cast("string").cast("decimal(38,18)")
+    return F.bround(exact, places).cast(f"decimal(38,{places})").cast("string")
+
+
 def stable_id(prefix: str, parts: dict, digits: int = 24) -> str:
     """A content id: the prefix and the first hex digits of a SHA-256."""
     return prefix + hashlib.sha256(canonical_json(parts).encode()).hexdigest()[:digits]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voltide.functions.canonical import moneyness_column, tick
 from voltide.operators.calendar import following
-from voltide.session import Scratch
+from voltide.operators.numbering import with_positions
 
 
 def candidate_grid(listings: DataFrame, expiry_days: Sequence[int], moneyness: Sequence[str] | None = None, increment: str = "0.5", multiplier: str = "100", *, strikes: Sequence[str] | None = None) -> DataFrame:
@@ -80,17 +80,6 @@ def canonical_order(df: DataFrame, *, sides_per_key: bool = True) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, *order: str) -> DataFrame:
-    """row_000001 ... in the given order, which must be total.
-
-    Rows are sorted in ranges and numbered in each; a range's first number is
-    the count of all before it, and only those counts, one a range, are
-    gathered. The ranges are written first, so that both reads see the same."""
-    scratch = Scratch(df.sparkSession)
-    at, within = F.spark_partition_id(), F.monotonically_increasing_id()
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = scratch.table(ranged.select("*", at.alias("__range"), within.bitwiseAND((1 << 33) - 1).alias("__nth")), "ranges")
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = ranged.join(F.broadcast(counts.select("__range", before.alias("__before"))), "__range")
-    return numbered.select(*df.columns, F.format_string("row_%06d", F.col("__before") + F.col("__nth") + 1).alias("row_id"))
+    """row_000001 ... in the given order, which must be total."""
+    numbered = with_positions(df, *order, out="__position")
+    return numbered.select(*df.columns, F.format_string("row_%06d", F.col("__position") + 1).alias("row_id"))

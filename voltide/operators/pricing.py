@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltide.functions import bsm
-from voltide.functions.canonical import decimal_text
+from voltide.functions.canonical import decimal_column
+from voltide.session import spread
 
 INPUTS = ("call_put", "spot", "strike", "tau", "rate", "yield")
 METRICS = ("iv", "delta", "gamma", "vega_1volpt", "theta_1calendar_day", "rho_1pct")
@@ -35,16 +36,6 @@ def price_bounds(call_put: Column, spot: Column, strike: Column, tau: Column, ra
     return lower, F.when(call, forward).otherwise(cash)
 
 
-def decimal8(values: np.ndarray) -> list[str | None]:
-    """Eight-place text. Values near a rounding boundary go through exact
-    decimals; for all others the C formatter gives the same digits."""
-    v = np.asarray(values, float)
-    with np.errstate(all="ignore"):
-        scaled = np.abs(v) * 1e8
-        risky = ~np.isfinite(v) | (np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3 + scaled * 2e-15) | (scaled < 1) | (scaled > 1e15)
-    return [decimal_text(x) if bad else "%.8f" % x for x, bad in zip(v.tolist(), risky.tolist(), strict=True)]
-
-
 def _arrays(b: pd.DataFrame, names) -> list[np.ndarray]:
     return [b[n].to_numpy(float, na_value=np.nan) for n in names]
 
@@ -52,7 +43,7 @@ def _arrays(b: pd.DataFrame, names) -> list[np.ndarray]:
 def _append(df: DataFrame, per_batch, extra: str, inputs: list[Column]) -> DataFrame:
     """``df`` with columns that a kernel makes from ``inputs``."""
     names = [f"__in{i}" for i in range(len(inputs))]
-    wide = df.select("*", *(x.alias(n) for x, n in zip(inputs, names, strict=True)))
+    wide = spread(df.select("*", *(x.alias(n) for x, n in zip(inputs, names, strict=True))))
     schema = T.StructType(df.schema.fields + T.StructType.fromDDL(extra).fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,12 +63,17 @@ def with_greeks(df: DataFrame, call_put: Column, spot: Column, strike: Column, t
         with np.errstate(all="ignore"):
             out = bsm.greeks(call, *args)
             out |= bsm.more_greeks(call, *args) if more else {}
-        return {k: decimal8(v) if text else v for k, v in out.items()}
+        return out
 
     if more:
         names += ["dividend_rho", "vanna", "vomma", "charm", "speed", "zomma", "color", "veta", "ultima", "dual_delta", "dual_gamma"]
-    kind = "string" if text else "double"
-    return _append(df, kernel, ", ".join(f"{n} {kind}" for n in names), [call_put, spot, strike, tau, rate, q, sigma])
+    out = _append(df, kernel, ", ".join(f"{n} double" for n in names), [call_put, spot, strike, tau, rate, q, sigma])
+    return _texts(out, names) if text else out
+
+
+def _texts(df: DataFrame, names) -> DataFrame:
+    """Columns as eight-place texts, made in generated code."""
+    return df.withColumns({n: decimal_column(F.col(n)) for n in names})
 
 
 def with_implied_volatility(df: DataFrame, call_put: Column, spot: Column, strike: Column, tau: Column, rate: Column, q: Column, observed: Column, *, greeks: bool = False, text: bool = False) -> DataFrame:
@@ -90,18 +86,18 @@ def with_implied_volatility(df: DataFrame, call_put: Column, spot: Column, strik
         args = _arrays(b, range(1, 7))
         args[0] = np.where(known, args[0], np.nan)
         status, root = bsm.implied_volatility(call, *args)
-        out = {"iv_status": status, "implied_volatility": decimal8(root) if text else root, "iterations": np.where(status == bsm.OK, bsm.BISECTIONS, 0)}
+        out = {"iv_status": status, "implied_volatility": root, "iterations": np.where(status == bsm.OK, bsm.BISECTIONS, 0)}
         if greeks:
             with np.errstate(all="ignore"):
                 g = bsm.greeks(call, *args[:5], root)
-            out |= {k: decimal8(g[k]) if text else g[k] for k in bsm.GREEKS}
+            out |= {k: g[k] for k in bsm.GREEKS}
         return out
 
-    kind = "string" if text else "double"
-    extra = f"iv_status string, implied_volatility {kind}, iterations int"
+    extra = "iv_status string, implied_volatility double, iterations int"
     if greeks:
-        extra += "".join(f", {k} {kind}" for k in bsm.GREEKS)
-    return _append(df, kernel, extra, [call_put, spot, strike, tau, rate, q, observed])
+        extra += "".join(f", {k} double" for k in bsm.GREEKS)
+    out = _append(df, kernel, extra, [call_put, spot, strike, tau, rate, q, observed])
+    return _texts(out, ["implied_volatility", *(bsm.GREEKS if greeks else ())]) if text else out
 
 
 def with_bisection_root(df: DataFrame, call_put: Column, spot: Column, strike: Column, tau: Column, rate: Column, q: Column, observed: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltide.operators.numbering import with_positions
+
 
 #: Rules that may be tried on every item.
 MOST_RULES = 10_000
@@ -25,9 +27,13 @@ def hash_sample(df: DataFrame, n: int, contract: str, seed: int, key: str) -> Da
 
 def allocate_round_robin(df: DataFrame, targets: Sequence[str], contract: str, seed: int, key: str, within: str | None = None) -> DataFrame:
     """Rows in hash order are dealt to the targets in turn, without
-    replacement; ``within`` deals each group by itself, in its own task."""
-    w = Window.partitionBy(within) if within else Window.partitionBy(F.lit(1))
-    dealt = df.withColumn("__h", hash_rank(contract, seed, key)).withColumn("slot", F.row_number().over(w.orderBy("__h", key)) - 1)
+    replacement; ``within`` deals each group by itself, in its own task, and
+    without it rows are numbered in ranges."""
+    ranked = df.withColumn("__h", hash_rank(contract, seed, key))
+    if within:
+        dealt = ranked.withColumn("slot", F.row_number().over(Window.partitionBy(within).orderBy("__h", key)) - 1)
+    else:
+        dealt = with_positions(ranked, "__h", key, out="slot").withColumn("slot", F.col("slot").cast("int"))
     names = F.array(*map(F.lit, targets))
     return dealt.withColumn("target", F.element_at(names, (F.col("slot") % len(targets) + 1).cast("int"))).drop("__h")
 

@@ -250,11 +250,8 @@ def task_rows(spark, d):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(v AS DECIMAL(24,8)) AS VARCHAR) AS text, regexp_full_match(CAST(CAST(v AS DECIMAL(24,8)) AS VARCHAR), '-?(0|[1-9][0-9]*)\.[0-9]{8}') AS valid FROM x""".replace("\\\\", "\\"))
 def decimal_texts(spark, d):
     """Eight-place texts of doubles, and whether they are well formed."""
-    from voltide.operators.pricing import decimal8
-
-    text = F.pandas_udf(lambda s: s.map(str).where(s.isna(), decimal8(s.to_numpy(float))), "string")
     x = F.col("l_extendedprice") * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1)
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text(x).alias("text")).withColumn("valid", F.col("text").rlike("^" + canonical.DECIMAL8.pattern + "$"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", canonical.decimal_column(x).alias("text")).withColumn("valid", F.col("text").rlike("^" + canonical.DECIMAL8.pattern + "$"))
 
 
 @query("""SELECT o_orderkey, '{"decimal":"' || CAST(o_totalprice AS DECIMAL(24,8))::VARCHAR || '"}' AS price, '{"date":"' || CAST(o_orderdate AS DATE)::VARCHAR || '"}' AS day, '{"datetime":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || '"}' AS moment, '"' || o_orderstatus || '"' AS status, o_custkey::VARCHAR AS customer,
@@ -405,3 +402,9 @@ def exact_float_sum(spark, d):
     """The correctly rounded sum of doubles far apart in size."""
     x = F.col("l_quantity") * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1) + F.col("l_partkey") / F.lit(float(2**40))
     return integrity.exact_sum(t(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("k"), x.alias("x")), ["k"], "x")
+
+
+@query("""SELECT s_suppkey, list_element(['iv', 'delta', 'gamma'], (r % 3 + 1)::INTEGER) AS target, r AS slot FROM (SELECT s_suppkey, (row_number() OVER (ORDER BY sha256('all|4|' || s_suppkey), s_suppkey) - 1)::INTEGER AS r FROM supplier)""")
+def allocation_of_all(spark, d):
+    """Rows of one group dealt to targets in hash order, numbered in ranges."""
+    return selection.allocate_round_robin(t(spark, d, "supplier"), ["iv", "delta", "gamma"], "all", 4, "s_suppkey").select("s_suppkey", "target", "slot")

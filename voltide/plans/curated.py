@@ -17,11 +17,10 @@ _O = "WITH " + OPTIONS_SQL
 def market_greeks(spark, d):
     """Price each row, read the price back as a quote, and return the implied
     volatility and Greeks at its root as eight-place texts."""
-    o = options(spark, d)
     args = [F.col(x) for x in ("call_put", "spot", "strike", "tau", "rate", "yield")]
-    priced = pricing.with_greeks(o, *args, F.col("sigma")).drop("delta", "gamma", "vega_1volpt", "theta_1calendar_day", "rho_1pct")
-    quoted = priced.withColumn("observed", F.col("price").cast("decimal(24,8)").cast("double")).drop("price")
-    solved = pricing.with_implied_volatility(quoted, *args, F.col("observed"), greeks=True, text=True)
+    o = options(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date", *args, "sigma")
+    priced = pricing.with_greeks(o, *args, F.col("sigma")).select(*o.columns, F.col("price").cast("decimal(24,8)").cast("double").alias("observed")).drop("sigma")
+    solved = pricing.with_implied_volatility(priced, *args, F.col("observed"), greeks=True, text=True)
     return solved.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date", "iv_status", "implied_volatility", "delta", "gamma", "vega_1volpt", "theta_1calendar_day", "rho_1pct", "iterations")
 
 
@@ -34,7 +33,7 @@ def bsm_price_sql(spark, d):
 @query(f"""{_O}, obs AS (SELECT *, {price_sql()} AS observed FROM opt),
 solved AS (SELECT *, list_reduce(list_prepend({{'lo': 1e-6::DOUBLE, 'hi': 5::DOUBLE}}, [{{'lo': 0::DOUBLE, 'hi': 0::DOUBLE}} for i in range(80)]), lambda a, i:
   CASE WHEN {price_sql("((a.lo + a.hi) / 2)")} < observed THEN {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} END) AS s FROM obs)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({price_sql("((s.lo + s.hi) / 2)")}, 4) + 0.0::DOUBLE AS price_at_root FROM solved""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round({price_sql("((s.lo + s.hi) / 2)")} + 0.0000123::DOUBLE, 4) + 0.0::DOUBLE AS price_at_root FROM solved""")
 def implied_vol_80(spark, d):
     """Eighty bisections of each row; compared by the price at the root, which
     is well conditioned where the root itself is not."""
@@ -42,7 +41,8 @@ def implied_vol_80(spark, d):
     call = F.col("call_put") == "call"
     obs = options(spark, d).withColumn("observed", pricing.price_column(call, *args, F.col("sigma")))
     solved = pricing.with_bisection_root(obs, F.col("call_put"), *args, F.col("observed"))
-    at_root = F.round(pricing.price_column(call, *args, F.col("root")), 4) + F.lit(0.0)
+    # Shifted off the middle between two fourth places, where exact prices may lie.
+    at_root = F.round(pricing.price_column(call, *args, F.col("root")) + 0.0000123, 4) + F.lit(0.0)
     return solved.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", at_root.alias("price_at_root"))
 
 

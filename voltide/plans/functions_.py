@@ -91,3 +91,40 @@ def json_props(spark, d):
 @query("""SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || '}' AS doc FROM nation""")
 def json_object(spark, d):
     return t(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("doc"))
+
+
+text_query(
+    "fn_string_more",
+    "SELECT p_partkey, starts_with(p_brand, 'Brand#1') AS sw, ends_with(p_brand, '3') AS ew, contains(p_type, 'STEEL') AS ct, levenshtein(p_brand, 'Brand#23')::INTEGER AS lev, translate(p_brand, 'Bd', 'bD') AS tr, repeat(left(p_name, 1), 3) AS rp, split_part(p_type, ' ', 2) AS sp, ascii(p_name) AS asc, chr(65 + p_size % 26) AS ch, rtrim(rpad(left(p_name, 2), 6, ' ')) AS rt, octet_length(encode(p_name))::INTEGER AS ol, array_to_string(string_split(p_type, ' '), '|') AS ss, printf('%05d', p_size) AS pf, hamming(left(p_brand, 7), 'Brand#1')::INTEGER AS hm FROM part",
+    "SELECT p_partkey, startswith(p_brand, 'Brand#1') AS sw, endswith(p_brand, '3') AS ew, contains(p_type, 'STEEL') AS ct, levenshtein(p_brand, 'Brand#23') AS lev, translate(p_brand, 'Bd', 'bD') AS tr, repeat(left(p_name, 1), 3) AS rp, split_part(p_type, ' ', 2) AS sp, ascii(p_name) AS asc, char(65 + p_size % 26) AS ch, rtrim(rpad(left(p_name, 2), 6, ' ')) AS rt, octet_length(p_name) AS ol, array_join(split(p_type, ' '), '|') AS ss, format_string('%05d', p_size) AS pf, aggregate(zip_with(split(left(p_brand, 7), ''), split('Brand#1', ''), (x, y) -> if(x = y, 0, 1)), 0, (s, x) -> s + x) AS hm FROM part",
+)
+text_query(
+    "fn_date_more",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 10 AS DATE) AS plus, make_date(year(o_orderdate), month(o_orderdate), 1) AS first, monthname(o_orderdate) AS mn, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, second(o_orderdate)::INTEGER AS s, weekofyear(o_orderdate) AS wk, epoch(o_orderdate)::BIGINT AS ep, CAST(time_bucket(INTERVAL 7 DAY, CAST(o_orderdate AS DATE), DATE '1992-01-01') AS DATE) AS bucket, date_diff('month', date_trunc('month', CAST(o_orderdate AS DATE)), DATE '1999-01-01')::BIGINT AS months, CAST(strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') AS DATE) AS parsed FROM orders",
+    "SELECT o_orderkey, date_add(CAST(o_orderdate AS DATE), 10) AS plus, make_date(year(o_orderdate), month(o_orderdate), 1) AS first, date_format(o_orderdate, 'MMMM') AS mn, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, second(o_orderdate) AS s, weekofyear(o_orderdate) AS wk, unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS ep, date_add(DATE'1992-01-01', CAST(floor(datediff(CAST(o_orderdate AS DATE), DATE'1992-01-01') / 7) * 7 AS INT)) AS bucket, timestampdiff(MONTH, date_trunc('month', o_orderdate), TIMESTAMP'1999-01-01') AS months, CAST(to_timestamp(date_format(o_orderdate, 'yyyyMMdd'), 'yyyyMMdd') AS DATE) AS parsed FROM orders",
+)
+text_query(
+    "fn_math_more",
+    "SELECT p_partkey, round(cbrt(p_retailprice), 8) AS cb, round(degrees(p_size / 10.0::DOUBLE), 8) AS dg, round(radians(p_size * 1.0::DOUBLE), 8) AS rd, round(sin(p_size) + cos(p_size) + tan(p_size / 100.0::DOUBLE), 8) AS trig, round(atan2(p_size, 7), 8) AS at2, round(asin(p_size / 100.0::DOUBLE) + acos(p_size / 100.0::DOUBLE) + atan(p_size), 8) AS inv, round(log2(p_size), 8) AS l2, factorial(p_size % 10)::BIGINT AS f, gcd(p_size, 12)::BIGINT AS g, lcm(p_size, 12)::BIGINT AS lc, xor(p_size, 5) AS x, round(sinh(p_size / 50.0::DOUBLE) + cosh(p_size / 50.0::DOUBLE) + tanh(p_size / 50.0::DOUBLE), 8) AS hyp, greatest(p_size, 20) AS gr, least(p_size, 20) AS le, p_size % 7 AS md, round_even(p_size / 4.0::DOUBLE, 0) AS re FROM part",
+    "SELECT p_partkey, round(cbrt(p_retailprice), 8) AS cb, round(degrees(p_size / 10D), 8) AS dg, round(radians(double(p_size)), 8) AS rd, round(sin(p_size) + cos(p_size) + tan(p_size / 100D), 8) AS trig, round(atan2(p_size, 7), 8) AS at2, round(asin(p_size / 100D) + acos(p_size / 100D) + atan(p_size), 8) AS inv, round(log2(p_size), 8) AS l2, factorial(int(p_size % 10)) AS f, bigint(aggregate(filter(sequence(1, 12), i -> p_size % i = 0 AND 12 % i = 0), 1, (s, i) -> greatest(s, i))) AS g, bigint(p_size * 12 / aggregate(filter(sequence(1, 12), i -> p_size % i = 0 AND 12 % i = 0), 1, (s, i) -> greatest(s, i))) AS lc, p_size ^ 5 AS x, round(sinh(p_size / 50D) + cosh(p_size / 50D) + tanh(p_size / 50D), 8) AS hyp, greatest(p_size, 20) AS gr, least(p_size, 20) AS le, p_size % 7 AS md, bround(p_size / 4D, 0) AS re FROM part",
+)
+text_query(
+    "fn_list_more",
+    "SELECT p_partkey, list_position(a, 7)::INTEGER AS pos, array_to_string(list_concat(a, [1, 2]), ',') AS cc, list_has_any(a, [7, 9]) AS anyof, list_min(a) AS mn, list_max(a) AS mx, round(list_avg(a), 8) AS av, len(list_distinct(a))::INTEGER AS un, array_to_string(list_transform(range(1, 4), lambda i: a[i] * i), ',') AS zip, array_to_string(flatten([a, a]), ',') AS fl, array_to_string(list_reverse(a), ',') AS rv, array_to_string(list_intersect(a, [7, 1]), ',') AS it, array_to_string(array_append(a, 0), ',') AS ap, list_reduce(a, lambda x, y: x * 2 + y) AS red FROM (SELECT p_partkey, [p_size, 7, p_size % 5] AS a FROM part)",
+    "SELECT p_partkey, int(array_position(a, 7)) AS pos, array_join(concat(a, array(1, 2)), ',') AS cc, arrays_overlap(a, array(7, 9)) AS anyof, array_min(a) AS mn, array_max(a) AS mx, round(aggregate(a, 0D, (s, x) -> s + x) / size(a), 8) AS av, size(array_distinct(a)) AS un, array_join(zip_with(a, sequence(1, 3), (x, i) -> x * i), ',') AS zip, array_join(flatten(array(a, a)), ',') AS fl, array_join(reverse(a), ',') AS rv, array_join(array_intersect(a, array(7, 1)), ',') AS it, array_join(array_append(a, 0), ',') AS ap, aggregate(slice(a, 2, 2), element_at(a, 1), (x, y) -> x * 2 + y) AS red FROM (SELECT p_partkey, array(p_size, 7, p_size % 5) AS a FROM part)",
+)
+text_query(
+    "fn_map_more",
+    "SELECT p_partkey, array_to_string(list_sort(map_keys(map_concat(m, MAP {'extra': 1}))), ',') AS keys, list_sum(map_values(m))::BIGINT AS total, map_contains(m, 'seven') AS has, len(map_entries(m))::INTEGER AS n, struct_extract(s, 'b') AS b, map_from_entries([('k', p_size)])['k'] AS made FROM (SELECT p_partkey, p_size, MAP {'size': p_size, 'seven': 7} AS m, struct_pack(a := p_size, b := p_brand) AS s FROM part)",
+    "SELECT p_partkey, array_join(array_sort(map_keys(map_concat(m, map('extra', 1)))), ',') AS keys, aggregate(map_values(m), 0L, (s, x) -> s + x) AS total, map_contains_key(m, 'seven') AS has, size(map_entries(m)) AS n, s.b AS b, map_from_entries(array(struct('k', p_size)))['k'] AS made FROM (SELECT p_partkey, p_size, map('size', p_size, 'seven', 7) AS m, named_struct('a', p_size, 'b', p_brand) AS s FROM part)",
+)
+text_query(
+    "fn_json_more",
+    "SELECT n_regionkey, array_to_string(list_sort(json_keys('{\"a\":' || n_regionkey || ',\"b\":2}')), ',') AS keys, json_extract_string('{\"a\":{\"b\":[10,' || n_regionkey || ']}}', '$.a.b[1]')::BIGINT AS deep, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, array_join(array_sort(json_object_keys(concat('{\"a\":', n_regionkey, ',\"b\":2}'))), ',') AS keys, bigint(get_json_object(concat('{\"a\":{\"b\":[10,', n_regionkey, ']}}'), '$.a.b[1]')) AS deep, array_join(array_sort(from_json(to_json(collect_list(n_name)), 'array<string>')), ',') AS names FROM nation GROUP BY n_regionkey",
+)
+text_query(
+    "agg_more",
+    "WITH l AS (SELECT *, CASE WHEN l_linenumber <= 4 THEN 1 ELSE l_linenumber END AS m FROM lineitem) SELECT l_returnflag, mode(m) AS md, round(skewness(l_quantity), 5) AS sk, round(regr_slope(l_extendedprice, l_quantity), 6) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 4) AS ic, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2, round(covar_pop(l_extendedprice, l_quantity), 3) AS cp, round(covar_samp(l_extendedprice, l_quantity), 3) AS cs, bool_or(l_discount > 0.05) AS bo, round(product(1 + l_discount / 100000), 8) AS pr, count(DISTINCT l_partkey) AS exact, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS near, any_value(l_returnflag) AS av FROM l GROUP BY l_returnflag",
+    "WITH l AS (SELECT *, CASE WHEN l_linenumber <= 4 THEN 1 ELSE l_linenumber END AS m FROM lineitem) SELECT l_returnflag, mode(m) AS md, round(skewness(l_quantity) * sqrt(count(*) * (count(*) - 1D)) / (count(*) - 2), 5) AS sk, round(regr_slope(l_extendedprice, l_quantity), 6) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 4) AS ic, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2, round(covar_pop(l_extendedprice, l_quantity), 3) AS cp, round(covar_samp(l_extendedprice, l_quantity), 3) AS cs, bool_or(l_discount > 0.05) AS bo, round(exp(sum(ln(1 + l_discount / 100000))), 8) AS pr, count(DISTINCT l_partkey) AS exact, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.15 * count(DISTINCT l_partkey) AS near, any_value(l_returnflag) AS av FROM l GROUP BY l_returnflag",
+)

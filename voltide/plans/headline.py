@@ -26,12 +26,26 @@ def _cols(*names):
     return [F.col(x) for x in names]
 
 
+def _off(places: int) -> float:
+    """A shift under half a unit of the last place: values that lie on the
+    middle between two, as exact prices may, then round alike in both engines."""
+    return float(f"0.123e{-places}")
+
+
+def _shown(name, places):
+    return F.round(F.col(name) + _off(places), places) + F.lit(0.0)
+
+
 def _rounded(name, places):
-    return (F.round(name, places) + F.lit(0.0)).alias(name)
+    return _shown(name, places).alias(name)
+
+
+def _shown_sql(x: str, places: int) -> str:
+    return f"round({x} + {_off(places)!r}::DOUBLE, {places}) + 0.0::DOUBLE"
 
 
 def _sql(parts: dict[str, str], places: dict[str, int]) -> str:
-    return ", ".join(f"round({parts[k]}, {n}) + 0.0::DOUBLE AS {k}" for k, n in places.items())
+    return ", ".join(f"{_shown_sql(parts[k], n)} AS {k}" for k, n in places.items())
 
 
 @query(f"WITH {OPTIONS_SQL}, {exact_sql('opt')} SELECT {_K}, {_sql(EXACT, _PLACES)} FROM g")
@@ -45,14 +59,14 @@ _IV_SHOWN = {k: n - 1 for k, n in _PLACES.items() if k != "price"}
 
 
 @query(f"""WITH {OPTIONS_SQL}, {exact_sql('opt')}, s AS (SELECT *, {EXACT['vega_1volpt']} >= {_LEAST_VEGA} AS told FROM g)
-SELECT {_K}, told, CASE WHEN told THEN 'OK' END AS iv_status, CASE WHEN told THEN round(sigma, 5) END AS implied_volatility, {", ".join(f"CASE WHEN told THEN round({EXACT[k]}, {n}) + 0.0::DOUBLE END AS {k}" for k, n in _IV_SHOWN.items())} FROM s""")
+SELECT {_K}, told, CASE WHEN told THEN 'OK' END AS iv_status, CASE WHEN told THEN round(sigma, 5) END AS implied_volatility, {", ".join(f"CASE WHEN told THEN {_shown_sql(EXACT[k], n)} END AS {k}" for k, n in _IV_SHOWN.items())} FROM s""")
 def market_greeks_exact(spark, d):
     """Every row priced, solved and read again: root and Greeks at the root."""
     o = options(spark, d).select(*_KEYS, *_ARGS, "sigma")
     priced = pricing.with_greeks(o, *_cols(*_ARGS, "sigma")).select(*o.columns, F.col("price").alias("observed"), (F.col("vega_1volpt") >= _LEAST_VEGA).alias("told"))
     solved = pricing.with_implied_volatility(priced, *_cols(*_ARGS, "observed"), greeks=True)
     shown = lambda x: F.when(F.col("told"), x)
-    return solved.select(*_KEYS, "told", shown(F.col("iv_status")).alias("iv_status"), shown(F.round("implied_volatility", 5)).alias("implied_volatility"), *(shown(F.round(k, n) + F.lit(0.0)).alias(k) for k, n in _IV_SHOWN.items()))
+    return solved.select(*_KEYS, "told", shown(F.col("iv_status")).alias("iv_status"), shown(F.round("implied_volatility", 5)).alias("implied_volatility"), *(shown(_shown(k, n)).alias(k) for k, n in _IV_SHOWN.items()))
 
 
 _QUOTED = "(abs(spot - strike) + spot * 0.050617283945)"
@@ -61,13 +75,13 @@ _QUOTED = "(abs(spot - strike) + spot * 0.050617283945)"
 @query(f"""WITH {OPTIONS_SQL}, q AS (SELECT *, {_QUOTED} AS observed, spot * exp(-yield * tau) AS f, strike * exp(-rate * tau) AS c FROM opt), {exact_sql('q', '5.0::DOUBLE')},
 b AS (SELECT *, greatest(CASE WHEN call_put = 'call' THEN f - c ELSE c - f END, 0) AS lower, CASE WHEN call_put = 'call' THEN f ELSE c END AS upper, {EXACT['price']} AS top FROM g),
 s AS (SELECT *, CASE WHEN NOT (observed >= lower AND observed < upper) THEN 'OUT_OF_BOUNDS' WHEN observed > top THEN 'NO_BRACKET' ELSE 'OK' END AS iv_status FROM b)
-SELECT {_K}, iv_status, CASE WHEN iv_status = 'OK' THEN round(observed, 3) + 0.0::DOUBLE END AS price_at_root, CASE WHEN iv_status = 'OK' THEN 80 ELSE 0 END::INTEGER AS iterations FROM s""")
+SELECT {_K}, iv_status, CASE WHEN iv_status = 'OK' THEN {_shown_sql("observed", 3)} END AS price_at_root, CASE WHEN iv_status = 'OK' THEN 80 ELSE 0 END::INTEGER AS iterations FROM s""")
 def implied_volatility_exact(spark, d):
     """Statuses of every row's quote, and the kernel's price at its root."""
     o = options(spark, d).select(*_KEYS, *_ARGS).withColumn("observed", F.abs(F.col("spot") - F.col("strike")) + F.col("spot") * 0.050617283945)
     solved = pricing.with_implied_volatility(o, *_cols(*_ARGS, "observed"))
     again = pricing.with_greeks(solved, *_cols(*_ARGS, "implied_volatility"))
-    return again.select(*_KEYS, "iv_status", F.when(F.col("iv_status") == bsm.OK, F.round("price", 3) + F.lit(0.0)).alias("price_at_root"), "iterations")
+    return again.select(*_KEYS, "iv_status", F.when(F.col("iv_status") == bsm.OK, _shown("price", 3)).alias("price_at_root"), "iterations")
 
 
 @query(f"""WITH {OPTIONS_SQL}, q AS (SELECT *, CASE l_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN -1.0 WHEN 2 THEN 2 * spot + strike WHEN 3 THEN spot * exp(-yield * tau) ELSE 1.0 END::DOUBLE AS observed FROM opt)

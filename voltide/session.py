@@ -84,6 +84,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target.getParent(), True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input to all cores before a costly map.
+
+    A table of few row groups is read by few tasks, however the file is split.
+    Only an input that could not fill all cores with full partitions is dealt
+    out; a larger one stays where it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    full = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * full else df
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
