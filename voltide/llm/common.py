@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Bytes that a broadcast lookup may have, proven by counting its rows and the
 #: bytes of its texts.
 BROADCAST_BYTES = 1 << 20
+#: Bytes of Arrow rows that are turned into Python objects at once.
+SLICE_BYTES = 4 << 20
 #: Keys that may be called hot; a key is if it has over one row in so many.
 HOT_KEYS, HOT_LEAST = 1000, 500
 
@@ -31,21 +34,40 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES, of one row at least."""
+    rows = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
+    return (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+
+
+def tidy() -> None:
+    """Give memory back that the allocators of a worker keep: other stages share
+    the worker, and its executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the C library that has it
+
+
 def map_frames(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
-    """mapInPandas whose whole numbers stay whole numbers next to nulls.
+    """mapInPandas whose whole numbers stay whole numbers next to nulls, and whose
+    frames are small in bytes.
 
     A column with nulls arrives as Python objects instead of floats, so that no
-    64-bit id loses digits."""
+    64-bit id loses digits. A batch of long texts or lists is cut into frames of
+    about SLICE_BYTES, for Python objects take several times that."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One thread: a pool would hold memory for each of its threads.
-        frames = (b.to_pandas(integer_object_nulls=True, use_threads=False, deduplicate_objects=False) for b in found)
+        frames = (x.to_pandas(integer_object_nulls=True, use_threads=False, deduplicate_objects=False) for b in found for x in slices(b))
         for out in run(frames):
             if not len(out):  # an empty column of lists has no type of its own
                 continue
             yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False, nthreads=1)
+        tidy()
 
     return df.mapInArrow(batches, struct)
 

@@ -43,14 +43,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.llm.common import c, map_frames, utf8
-from voltide.session import scratch_path
+from voltide.llm.common import c, map_frames, slices, tidy, utf8
+from voltide.session import scratch_path, spread
 
 WINDOW = 13
 #: Words of test items per shard: a bound on an automaton's memory.
 SHARD_WORDS = 60_000
 #: Bytes of documents that a worker gathers before it goes through the shards.
 GATHER_BYTES = 64 << 20
+#: Shards that a worker keeps.
+CACHED = 2
 _GRAM = 4
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
@@ -273,7 +275,7 @@ def _write(uri: str, data: bytes) -> None:
         f.write(data)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=CACHED)
 def _matcher(shard: str) -> Matcher:
     return pickle.loads(_read(shard))
 
@@ -325,13 +327,16 @@ def judged(batches: Iterator[pa.RecordBatch], at: int, bench: Benchmark) -> Iter
         out, held, size = held, [], 0
         return out
 
-    for b in batches:
-        held.append((b, [bench.look(t.as_py()) for t in b.column(at)]))
-        size += b.nbytes
-        if size > GATHER_BYTES:
-            yield from done()
+    most = GATHER_BYTES if len(bench.shards) > CACHED else 0  # shards that stay in memory need no gathering
+    for batch in batches:
+        for b in slices(batch):
+            held.append((b, [bench.look(t.as_py()) for t in b.column(at)]))
+            size += b.nbytes
+            if size > most:
+                yield from done()
     yield from done()
     _hashes().clear()  # other stages share this worker's memory
+    tidy()
 
 
 def is_contaminated(n_hit: int, n_words: int, share: int = 20) -> bool:
@@ -351,7 +356,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             over = [is_contaminated(n, x.n_words) for n, x in zip(hits, found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, f.type) for x, f in zip(([x.n_words for x in found], hits, [len(x.items) for x in found], items, over, [x.longest for x in found]), list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")).mapInArrow(run, HITS)
+    return spread(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text"))).mapInArrow(run, HITS)
 
 
 def word_offsets(text: str) -> list[tuple[int, int]]:
@@ -396,4 +401,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", wind
             else:
                 yield b
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)

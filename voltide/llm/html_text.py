@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from voltide.llm.common import c, map_frames
+from voltide.session import spread
 
 TEXTS = "page_id long, url string, text string, n_chars long"
 
@@ -346,4 +347,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             texts = [main_text(h) for h in b["html"]]
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return map_frames(pages.select(c(id_col).cast("long").alias("page_id"), c(url_col).cast("string").alias("url"), c(html_col).cast("string").alias("html")), run, TEXTS)
+    return map_frames(spread(pages.select(c(id_col).cast("long").alias("page_id"), c(url_col).cast("string").alias("url"), c(html_col).cast("string").alias("html"))), run, TEXTS)

@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from voltide.llm.common import broadcast_if_small, c, fresh, join_hot, map_frames, utf8
 from voltide.llm.components import connected_components
-from voltide.session import Scratch
+from voltide.session import Scratch, spread
 
 SHINGLE = 5
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -211,7 +211,7 @@ def vertices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _word_hash().clear()  # other stages share this worker's memory
 
     text = c(text_col).cast("string")
-    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")), run, VERTEX)
+    return map_frames(spread(docs.select(c(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))), run, VERTEX)
 
 
 def _first_nodes(uniq: DataFrame, trees: int) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from voltide.llm import tokens
 from voltide.llm.common import c, map_frames
+from voltide.session import spread
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_loss long"
 
@@ -209,7 +210,7 @@ def pack_examples(
         if packer.out:
             yield ready()
 
-    return map_frames(docs.select(*cols), run, PIECES + (", part long" if part_col else ""))
+    return map_frames(spread(docs.select(*cols)), run, PIECES + (", part long" if part_col else ""))
 
 
 def instruction_examples(turns: DataFrame, most: int = 64) -> DataFrame:

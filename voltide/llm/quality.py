@@ -43,10 +43,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voltide.llm.common import c, fresh, join_hot, map_frames, utf8
+from voltide.llm.common import c, fresh, join_hot, map_frames, slices, tidy, utf8
 from voltide.llm.decontaminate import words
-from voltide.session import Scratch
+from voltide.session import Scratch, spread
 
 TARGETS = ("quality", "toxic")
 BINS = 24
@@ -257,22 +258,23 @@ def _logit(x):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) -> DataFrame:
-    """``keep`` columns and one score per target; one row per row."""
+    """``keep`` columns and one score per target; one row per row. A text that
+    is kept travels once."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_words
-    kept = docs.select(*map(c, keep))
-    schema = kept.schema
-    for t in TARGETS:
-        schema = schema.add(f"score_{t}", "double")
+    sent = docs.select(*map(c, keep), *([] if text_col in keep else [c(text_col)]))
+    at, n = sent.columns.index(text_col), len(keep)
+    schema = T.StructType([*sent.schema.fields[:n], *(T.StructField(f"score_{t}", T.DoubleType()) for t in TARGETS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for b in batches:
-            got = np.array([model.scores(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1, len(TARGETS))
-            columns = [*b.columns[:-1], *(pa.array(got[:, k]) for k in range(len(TARGETS)))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f"score_{t}" for t in TARGETS)])
+        for batch in batches:
+            for b in slices(batch):
+                got = np.array([model.scores(t) for t in b.column(at).cast(pa.string()).to_pylist()]).reshape(-1, len(TARGETS))
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(got[:, k]) for k in range(len(TARGETS)))], names=[*keep, *(f"score_{t}" for t in TARGETS)])
         _ids_of(model).clear()  # other stages share this worker's memory
+        tidy()
 
-    return docs.select(*map(c, keep), c(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return spread(sent).mapInArrow(run, schema)
 
 
 def _shrink(rates: DataFrame, group: str, prior: str, t: str) -> float:
@@ -318,8 +320,10 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", host_col:
     column gets another name where ``keep`` has it."""
     scratch, held = Scratch(docs.sparkSession), [f"keep{i}" for i in range(len(keep))]
     site = [F.coalesce(c(x).cast("string"), F.lit("")) for x in (host_col, *path_cols)]
-    sited = docs.select(*(c(x).alias(k) for x, k in zip(keep, held, strict=True)), c(text_col).cast("string").alias("text"), site[0].alias("host"), F.to_json(F.array(*site)).alias("path"))
-    scored = scratch.table(score(sited, model, "text", *held, "host", "path"), "scored")
+    own = held[keep.index(text_col)] if text_col in keep else "text"
+    extra = [] if text_col in keep else [c(text_col).cast("string").alias("text")]
+    sited = docs.select(*(c(x).alias(k) for x, k in zip(keep, held, strict=True)), *extra, site[0].alias("host"), F.to_json(F.array(*site)).alias("path"))
+    scored = scratch.table(score(sited, model, own, *held, "host", "path"), "scored")
     sites, rate = site_posteriors(scored.select("host", "path", *(f"score_{t}" for t in TARGETS)))
     out = join_hot(scored.drop("host"), sites.drop("host"), "path", "n_path")
     for t in TARGETS:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voltide.llm.common import c, map_frames
+from voltide.session import spread
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -105,7 +106,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 rows.append((None if pd.isna(d) else int(d), *(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(render(base).encode()).hexdigest(), render(spans)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], dtype=object)
 
-    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")), run, SPANS)
+    return map_frames(spread(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text"))), run, SPANS)
 
 
 def redact_text(text: str | None, mask: str = "[SECRET]") -> str | None:
@@ -140,4 +141,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", n_chars_col: str | None =
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from voltide.llm import tokens
 from voltide.llm.common import c, map_frames
-from voltide.session import Scratch, scratch_path
+from voltide.session import Scratch, scratch_path, spread
 
 MAGIC = b"VTOK1\0\0\0"
 ENCODED = "doc_id long, n_tokens long, frame binary"
@@ -56,7 +56,7 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, vocab_path: st
                 frames = [z.compress(x if width == 4 else tokens.as_array(x).astype("<u2").tobytes()) for x in ids]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n_tokens": [len(x) // 4 for x in ids], "frame": frames})
 
-    return map_frames(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text")), run, ENCODED)
+    return map_frames(spread(docs.select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text"))), run, ENCODED)
 
 
 def sample_dictionary(docs: DataFrame, text_col: str, vocab_path: str, width: int, size: int, documents: int, ids: int) -> bytes:
