@@ -288,7 +288,8 @@ def _grams(bench: Benchmark) -> np.ndarray:
 def prepare(benchmark: DataFrame, k: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
     """Deal items into shards and build an automaton of each in a task. Only
     sizes and paths, a few for each shard, reach the driver."""
-    items = benchmark.select(F.coalesce(c(id_col).cast("string"), F.lit("")).alias("item"), c(text_col).cast("string").alias("text"))
+    # Repeats of an item would all fall into one shard.
+    items = benchmark.select(F.coalesce(c(id_col).cast("string"), F.lit("")).alias("item"), c(text_col).cast("string").alias("text")).distinct()
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
