@@ -150,3 +150,11 @@ def test_legacy_range_and_volume():
     assert low == canonical.quantise_to_increment(Decimal(100) * Decimal(str(1 - wide)), "0.01")
     assert paths.legacy_range(Decimal("0.01"), Decimal("0.01"), 9.0, 1.0, 3.0, "0.01")[1] == Decimal("0.01")
     assert paths.legacy_volume(0.5) == 1_000_000
+
+
+def test_draws_of_many_keys_are_those_of_each():
+    keys = [("s", 7, "x", i) for i in range(700)]
+    assert rng.first_gaussians(keys) == pytest.approx([rng.gaussian(*k) for k in keys], abs=1e-15)
+    assert rng.first_gaussians(keys, pairs=1) == pytest.approx([rng.gaussian(*k) for k in keys], abs=1e-15)
+    assert rng.first_uniforms(keys).tolist() == [rng.uniform(*k) for k in keys]
+    assert rng.first_words(np.array([42], np.uint32), 200)[:, 0].tolist() == np.random.RandomState(42).randint(0, 2**32, size=200, dtype=np.uint64).tolist()

@@ -7,6 +7,7 @@ path continued from its last close equals the path made at once.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
@@ -65,21 +66,37 @@ def next_close(spec: MarketSpec, close: Decimal, start: float, end: float, eps:
     return max(quantise_to_increment(float(close) * math.exp(m + math.sqrt(v) * eps), spec.increment), Decimal(spec.increment))
 
 
-def bridge_prices(spec: MarketSpec, name: str, day: str, opening: Decimal, close: Decimal, start: float, end: float) -> list[Decimal]:
-    """Prices of a log-price bridge from open to close: along the path the
-    diffusion's mean would take, with what the close was off spread on the clock
-    of integrated variance, and keyed increments on that clock."""
-    n = spec.bridge_steps
-    moments = [(0.0, 0.0)] + [curves.log_moments(list(spec.drift), list(spec.vol), start, start + k / n * (end - start)) for k in range(1, n + 1)]
+@functools.lru_cache(maxsize=1024)
+def _clocks(drift: tuple, vol: tuple, start: float, end: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the log price at each step; equal for all names."""
+    moments = [(0.0, 0.0)] + [curves.log_moments(list(drift), list(vol), start, start + k / n * (end - start)) for k in range(1, n + 1)]
     mean, var = (np.array(x) for x in zip(*moments, strict=True))
     if var[-1] <= 0 or (np.diff(var) < -1e-15).any():
         raise ValueError("the variance of a bridge must grow")
-    z = np.array([rng.gaussian(spec.snapshot_id, spec.seed, spec.bridge_name, spec.bridge_id, INCREMENT, day, name, k) for k in range(1, n + 1)])
+    return mean, var
+
+
+def bridge_path(spec: MarketSpec, opening: Decimal, close: Decimal, start: float, end: float, z: np.ndarray) -> np.ndarray:
+    """A log-price bridge from open to close, ends left out: along the path the
+    diffusion's mean would take, with what the close was off spread on the clock
+    of integrated variance, and increments ``z`` on that clock."""
+    mean, var = _clocks(spec.drift, spec.vol, start, end, spec.bridge_steps)
     walk = np.concatenate([[0.0], np.cumsum(z * np.sqrt(np.maximum(np.diff(var), 0.0)))])
     share, a = var / var[-1], math.log(float(opening))
     off = math.log(float(close)) - a - mean[-1]
-    path = np.exp(a + mean + share * off + walk - share * walk[-1])
-    return [opening, *(quantise_to_increment(float(x), spec.increment) for x in path[1:-1]), close]
+    return np.exp(a + mean + share * off + walk - share * walk[-1])[1:-1]
+
+
+def bridge_draws(spec: MarketSpec, name: str, days: Sequence[str]) -> np.ndarray:
+    """The increments of each day, a row each, by a key of their own."""
+    keys = [(spec.snapshot_id, spec.seed, spec.bridge_name, spec.bridge_id, INCREMENT, day, name, k) for day in days for k in range(1, spec.bridge_steps + 1)]
+    return rng.first_gaussians(keys).reshape(len(days), spec.bridge_steps)
+
+
+def bridge_prices(spec: MarketSpec, name: str, day: str, opening: Decimal, close: Decimal, start: float, end: float) -> list[Decimal]:
+    """All prices of a day's bridge on the tick, ends included."""
+    path = bridge_path(spec, opening, close, start, end, bridge_draws(spec, name, [day])[0])
+    return [opening, *(quantise_to_increment(float(x), spec.increment) for x in path), close]
 
 
 def volume(spec: MarketSpec, name: str, day: str) -> int:
@@ -138,14 +155,17 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
         origin = pd.Timestamp(r["first_date"]) if known else (pd.Timestamp(days[0]) if days else None)
         before = pd.Timestamp(r["last_date"]) if known else None
         rows = []
-        for day in days:
+        draws = bridge_draws(own, r["underlying_id"], days)
+        for nth, day in enumerate(days):
             t = pd.Timestamp(day)
             opening = close
             if before is not None:
                 start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
                 close = next_close(own, close, start, end, shock(own, r["underlying_id"], day))
-                grid = bridge_prices(own, r["underlying_id"], day, opening, close, start, end)
-                high, low = max(grid), min(grid)
+                path = bridge_path(own, opening, close, start, end, draws[nth])
+                # Rounding keeps the order, so the extremes alone are rounded.
+                ends = [quantise_to_increment(float(x), spec.increment) for x in (path.max(), path.min())] if len(path) else []
+                high, low = max(opening, close, *ends), min(opening, close, *ends)
             else:
                 high = low = close = quantise_to_increment(close, spec.increment)
                 opening = close

@@ -52,8 +52,8 @@ def make_quotes(
             full = lambda x: np.full(len(b), x)  # noqa: B023, E731
             value = bsm.price((b["call_put"] == "call").to_numpy(), b["spot_close"].to_numpy(float), b["strike"].to_numpy(float), end - start, full(rate), full(dividend), sigma)
             names = list(zip(b["option_id"], day.dt.strftime("%Y-%m-%d"), strict=True))
-            draw = lambda side: np.clip(1.0 + deviation * np.array([rng.gaussian(spec.snapshot_id, spec.seed, noise, side, o, d) for o, d in names]), *multipliers)  # noqa: B023, E731
-            activity = np.array([rng.uniform(spec.snapshot_id, spec.seed, ACTIVITY, o, d) for o, d in names])
+            draw = lambda side: np.clip(1.0 + deviation * rng.first_gaussians([(spec.snapshot_id, spec.seed, noise, side, o, d) for o, d in names]), *multipliers)  # noqa: B023, E731
+            activity = rng.first_uniforms([(spec.snapshot_id, spec.seed, ACTIVITY, o, d) for o, d in names])
             yield b.assign(__value=np.maximum(value, 0.0), __bid_noise=draw("bid"), __ask_noise=draw("ask"), __activity=activity)
 
     exact = lambda x: F.col(x).cast("string").cast("decimal(30,18)")

@@ -8,6 +8,7 @@ from voltide.operators import chain, integrity, paths, pricing, quotes
 from voltide.plans.endpoint import Endpoint
 from voltide.plans.market import options, t
 from voltide.plans.registry import query
+from voltide.session import Scratch
 
 DAYS = [f"2026-01-{n:02d}" for n in (2, 5, 6, 7, 8, 9, 12, 13, 14, 15)]
 
@@ -32,7 +33,7 @@ def bridge_ohlc(spark, d):
 
 @query()
 def option_quotes(spark, d):
-    daily = _daily(spark, d)
+    daily = Scratch(spark).table(_daily(spark, d), "daily")  # read for listings and for quotes
     listing = daily.where(F.col("date") == DAYS[0]).select("underlying_id", F.col("date").alias("listing_date"), F.col("spot_close").alias("spot"))
     contracts = chain.candidate_grid(listing, [5, 30], ["0.9", "1.0", "1.1"])
     return quotes.make_quotes(daily, contracts, paths.MarketSpec())
