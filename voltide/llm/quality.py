@@ -205,7 +205,7 @@ def telling_parts(sample: DataFrame, least: int, z: float, most: int) -> list[in
     return sorted(set(out))
 
 
-def fit(sample: DataFrame, *, least: int = 5, z: float = 6.0, most_words: int = 20_000, rounds: int = 400, l2: float = 0.2) -> Model:
+def fit(sample: DataFrame, *, least: int = 5, z: float = 4.0, most_words: int = 20_000, rounds: int = 400, l2: float = 0.2) -> Model:
     """A model of labelled texts (label_id, text, a column per target); features
     are the words that tell (``z``, at most ``most_words``, in at least ``least``
     texts) and the measures of form."""
