@@ -281,3 +281,19 @@ def test_scratch_is_released(spark):
     release(spark)
     assert not folder.exists()
     assert Scratch(spark).table(spark.range(2).toDF("x"), "again").count() == 2
+
+
+def broadcasts(df) -> int:
+    """Joins that are planned as broadcasts, under Spark's own threshold."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exploded_contracts_are_not_broadcast(spark, sf):
+    from voltide.plans.contracts import expected_quotes
+
+    assert broadcasts(expected_quotes(spark, sf)) == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voltide.functions.canonical import moneyness_column, tick
 from voltide.operators.calendar import following
 from voltide.operators.numbering import with_positions
+from voltide.session import merged
 
 
 def candidate_grid(listings: DataFrame, expiry_days: Sequence[int], moneyness: Sequence[str] | None = None, increment: str = "0.5", multiplier: str = "100", *, strikes: Sequence[str] | None = None) -> DataFrame:
@@ -56,8 +57,9 @@ def live(date: Column, expiry: Column) -> Column:
 
 def expected_quotes(daily: DataFrame, contracts: DataFrame) -> DataFrame:
     """Contract and date pairs that must have a quote: an equi-join on the
-    underlying with the live condition inside."""
-    return daily.join(contracts, "underlying_id").where(live(F.col("date"), F.col("expiry")))
+    underlying with the live condition inside. Both sides grow with the market,
+    so neither is broadcast."""
+    return daily.join(merged(contracts), "underlying_id").where(live(F.col("date"), F.col("expiry")))
 
 
 def nearest_to_forward(options: DataFrame, *, entity: str = "underlying_id", expiries: int = 2, strikes: int = 5) -> DataFrame:
