@@ -297,3 +297,10 @@ def test_exploded_contracts_are_not_broadcast(spark, sf):
     from voltide.plans.contracts import expected_quotes
 
     assert broadcasts(expected_quotes(spark, sf)) == 0
+
+
+def test_gates_broadcast_no_table_of_the_market(spark, sf):
+    from voltide.plans.contracts import _market
+
+    market = _market(spark, sf)
+    assert {name: broadcasts(gate(market)) for name, gate in integrity.MARKET_GATES.items()} == dict.fromkeys(integrity.MARKET_GATES, 0)

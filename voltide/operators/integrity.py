@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltide.operators import chain
+from voltide.session import merged
+
 
 class GateError(ValueError):
     """Some gates failed; ``failures`` has their counts."""
@@ -38,7 +41,7 @@ def run_gates(gates: dict[str, DataFrame]) -> dict[str, int]:
 
 def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Child rows without a parent; null keys are orphans."""
-    return child.join(parent.select(*keys).distinct(), list(keys), "left_anti")
+    return child.join(merged(parent.select(*keys).distinct()), list(keys), "left_anti")
 
 
 def mismatches(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -47,7 +50,7 @@ def mismatches(left: DataFrame, right: DataFrame, keys: Sequence[str], columns:
     differs = F.lit(False)
     for x in columns:
         differs = differs | ~F.col(x).eqNullSafe(F.col(f"__{x}"))
-    return left.join(renamed, list(keys)).where(differs).select(*left.columns)
+    return left.join(merged(renamed), list(keys)).where(differs).select(*left.columns)
 
 
 def incomplete_sets(df: DataFrame, keys: Sequence[str], column: str, wanted: Sequence) -> DataFrame:
@@ -62,7 +65,7 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def missing_rows(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected keys that the actual table lacks."""
-    return expected.select(*keys).join(actual.select(*keys), list(keys), "left_anti")
+    return expected.select(*keys).join(merged(actual.select(*keys)), list(keys), "left_anti")
 
 
 def parity_gap(options: DataFrame, keys: Sequence[str], spot: str = "spot", tau: str = "tau", rate: str = "rate", q: str = "yield", value: str = "price") -> DataFrame:
@@ -262,7 +265,7 @@ MARKET_GATES: dict[str, Gate] = {
     "orphan_daily": lambda m: orphans(m["daily"], m["underlyings"], ["underlying_id"]),
     "orphan_quote": lambda m: orphans(m["quotes"], m["contracts"], ["option_id"]),
     "quote_contract_mismatch": lambda m: mismatches(m["quotes"], m["contracts"], ["option_id"], ["underlying_id", "call_put", "strike", "expiry"]),
-    "missing_quote": lambda m: missing_rows(m["daily"].join(m["contracts"], "underlying_id").where("date < expiry"), m["quotes"], ["date", "option_id"]),
+    "missing_quote": lambda m: missing_rows(chain.expected_quotes(m["daily"], m["contracts"]), m["quotes"], ["date", "option_id"]),
     "missing_pricing": lambda m: missing_rows(m["daily"], m["pricing"], ["date", "underlying_id"]),
     "bad_ohlc": lambda m: m["daily"].where("not (spot_low <= least(spot_open, spot_close) and spot_high >= greatest(spot_open, spot_close) and volume >= 0)"),
     "crossed_quote": lambda m: m["quotes"].where("bid > ask or bid < 0"),
