@@ -304,3 +304,18 @@ def test_gates_broadcast_no_table_of_the_market(spark, sf):
 
     market = _market(spark, sf)
     assert {name: broadcasts(gate(market)) for name, gate in integrity.MARKET_GATES.items()} == dict.fromkeys(integrity.MARKET_GATES, 0)
+
+
+def test_paths_are_made_on_all_cores_side_by_side(spark, sf):
+    from voltide.plans import operators_
+
+    assert operators_.keyed_rng_paths(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    # Names that were last seen on different days, and a name that is given twice, in one batch.
+    names = spark.createDataFrame([("A", "100", [0.8]), ("B", "50", [0.5, 0.3]), ("C", "7", [0.1])] * 2, "underlying_id string, spot string, loading array<double>").coalesce(1)
+    whole = paths.make_paths(spark, SPEC, DAYS, underlyings=names)
+    head = whole.where((F.col("date") < F.lit(DAYS[2]).cast("date")) & (F.col("underlying_id") != "C") & ((F.col("underlying_id") == "A") | (F.col("date") < F.lit(DAYS[1]).cast("date"))))
+    tail = paths.make_paths(spark, SPEC, DAYS[2:], head, underlyings=names)
+    assert rows(tail.where("underlying_id = 'A'")) == rows(whole.where((F.col("underlying_id") == "A") & (F.col("date") >= F.lit(DAYS[2]).cast("date"))))
+    alone = paths.make_paths(spark, SPEC, DAYS[2:], head, underlyings=names.where("underlying_id = 'B'"))
+    assert alone.count() == len(DAYS) - 2 and rows(alone) == rows(tail.where("underlying_id = 'B'"))
+    assert tail.where("underlying_id = 'C'").count() == len(DAYS) - 2

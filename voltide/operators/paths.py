@@ -1,16 +1,17 @@
 """Deterministic underlying paths and daily observations.
 
 A path is sequential, since each close is rounded to the tick before the next
-step; so each underlying is one group. Draws are keyed by name and date, so a
-path continued from its last close equals the path made at once.
+step; so days are made one after the other, names side by side. Draws are keyed
+by name and date, so a path continued from its last close equals the path made
+at once.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from decimal import Decimal
 
 import numpy as np
@@ -28,6 +29,10 @@ DAILY = "underlying_id string, date date, spot_open decimal(24,8), spot_high dec
 SIMULATION, FACTOR, OWN, INCREMENT, RANGE, VOLUME = "underlying-simulation", "factor", "idiosyncratic", "increment", "underlying-range", "underlying-volume"
 
 
+#: Names whose paths are made together.
+TOGETHER = 256
+
+
 @dataclass(frozen=True)
 class MarketSpec:
     """What a snapshot's paths depend on."""
@@ -52,17 +57,26 @@ class MarketSpec:
 
 def shock(spec: MarketSpec, name: str, day: str) -> float:
     """Common factors weighted by loadings, plus the asset's own part."""
-    load, key = spec.loadings[name], (spec.snapshot_id, spec.seed, SIMULATION, spec.measure, spec.dependence_id)
-    common = math.fsum(w * rng.gaussian(*key, FACTOR, k, day) for k, w in enumerate(load))
+    key = (spec.snapshot_id, spec.seed, SIMULATION, spec.measure, spec.dependence_id)
+    return shock_of(name, spec.loadings[name], [rng.gaussian(*key, FACTOR, k, day) for k in range(len(spec.loadings[name]))], rng.gaussian(*key, OWN, name, day))
+
+
+def shock_of(name: str, load: Sequence[float], factors: Sequence[float], own: float) -> float:
+    common = math.fsum(w * z for w, z in zip(load, factors, strict=False))
     rest = 1.0 - math.fsum(w * w for w in load)
     if rest < -1e-12:
         raise ValueError(f"loadings of {name} are longer than one")
-    return common + math.sqrt(max(rest, 0.0)) * rng.gaussian(*key, OWN, name, day)
+    return common + math.sqrt(max(rest, 0.0)) * own
+
+
+@functools.lru_cache(maxsize=65_536)
+def _moments(drift: tuple, vol: tuple, start: float, end: float) -> tuple[float, float]:
+    return curves.log_moments(list(drift), list(vol), start, end)
 
 
 def next_close(spec: MarketSpec, close: Decimal, start: float, end: float, eps: float) -> Decimal:
     """One step of geometric Brownian motion, rounded to the tick."""
-    m, v = curves.log_moments(list(spec.drift), list(spec.vol), start, end)
+    m, v = _moments(spec.drift, spec.vol, start, end)
     return max(quantise_to_increment(float(close) * math.exp(m + math.sqrt(v) * eps), spec.increment), Decimal(spec.increment))
 
 
@@ -80,22 +94,30 @@ def bridge_path(spec: MarketSpec, opening: Decimal, close: Decimal, start: float
     """A log-price bridge from open to close, ends left out: along the path the
     diffusion's mean would take, with what the close was off spread on the clock
     of integrated variance, and increments ``z`` on that clock."""
+    return bridge_paths(spec, [opening], [close], start, end, z[None])[0]
+
+
+def bridge_paths(spec: MarketSpec, openings: Sequence[Decimal], closes: Sequence[Decimal], start: float, end: float, z: np.ndarray) -> np.ndarray:
+    """``bridge_path`` of many names over one day, a row each."""
     mean, var = _clocks(spec.drift, spec.vol, start, end, spec.bridge_steps)
-    walk = np.concatenate([[0.0], np.cumsum(z * np.sqrt(np.maximum(np.diff(var), 0.0)))])
-    share, a = var / var[-1], math.log(float(opening))
-    off = math.log(float(close)) - a - mean[-1]
-    return np.exp(a + mean + share * off + walk - share * walk[-1])[1:-1]
+    logs = lambda xs: np.array([math.log(float(x)) for x in xs])[:, None]
+    walk = np.zeros((len(z), len(var)))
+    np.cumsum(z * np.sqrt(np.maximum(np.diff(var), 0.0)), axis=1, out=walk[:, 1:])
+    share, a = var / var[-1], logs(openings)
+    off = logs(closes) - a - mean[-1]
+    return np.exp(a + mean + share * off + walk - share * walk[:, -1:])[:, 1:-1]
 
 
-def bridge_draws(spec: MarketSpec, name: str, days: Sequence[str]) -> np.ndarray:
-    """The increments of each day, a row each, by a key of their own."""
-    keys = [(spec.snapshot_id, spec.seed, spec.bridge_name, spec.bridge_id, INCREMENT, day, name, k) for day in days for k in range(1, spec.bridge_steps + 1)]
-    return rng.first_gaussians(keys).reshape(len(days), spec.bridge_steps)
+def bridge_draws(spec: MarketSpec, names: Sequence[str], day: str) -> np.ndarray:
+    """The increments of each name's day, a row each, by a key of their own."""
+    head = f"{spec.snapshot_id}|{spec.seed}|{spec.bridge_name}|{spec.bridge_id}|{INCREMENT}|{day}|"
+    seeds = rng.suffix_seeds([f"{head}{name}|" for name in names], [str(k) for k in range(1, spec.bridge_steps + 1)])
+    return rng.gaussians_of(seeds).reshape(len(names), spec.bridge_steps)
 
 
 def bridge_prices(spec: MarketSpec, name: str, day: str, opening: Decimal, close: Decimal, start: float, end: float) -> list[Decimal]:
     """All prices of a day's bridge on the tick, ends included."""
-    path = bridge_path(spec, opening, close, start, end, bridge_draws(spec, name, [day])[0])
+    path = bridge_path(spec, opening, close, start, end, bridge_draws(spec, [name], day)[0])
     return [opening, *(quantise_to_increment(float(x), spec.increment) for x in path), close]
 
 
@@ -147,30 +169,51 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
     else:
         names = names.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("last_date", "date"), ("last_close", "decimal(24,8)"), ("first_date", "date"))))
 
-    def per_name(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        own = replace(spec, loadings={r["underlying_id"]: tuple(map(float, r["loading"]))})
-        known = r["last_date"] is not None and not pd.isna(r["last_date"])
-        close = Decimal(str(r["last_close"])) if known else Decimal(r["spot"])
-        origin = pd.Timestamp(r["first_date"]) if known else (pd.Timestamp(days[0]) if days else None)
-        before = pd.Timestamp(r["last_date"]) if known else None
-        rows = []
-        draws = bridge_draws(own, r["underlying_id"], days)
-        for nth, day in enumerate(days):
-            t = pd.Timestamp(day)
-            opening = close
-            if before is not None:
-                start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
-                close = next_close(own, close, start, end, shock(own, r["underlying_id"], day))
-                path = bridge_path(own, opening, close, start, end, draws[nth])
-                # Rounding keeps the order, so the extremes alone are rounded.
-                ends = [quantise_to_increment(float(x), spec.increment) for x in (path.max(), path.min())] if len(path) else []
-                high, low = max(opening, close, *ends), min(opening, close, *ends)
-            else:
-                high = low = close = quantise_to_increment(close, spec.increment)
-                opening = close
-            rows.append((r["underlying_id"], t.date(), opening, high, low, close, volume(own, r["underlying_id"], day)))
-            before = t
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in DAILY.split(", ")])
-
-    return names.groupBy("underlying_id").applyInPandas(per_name, DAILY)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # Names with the same days behind them have the same clocks.
+            groups: dict[tuple[str, str], list[int]] = {}
+            for i, dates in enumerate(zip(b["first_date"], b["last_date"], strict=True)):
+                groups.setdefault(tuple(map(str, dates)), []).append(i)
+            for at in (g[lo : lo + TOGETHER] for g in groups.values() for lo in range(0, len(g), TOGETHER)):
+                if days:
+                    yield _daily_rows(spec, days, b.iloc[at])
+
+    # Names are dealt to all cores, in a number of parts that adaptive execution keeps: a few bytes of a name are some
+    # hundred draws. A name that is repeated has one path.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rest = [c for c in names.columns if c != "underlying_id"]
+    one = names.repartition(parts, "underlying_id").groupBy("underlying_id").agg(F.min(F.struct(*rest)).alias("r"))
+    return one.select("underlying_id", "r.*").mapInPandas(run, DAILY)
+
+
+def _daily_rows(spec: MarketSpec, days: Sequence[str], b: pd.DataFrame) -> pd.DataFrame:
+    """Rows of some names with the same first and last date: days are made one
+    after the other, the draws and bridges of a day for all names at once."""
+    names, loads = b["underlying_id"].tolist(), [tuple(map(float, x)) for x in b["loading"]]
+    r = b.iloc[0]
+    known = r["last_date"] is not None and not pd.isna(r["last_date"])
+    closes = [Decimal(str(x)) for x in b["last_close"]] if known else [Decimal(x) for x in b["spot"]]
+    origin, before = (pd.Timestamp(r["first_date"]), pd.Timestamp(r["last_date"])) if known else (pd.Timestamp(days[0]), None)
+    key = f"{spec.snapshot_id}|{spec.seed}"
+    common = f"{key}|{SIMULATION}|{spec.measure}|{spec.dependence_id}"
+    out = []
+    for day in days:
+        t = pd.Timestamp(day)
+        openings = closes
+        if before is not None:
+            start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
+            factors = [rng.gaussian(common, FACTOR, k, day) for k in range(max(map(len, loads)))]
+            own = rng.gaussians_of(rng.text_seeds(f"{common}|{OWN}|{name}|{day}" for name in names)).tolist()
+            closes = [next_close(spec, c, start, end, shock_of(n, w, factors, z)) for n, c, w, z in zip(names, closes, loads, own, strict=True)]
+            paths = bridge_paths(spec, openings, closes, start, end, bridge_draws(spec, names, day))
+            # Rounding keeps the order, so the extremes alone are rounded.
+            ends = [[quantise_to_increment(x, spec.increment) for x in f(axis=1).tolist()] for f in (paths.max, paths.min)] if paths.shape[1] else []
+            highs, lows = ([f(x) for x in zip(openings, closes, *ends, strict=True)] for f in (max, min))
+        else:
+            openings = highs = lows = closes = [quantise_to_increment(c, spec.increment) for c in closes]
+        z = rng.gaussians_of(rng.text_seeds(f"{key}|{spec.volume_name}|{spec.volume_id}|{day}|{name}" for name in names)).tolist()
+        volumes = [volume_of(spec.base_volume, spec.volume_stddev, x) for x in z]
+        out.append(pd.DataFrame(dict(zip((x.split()[0] for x in DAILY.split(", ")), (names, [t.date()] * len(names), openings, highs, lows, closes, volumes), strict=True))))
+        before = t
+    return pd.concat(out, ignore_index=True)
