@@ -319,3 +319,11 @@ def test_paths_are_made_on_all_cores_side_by_side(spark, sf):
     alone = paths.make_paths(spark, SPEC, DAYS[2:], head, underlyings=names.where("underlying_id = 'B'"))
     assert alone.count() == len(DAYS) - 2 and rows(alone) == rows(tail.where("underlying_id = 'B'"))
     assert tail.where("underlying_id = 'C'").count() == len(DAYS) - 2
+
+
+def test_bridge_ranges_are_made_on_all_cores(spark, sf):
+    from voltide.plans import operators_
+
+    found = operators_.bridge_ohlc(spark, sf)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.where("not high_ok or not low_ok or range < 0").count() == 0 and found.count() == 200 * len(operators_.DAYS)
