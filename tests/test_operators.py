@@ -327,3 +327,9 @@ def test_bridge_ranges_are_made_on_all_cores(spark, sf):
     found = operators_.bridge_ohlc(spark, sf)
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert found.where("not high_ok or not low_ok or range < 0").count() == 0 and found.count() == 200 * len(operators_.DAYS)
+
+
+def test_quotes_are_made_on_all_cores(spark, sf):
+    from voltide.plans import operators_
+
+    assert operators_.option_quotes(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -6,14 +6,13 @@ spreads and bounds are decimals in generated code.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voltide.functions import bsm, curves, rng
 from voltide.functions.canonical import tick
@@ -31,6 +30,11 @@ def smile_vol(base: Column, skew: Column, curvature: Column, slope: Column, k: C
     return F.greatest(F.lit(least), base + skew * k + curvature * k * k + slope * tau)
 
 
+@functools.lru_cache(maxsize=65_536)
+def _mean_vol(vol: tuple, start: float, end: float) -> float:
+    return curves.root_mean_square(list(vol), start, end)
+
+
 def make_quotes(
     daily: DataFrame, contracts: DataFrame, spec: MarketSpec, *, rate: float = 0.03, dividend: float = 0.01, spread: str = "0.01", least_spread: str = "0.01", noise: str = "bid-ask-noise", deviation: float = 0.2, multipliers: tuple[float, float] = (0.5, 1.5)
 ) -> DataFrame:
@@ -38,29 +42,35 @@ def make_quotes(
 
     The middle is the model value on the tick; each side's half spread is the
     larger of the least and a part of the middle, times a clipped keyed normal."""
-    rows = expected_quotes(daily.select("underlying_id", "date", "spot_close"), contracts.select("underlying_id", "option_id", "call_put", "strike", "expiry", "listing_date"))
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"__{x}", T.DoubleType()) for x in ("value", "bid_noise", "ask_noise", "activity"))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigmas: dict[tuple[float, float], float] = {}
-        for b in batches:
-            day, expiry, origin = (pd.to_datetime(b[x]) for x in ("date", "expiry", "listing_date"))
-            start, end = ((x - origin).dt.days.to_numpy(float) / 365.0 for x in (day, expiry))
-            for key in set(zip(start.tolist(), end.tolist(), strict=True)) - sigmas.keys():
-                sigmas[key] = curves.root_mean_square(list(spec.vol), *key)
-            sigma = np.array([sigmas[key] for key in zip(start.tolist(), end.tolist(), strict=True)])
-            full = lambda x: np.full(len(b), x)  # noqa: B023, E731
-            value = bsm.price((b["call_put"] == "call").to_numpy(), b["spot_close"].to_numpy(float), b["strike"].to_numpy(float), end - start, full(rate), full(dividend), sigma)
-            names = list(zip(b["option_id"], day.dt.strftime("%Y-%m-%d"), strict=True))
-            draw = lambda side: np.clip(1.0 + deviation * rng.first_gaussians([(spec.snapshot_id, spec.seed, noise, side, o, d) for o, d in names]), *multipliers)  # noqa: B023, E731
-            activity = rng.first_uniforms([(spec.snapshot_id, spec.seed, ACTIVITY, o, d) for o, d in names])
-            yield b.assign(__value=np.maximum(value, 0.0), __bid_noise=draw("bid"), __ask_noise=draw("ask"), __activity=activity)
+    spark = daily.sparkSession
+    # Both sides are dealt out in a number of parts that adaptive execution keeps: a small row becomes many costly ones.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    live = lambda df, *cols: df.select("underlying_id", *cols).repartition(parts, "underlying_id")
+    rows = expected_quotes(live(daily, "date", "spot_close"), live(contracts, "option_id", "call_put", "strike", "expiry", "listing_date"))
+    head = f"{spec.snapshot_id}|{spec.seed}"
+
+    def kernel(call: pd.Series, spot: pd.Series, strike: pd.Series, age: pd.Series, life: pd.Series, option: pd.Series, day: pd.Series) -> pd.DataFrame:
+        start, end = age.to_numpy(float) / 365.0, life.to_numpy(float) / 365.0
+        sigma = np.array([_mean_vol(spec.vol, *key) for key in zip(start.tolist(), end.tolist(), strict=True)])
+        full = lambda x: np.full(len(call), x)
+        value = bsm.price(call.to_numpy(bool), spot.to_numpy(float), strike.to_numpy(float), end - start, full(rate), full(dividend), sigma)
+        names = [f"{o}|{d}" for o, d in zip(option, day, strict=True)]
+        seeds = lambda *key: rng.text_seeds(["|".join((head, *key, x)) for x in names])
+        draw = lambda side: np.clip(1.0 + deviation * rng.gaussians_of(seeds(noise, side)), *multipliers)
+        return pd.DataFrame({"value": np.maximum(value, 0.0), "bid_noise": draw("bid"), "ask_noise": draw("ask"), "activity": rng.uniforms_of(seeds(ACTIVITY))})
+
+    # Only what the kernel reads goes to Python; a row's other values stay where they are.
+    made = F.pandas_udf(kernel, "value double, bid_noise double, ask_noise double, activity double")
+    number = lambda x: F.col(x).cast("double")
+    days = lambda x: F.datediff(F.col(x), F.col("listing_date"))
+    rows = rows.withColumn("__made", made(F.col("call_put") == "call", number("spot_close"), number("strike"), days("date"), days("expiry"), F.col("option_id"), F.date_format("date", "yyyy-MM-dd")))
+    rows = rows.select("*", *(F.col(f"__made.{x}").alias(f"__{x}") for x in ("value", "bid_noise", "ask_noise", "activity")))
 
     exact = lambda x: F.col(x).cast("string").cast("decimal(30,18)")
     mid = tick(exact("__value"), spec.increment)
     half = F.greatest(F.lit(Decimal(least_spread)).cast("decimal(24,8)"), (F.col("mid") * F.lit(Decimal(spread))).cast("decimal(24,8)"))
     side = lambda sign, x: tick(F.greatest(F.lit(0).cast("decimal(30,18)"), (F.col("mid") + sign * (F.col("half") * exact(x).cast("decimal(13,12)"))).cast("decimal(30,18)")), spec.increment)
     count = lambda low, width: F.floor(F.lit(low) + F.col("__activity") * width).cast("bigint")
-    out = rows.mapInPandas(run, schema).withColumn("mid", mid).withColumn("half", half)
+    out = rows.withColumn("mid", mid).withColumn("half", half)
     out = out.withColumns({"bid": side(-1, "__bid_noise"), "ask": side(1, "__ask_noise"), "settlement_price": F.col("mid"), "volume": count(*VOLUMES), "open_interest": count(*INTERESTS)})
     return out.select(*(F.col(x.split()[0]) for x in QUOTE.split(", ")))
