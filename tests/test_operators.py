@@ -333,3 +333,13 @@ def test_quotes_are_made_on_all_cores(spark, sf):
     from voltide.plans import operators_
 
     assert operators_.option_quotes(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_submatrix_makes_its_own_cells_alone(spark):
+    load = spark.createDataFrame([(i, f, 0.01 * (i % 9) + 0.1 * f) for i in range(60) for f in (0, 1)], "driver long, factor int, loading double")
+    few = spark.createDataFrame([(i,) for i in (3, 5, 5, 77)], "driver long")
+    found = dependence.submatrix_of(load, few)
+    assert rows(found) == rows(dependence.submatrix(dependence.correlation(load), few)) and found.count() == 4
+    # A loading that can't be computed fails the matrix, but not a submatrix without it.
+    broken = load.withColumn("loading", F.when(F.col("driver") == 9, F.raise_error(F.lit("made"))).otherwise(F.col("loading")).cast("double"))
+    assert dependence.submatrix_of(broken.where("factor < 2"), few).count() == 4

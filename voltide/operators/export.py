@@ -36,7 +36,7 @@ def public_projection(market: dict[str, DataFrame], underlyings: DataFrame, date
     at = lambda name: market[name].where(F.col("date") == F.lit(date).cast("date")).join(keep, "underlying_id", "left_semi")
     quotes = at("quotes")
     drivers = keep.withColumnRenamed("underlying_id", "driver")
-    rho = dependence.submatrix(dependence.correlation(market["loadings"]), drivers)
+    rho = dependence.submatrix_of(market["loadings"], drivers)
     found = {
         "underlying_state": at("daily").withColumn("measure", F.lit("P")),
         "option_contracts": market["contracts"].join(quotes.select("option_id"), "option_id", "left_semi"),
