@@ -158,3 +158,27 @@ def test_draws_of_many_keys_are_those_of_each():
     assert rng.first_gaussians(keys, pairs=1) == pytest.approx([rng.gaussian(*k) for k in keys], abs=1e-15)
     assert rng.first_uniforms(keys).tolist() == [rng.uniform(*k) for k in keys]
     assert rng.first_words(np.array([42], np.uint32), 200)[:, 0].tolist() == np.random.RandomState(42).randint(0, 2**32, size=200, dtype=np.uint64).tolist()
+
+
+def test_draws_across_chunks_are_those_of_each_seed():
+    seeds = np.random.default_rng(3).integers(0, 2**32, 2 * rng._AT_ONCE + 77, dtype=np.uint32)
+    found = rng.gaussians_of(seeds)
+    for i in [*range(0, len(seeds), 97), rng._AT_ONCE - 1, rng._AT_ONCE, len(seeds) - 1]:
+        assert found[i] == rng._gaussians(1, int(seeds[i]))[0]
+    assert (rng.gaussians_of(seeds, 1) == found).all() and (rng.gaussians_of(seeds, rng._MORE_PAIRS) == found).all()
+    assert len(rng.gaussians_of(seeds[:0])) == 0 == len(rng.suffix_seeds([], ["1"]))
+    heads, tails = ["x" * n + "é|" for n in range(130)], ["", "1", "12", "123456789" * 20]
+    assert rng.suffix_seeds(heads, tails).tolist() == [rng.key_seed(h + t) for h in heads for t in tails]
+
+
+def test_many_doubles_are_rounded_as_each():
+    import random
+
+    r = random.Random(7)
+    xs = [r.uniform(-2000, 2000) for _ in range(3000)] + [r.randrange(-9999, 9999) / 200 for _ in range(3000)] + [10.0 ** r.randrange(-12, 14) * r.random() for _ in range(500)] + [0.0, -0.0, -0.004, 0.005, 0.015, 1e30, 5e-324]
+    for step in ("0.01", "0.05", "3", "1e3", "0.00000001", "0.000000001"):
+        assert list(map(str, canonical.quantise_all_to_increment(xs, step))) == [str(canonical.quantise_to_increment(x, step)) for x in xs]
+    assert canonical.quantise_all_to_increment([], "0.01") == []
+    for step in ("0", "-1"):
+        with pytest.raises(ValueError):
+            canonical.quantise_all_to_increment([1.0], step)

@@ -329,6 +329,28 @@ def test_bridge_ranges_are_made_on_all_cores(spark, sf):
     assert found.where("not high_ok or not low_ok or range < 0").count() == 0 and found.count() == 200 * len(operators_.DAYS)
 
 
+def test_draws_of_some_days_are_made_at_once(monkeypatch):
+    import pandas as pd
+
+    names, days = [f"P{i}" for i in range(100)], [f"2026-02-{n:02d}" for n in range(1, 13)]
+    few = pd.DataFrame({"underlying_id": names, "spot": "90.5", "loading": [[0.3, 0.2]] * len(names), "last_date": None, "last_close": None, "first_date": None})
+    spec, calls, words = paths.MarketSpec(), [], paths.rng._words
+    monkeypatch.setattr(paths.rng, "_words", lambda seeds, n: calls.append(len(seeds)) or words(seeds, n))
+    whole = pd.concat(paths._daily_rows(spec, days, few), ignore_index=True)
+    # 12 volumes and 11 closes a name and its 11 bridges in full chunks, not some for each day; seeds without a pair are drawn once more.
+    assert len(calls) <= -(-len(names) * 11 * 64 // paths.rng._AT_ONCE) + 3 and len(whole) == 1200
+    monkeypatch.setattr(paths, "DRAWS", 66 * len(names) * 5)
+    parts = list(paths._daily_rows(spec, days, few))
+    assert len(parts) == 3 and pd.concat(parts, ignore_index=True).equals(whole)
+    one = whole[whole["underlying_id"] == "P7"].to_dict("records")
+    for k in range(1, len(days)):
+        start, end = (k - 1) / 365.0, k / 365.0
+        eps = paths.shock(paths.MarketSpec(loadings={"P7": (0.3, 0.2)}), "P7", days[k])
+        assert one[k]["spot_open"] == one[k - 1]["spot_close"] and one[k]["spot_close"] == paths.next_close(spec, one[k]["spot_open"], start, end, eps)
+        grid = paths.bridge_prices(spec, "P7", days[k], one[k]["spot_open"], one[k]["spot_close"], start, end)
+        assert (one[k]["spot_high"], one[k]["spot_low"], one[k]["volume"]) == (max(grid), min(grid), paths.volume(spec, "P7", days[k]))
+
+
 def test_quotes_are_made_on_all_cores(spark, sf):
     from voltide.plans import operators_
 

@@ -13,6 +13,7 @@ import math
 import re
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def quantise_to_increment(x, increment, places: int = 8) -> Decimal:
         return quantise(n * step, places)
 
 
+def quantise_all_to_increment(xs, increment, places: int = 8) -> list[Decimal]:
+    """``quantise_to_increment`` of many doubles: binary division tells the
+    multiple of all but those next to a half, which are rounded by themselves."""
+    step = to_decimal(increment)
+    with localcontext() as ctx:
+        ctx.prec = 60
+        unit = step.quantize(Decimal(1).scaleb(-places))
+        if unit != step or step <= 0:
+            return [quantise_to_increment(x, step, places) for x in xs]
+        x = np.asarray(xs, float)
+        n = x / float(step)
+        whole = np.rint(n)
+        # Below 1e9 the quotient is off by less than 1e-6.
+        sure = (np.abs(n) < 1e9) & (np.abs(n - whole) < 0.5 - 1e-5)
+        multiples = np.where(sure, whole, 0.0).astype(np.int64).tolist()
+        return [unit * k if ok else quantise_to_increment(v, step, places) for k, ok, v in zip(multiples, sure.tolist(), x.tolist(), strict=True)]
+
+
 def decimal_text(x, places: int = 8) -> str | None:
     """Fixed-point text; None for null and for values that are not finite."""
     if x is None or (isinstance(x, float) and not math.isfinite(x)):

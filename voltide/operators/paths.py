@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltide.functions import curves, rng
-from voltide.functions.canonical import clip_int64, quantise_to_increment, to_decimal
+from voltide.functions.canonical import clip_int64, quantise_all_to_increment, quantise_to_increment, to_decimal
 
 DAILY = "underlying_id string, date date, spot_open decimal(24,8), spot_high decimal(24,8), spot_low decimal(24,8), spot_close decimal(24,8), volume bigint"
 
@@ -31,6 +32,8 @@ SIMULATION, FACTOR, OWN, INCREMENT, RANGE, VOLUME = "underlying-simulation", "fa
 
 #: Names whose paths are made together.
 TOGETHER = 256
+#: Draws of such names that are made at once, for as many days as they are.
+DRAWS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -62,11 +65,15 @@ def shock(spec: MarketSpec, name: str, day: str) -> float:
 
 
 def shock_of(name: str, load: Sequence[float], factors: Sequence[float], own: float) -> float:
-    common = math.fsum(w * z for w, z in zip(load, factors, strict=False))
+    return math.fsum(map(operator.mul, load, factors)) + own_part(name, load) * own
+
+
+def own_part(name: str, load: Sequence[float]) -> float:
+    """The weight of the asset's own draw."""
     rest = 1.0 - math.fsum(w * w for w in load)
     if rest < -1e-12:
         raise ValueError(f"loadings of {name} are longer than one")
-    return common + math.sqrt(max(rest, 0.0)) * own
+    return math.sqrt(max(rest, 0.0))
 
 
 @functools.lru_cache(maxsize=65_536)
@@ -76,8 +83,14 @@ def _moments(drift: tuple, vol: tuple, start: float, end: float) -> tuple[float,
 
 def next_close(spec: MarketSpec, close: Decimal, start: float, end: float, eps: float) -> Decimal:
     """One step of geometric Brownian motion, rounded to the tick."""
+    return next_closes(spec, [close], start, end, [eps])[0]
+
+
+def next_closes(spec: MarketSpec, closes: Sequence[Decimal], start: float, end: float, eps: Sequence[float]) -> list[Decimal]:
+    """``next_close`` of many names over one day."""
     m, v = _moments(spec.drift, spec.vol, start, end)
-    return max(quantise_to_increment(float(close) * math.exp(m + math.sqrt(v) * eps), spec.increment), Decimal(spec.increment))
+    sd, least = math.sqrt(v), Decimal(spec.increment)
+    return [max(x, least) for x in quantise_all_to_increment([float(c) * math.exp(m + sd * e) for c, e in zip(closes, eps, strict=True)], spec.increment)]
 
 
 @functools.lru_cache(maxsize=1024)
@@ -108,16 +121,16 @@ def bridge_paths(spec: MarketSpec, openings: Sequence[Decimal], closes: Sequence
     return np.exp(a + mean + share * off + walk - share * walk[:, -1:])[:, 1:-1]
 
 
-def bridge_draws(spec: MarketSpec, names: Sequence[str], day: str) -> np.ndarray:
-    """The increments of each name's day, a row each, by a key of their own."""
-    head = f"{spec.snapshot_id}|{spec.seed}|{spec.bridge_name}|{spec.bridge_id}|{INCREMENT}|{day}|"
-    seeds = rng.suffix_seeds([f"{head}{name}|" for name in names], [str(k) for k in range(1, spec.bridge_steps + 1)])
-    return rng.gaussians_of(seeds).reshape(len(names), spec.bridge_steps)
+def bridge_draws(spec: MarketSpec, names: Sequence[str], days: Sequence[str]) -> np.ndarray:
+    """The increments by day and name, each by a key of its own."""
+    head = f"{spec.snapshot_id}|{spec.seed}|{spec.bridge_name}|{spec.bridge_id}|{INCREMENT}|"
+    seeds = rng.suffix_seeds([f"{head}{day}|{name}|" for day in days for name in names], [str(k) for k in range(1, spec.bridge_steps + 1)])
+    return rng.gaussians_of(seeds).reshape(len(days), len(names), spec.bridge_steps)
 
 
 def bridge_prices(spec: MarketSpec, name: str, day: str, opening: Decimal, close: Decimal, start: float, end: float) -> list[Decimal]:
     """All prices of a day's bridge on the tick, ends included."""
-    path = bridge_path(spec, opening, close, start, end, bridge_draws(spec, [name], day)[0])
+    path = bridge_path(spec, opening, close, start, end, bridge_draws(spec, [name], [day])[0, 0])
     return [opening, *(quantise_to_increment(float(x), spec.increment) for x in path), close]
 
 
@@ -176,8 +189,7 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
             for i, dates in enumerate(zip(b["first_date"], b["last_date"], strict=True)):
                 groups.setdefault(tuple(map(str, dates)), []).append(i)
             for at in (g[lo : lo + TOGETHER] for g in groups.values() for lo in range(0, len(g), TOGETHER)):
-                if days:
-                    yield _daily_rows(spec, days, b.iloc[at])
+                yield from _daily_rows(spec, days, b.iloc[at])
 
     # Names are dealt to all cores, in a number of parts that adaptive execution keeps: a few bytes of a name are some
     # hundred draws. A name that is repeated has one path.
@@ -187,33 +199,40 @@ def make_paths(spark: SparkSession, spec: MarketSpec, days: Sequence[str], close
     return one.select("underlying_id", "r.*").mapInPandas(run, DAILY)
 
 
-def _daily_rows(spec: MarketSpec, days: Sequence[str], b: pd.DataFrame) -> pd.DataFrame:
-    """Rows of some names with the same first and last date: days are made one
-    after the other, the draws and bridges of a day for all names at once."""
+def _daily_rows(spec: MarketSpec, days: Sequence[str], b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of some names with the same first and last date: the draws of some
+    days are made at once for all names, then days one after the other."""
     names, loads = b["underlying_id"].tolist(), [tuple(map(float, x)) for x in b["loading"]]
     r = b.iloc[0]
     known = r["last_date"] is not None and not pd.isna(r["last_date"])
     closes = [Decimal(str(x)) for x in b["last_close"]] if known else [Decimal(x) for x in b["spot"]]
-    origin, before = (pd.Timestamp(r["first_date"]), pd.Timestamp(r["last_date"])) if known else (pd.Timestamp(days[0]), None)
+    origin, before = (pd.Timestamp(r["first_date"]), pd.Timestamp(r["last_date"])) if known else (pd.Timestamp(days[0]) if days else None, None)
     key = f"{spec.snapshot_id}|{spec.seed}"
     common = f"{key}|{SIMULATION}|{spec.measure}|{spec.dependence_id}"
-    out = []
-    for day in days:
-        t = pd.Timestamp(day)
-        openings = closes
-        if before is not None:
-            start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
-            factors = [rng.gaussian(common, FACTOR, k, day) for k in range(max(map(len, loads)))]
-            own = rng.gaussians_of(rng.text_seeds(f"{common}|{OWN}|{name}|{day}" for name in names)).tolist()
-            closes = [next_close(spec, c, start, end, shock_of(n, w, factors, z)) for n, c, w, z in zip(names, closes, loads, own, strict=True)]
-            paths = bridge_paths(spec, openings, closes, start, end, bridge_draws(spec, names, day))
-            # Rounding keeps the order, so the extremes alone are rounded.
-            ends = [[quantise_to_increment(x, spec.increment) for x in f(axis=1).tolist()] for f in (paths.max, paths.min)] if paths.shape[1] else []
-            highs, lows = ([f(x) for x in zip(openings, closes, *ends, strict=True)] for f in (max, min))
-        else:
-            openings = highs = lows = closes = [quantise_to_increment(c, spec.increment) for c in closes]
-        z = rng.gaussians_of(rng.text_seeds(f"{key}|{spec.volume_name}|{spec.volume_id}|{day}|{name}" for name in names)).tolist()
-        volumes = [volume_of(spec.base_volume, spec.volume_stddev, x) for x in z]
-        out.append(pd.DataFrame(dict(zip((x.split()[0] for x in DAILY.split(", ")), (names, [t.date()] * len(names), openings, highs, lows, closes, volumes), strict=True))))
-        before = t
-    return pd.concat(out, ignore_index=True)
+    rests = [own_part(n, w) for n, w in zip(names, loads, strict=True)] if known or len(days) > 1 else []
+    some = max(1, DRAWS // (len(names) * (spec.bridge_steps + 2)))
+    for block in (days[lo : lo + some] for lo in range(0, len(days), some)):
+        moved = block if before is not None else block[1:]
+        keys = [f"{common}|{OWN}|{name}|{day}" for day in moved for name in names] + [f"{key}|{spec.volume_name}|{spec.volume_id}|{day}|{name}" for day in block for name in names]
+        z = rng.gaussians_of(rng.text_seeds(keys)).reshape(-1, len(names)).tolist()
+        own, walks = iter(z[: len(moved)]), iter(bridge_draws(spec, names, moved))
+        rows: list[list] = [[] for _ in DAILY.split(", ")]
+        for day, noise in zip(block, z[len(moved) :], strict=True):
+            t = pd.Timestamp(day)
+            openings = closes
+            if before is not None:
+                start, end = (before - origin).days / 365.0, (t - origin).days / 365.0
+                factors = [rng.gaussian(common, FACTOR, k, day) for k in range(max(map(len, loads)))]
+                eps = [math.fsum(map(operator.mul, w, factors)) + rest * e for w, rest, e in zip(loads, rests, next(own), strict=True)]
+                closes = next_closes(spec, closes, start, end, eps)
+                paths = bridge_paths(spec, openings, closes, start, end, next(walks))
+                # Rounding keeps the order, so the extremes alone are rounded.
+                ends = [quantise_all_to_increment(f(axis=1), spec.increment) for f in (paths.max, paths.min)] if paths.shape[1] else []
+                highs, lows = ([f(x) for x in zip(openings, closes, *ends, strict=True)] for f in (max, min))
+            else:
+                openings = highs = lows = closes = [quantise_to_increment(c, spec.increment) for c in closes]
+            volumes = [volume_of(spec.base_volume, spec.volume_stddev, x) for x in noise]
+            for column, values in zip(rows, (names, [t.date()] * len(names), openings, highs, lows, closes, volumes), strict=True):
+                column += values
+            before = t
+        yield pd.DataFrame(dict(zip((x.split()[0] for x in DAILY.split(", ")), rows, strict=True)))
