@@ -182,3 +182,28 @@ def test_many_doubles_are_rounded_as_each():
     for step in ("0", "-1"):
         with pytest.raises(ValueError):
             canonical.quantise_all_to_increment([1.0], step)
+
+
+def test_keys_hashed_side_by_side_are_those_of_hashlib(monkeypatch):
+    import hashlib
+
+    from voltide.functions import sha256
+
+    want = lambda heads, tails: [int.from_bytes(hashlib.sha256(h + t).digest()[:4], "big") for h in heads for t in tails]
+    tails = [str(k).encode() for k in range(1, 65)]
+    by_day = [f"{'x' * 50}|2026-01-{d:02d}|P{i}|".encode() for d in range(1, 6) for i in range(60, 140)]  # of 64 and 65 bytes at the least
+    odd = [b"y" * n + bytes([n]) for n in range(200)]  # all lengths, some without room for a tail
+    for heads in (by_day, by_day[:-1], odd, by_day * 2 + odd, [b"z" * 70], []):
+        texts = [h.decode("latin1") for h in heads]
+        assert rng.suffix_seeds([x for x in texts if x.isascii()], [t.decode() for t in tails]).tolist() == want([h for h in heads if h.isascii()], tails)
+        for least, columns in ((1, 100), (1, 5000), (4096, 16_384)):
+            monkeypatch.setattr(sha256, "LEAST", least)
+            monkeypatch.setattr(sha256, "COLUMNS", columns)
+            found = dict(pair for numbers, words in sha256.first_words(heads, tails) for pair in zip(numbers.tolist(), words.tolist(), strict=True))
+            assert all(found[i] == want([heads[i]], tails) for i in found)
+            assert least > 1 or len(found) == sum(len(h) % 64 + 2 <= sha256.ROOM for h in heads)
+    # The keys of some days' bridges need no hashing one by one.
+    names, made = [f"P{i}" for i in range(100)], []
+    monkeypatch.setattr(rng.hashlib, "sha256", lambda x: made.append(x) or hashlib.new("sha256", x))
+    paths.bridge_draws(paths.MarketSpec(), names, [f"2026-01-0{d}" for d in range(1, 6)])
+    assert not made
